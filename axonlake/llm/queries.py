@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from axonlake.llm import sorted_ranks, top_bands
+from axonlake.llm import bpe, curve_packing, sorted_ranks, top_bands
 from axonlake.sources.tables import table
 
 TOP_N = 5
+CONTAINER_TOKENS = 2048
 PROBS = {"p50": 0.5, "p90": 0.9, "p99": 0.99}
 
 
@@ -44,7 +45,23 @@ def p3_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("arm", "day", "n", *[F.round(p, 9).alias(p) for p in PROBS])
 
 
-QUERIES = {"p2_found": p2_found, "p3_percentiles": p3_percentiles}
+def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", bpe.token_ids(F.col("text")).alias("ids"))
+
+
+def p9_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where each text, or each piece of a text longer than a container, lies."""
+    return curve_packing.pack_texts(table(spark, sf_dir, "documents"), "doc_id", "text", CONTAINER_TOKENS)
+
+
+def p9_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many containers are filled to each tenth."""
+    loads = p9_containers(spark, sf_dir).groupBy("container_id").agg(F.sum("n").alias("load"))
+    tenth = F.ceil(F.col("load") * 10 / F.lit(CONTAINER_TOKENS)).cast("int").alias("tenth")
+    return loads.groupBy(tenth).agg(F.count(F.lit(1)).alias("containers"), F.sum("load").alias("tokens"))
+
+
+QUERIES = {"p2_found": p2_found, "p3_percentiles": p3_percentiles, "p8_ids": p8_ids, "p9_containers": p9_containers, "p9_fill": p9_fill}
 
 SQL = {
     "p2_found": """

@@ -21,7 +21,7 @@ from pyspark.sql.window import Window
 from axonlake.sources.scratch import materialize
 
 #: Filled groups up to which the anti-join broadcasts them; beyond, it shuffles.
-BROADCAST_GROUPS = 500_000
+BROADCAST_GROUPS = 200_000
 #: Shares of the items above each band's lower bound, from the top.
 SHARES = (0.02, 0.12, 0.4)
 
