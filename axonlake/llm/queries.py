@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from axonlake.llm import bpe, curve_packing, sorted_ranks, top_bands
+from axonlake.llm import bpe, curve_packing, residue, sorted_ranks, top_bands
 from axonlake.sources.tables import table
 
 TOP_N = 5
@@ -61,7 +61,22 @@ def p9_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return loads.groupBy(tenth).agg(F.count(F.lit(1)).alias("containers"), F.sum("load").alias("tokens"))
 
 
-QUERIES = {"p2_found": p2_found, "p3_percentiles": p3_percentiles, "p8_ids": p8_ids, "p9_containers": p9_containers, "p9_fill": p9_fill}
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return residue.residue(table(spark, sf_dir, "documents")).select("doc_id").distinct()
+
+
+def p10_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What was left out, and why."""
+    return residue.residue(table(spark, sf_dir, "documents"))
+
+
+def p10_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The corpus without the documents left out."""
+    docs = table(spark, sf_dir, "documents")
+    return docs.join(residue.residue(docs).select("doc_id").distinct(), "doc_id", "left_anti")
+
+
+QUERIES = {"p2_found": p2_found, "p3_percentiles": p3_percentiles, "p8_ids": p8_ids, "p9_containers": p9_containers, "p9_fill": p9_fill, "p10_found": p10_found, "p10_reasons": p10_reasons, "p10_kept": p10_kept}
 
 SQL = {
     "p2_found": """
