@@ -45,7 +45,14 @@ SLOT = re.compile(
     r"|\([^()\n]{1,50} " + _HERE + r"\)|(?<!\w)X{3,}(?!\w)|(?<![\w_])_{3,}(?![\w_])|(?<![.\w])\.{5,}(?!\w)|(?<![.\w…])…{2,}|\bTBD_\w+|(?<!\w)\w+_HERE\b|(?<![\w$])\$[" + _UP + r"][" + _UP + r"_]{2,}(?!\w)"
 )
 #: What any slot contains; most lines have none of it.
-_MAYBE_SLOT = re.compile(r"[{}<>\[\]%$@«]|__|\*\*\*|XXX|\.{5}|……|TBD_|_HERE|(?:here|hier|einfügen|eintragen|buraya|yazın|aquí)\)")
+_MAYBE_SLOT = re.compile(r"[\[{<]{2}|[{<\[][^\W\d_]|[\[{<]%|\{\d?\}|[$#]\{|%[(\w]|\$[^\W\d_]|@[@\w]|«\w|__|\*\*\*|XXX|\.{5}|……|TBD_|_HERE|(?:here|hier|einfügen|eintragen|buraya|yazın|aquí)\)")
+_SLOT_SIGNS = ("{", "[", "<", "$", "%", "@", "«", "__", "***", "XXX", ".....", "……", "TBD_", "_HERE", "here)", "hier)", "fügen)", "tragen)", "raya)", "azın)", "aquí)")
+
+
+def may_hold_slot(line: str) -> bool:
+    return any(x in line for x in _SLOT_SIGNS) and bool(_MAYBE_SLOT.search(line))
+
+
 _QUOTED = re.compile(
     r'"[^"\n]{1,300}?"|“[^”\n]{1,300}[”]|„[^“”\n]{1,300}[“”]|`[^`\n]{1,300}`|(?<!\w)‘[^’\n]{1,300}’|(?<![\w\'])\'(?=\S)[^\n]{1,300}?(?<=\S)\'(?=$|[\s.,;:!?)])(?!\w)'
 )
@@ -54,15 +61,17 @@ _AROUND_QUOTE = re.compile(r"\s*‹q›\s*")
 _MENTION = re.compile(
     r"\b(?:slots?|placeholders?|template|unfilled|draft|platzhalter|vorlage|entwurf|plantilla|borrador|marcadores|şablon\w*|taslak\w*|yer tutucu\w*)\b", re.I
 )
-_VARIES = re.compile(r"[\d_‹*]")
+_VARIES = re.compile(r"(?<!\S)(?=[^\s\d_‹*]*[\d_‹*])\S+")
+_CAPITALS = re.compile(r"(?<!\S)\(?(?!JS\b|HTTP\b)[^\W\d_a-zß-öø-ÿ][A-ZÇĞİÖŞÜÄÑÁÉÍÓÚ-]+(?![\w'’])")
+_PUNCTUATION = re.compile(r"[.,;!?()]+(?=\s|$)|(?<!\S)\(+", re.M)
 _EDGE = ".,;:!?()[]\"'"
 _FAILED = re.compile(r"[45]\d\d$")
-_FENCE = re.compile(r"^\s*(?:```|~~~)")
-_CODE = re.compile(
-    r"^(?: {4,}|\t)\S|^\s*(?:def|class|import|from|return|for|while|if|elif|else|try|except|raise|print|function|const|let|var)\b[^.]*[(:{;=]|^\s*[\w.\[\]]+ ?[-+*/]?= ?\S+.*$|[;{]\s*$|^\s*\}|^\s*(?:#|//)\s*include"
+_LINE_END = re.compile(r"\r\n|\r|\n")
+_STATEMENT = re.compile(
+    r"(?:def|class|import|from|return|for|while|if|elif|else|try|except|raise|print|function|const|let|var)\b[^.]*[(:{;=]|[\w.\[\]]+ ?[-+*/]?= ?\S|(?:#|//) *include"
 )
-_TABLE = re.compile(r"^\s*\|.*\||^[^,\s]+(?:,[^,\s]*){3,}$")
-_LOG = re.compile(r'^\s*\{"(?:seq|t|kind|ts|event)"')
+_TABLE = re.compile(r"[^,\s]+(?:,[^,\s]*){3,}$")
+_LOG = re.compile(r'\{"(?:seq|t|kind|ts|event)"')
 _FORMULA = re.compile(r"\\(?:frac|sum|int|mathbb|sqrt|cdot|alpha|beta|left|right|text|mathrm)\b|\$[^$\n]{1,120}\$")
 _BULLET = re.compile(r"^\s*(?:[-*•+>]\s+|\d+[.)]\s+)")
 _SENTENCE = re.compile(r"(?<=[.!?…])\s+(?=\S)|\s+[-–|]\s+|\s{2,}|<[^<>]{1,40}>")
@@ -94,7 +103,7 @@ _FILLER = re.compile(
     r"\b(?:lorem ipsum|dummy (?:copy|text)|placeholder text|filler text|sample (?:text|paragraph|heading|caption|body)|example (?:heading|caption|body|paragraph|text)|caption text|more caption text|body text body text|content goes here|text goes here"
     r"|(?:first|second|third) point\.|section (?:intro|body|end)|description to be written|to be written\.?$|nothing to see yet|come back when|put the real \w+ in its place|some text about something|add (?:two|three|two or three|some|a few) sentences"
     r"|(?:this )?(?:space|section|page) is reserved|coming soon|under construction|reserved for the \w+|füllabsatz|fülltext|blindtext|platzhaltertext|beispielabsatz|beispieltext|hier (?:steht|kommt|folgt) (?:später|bald|der)|wird (?:später|noch) (?:ergänzt|geschrieben|nachgereicht)"
-    r"|deneme yazısı|örnek metin|örnek (?:paragraf|başlık)|gerçek açıklama gelecek|sonra yazılacak|içerik hazırlanıyor|şimdilik dolgu|dolgu metni|texto de (?:relleno|ejemplo|muestra)|párrafo de (?:relleno|ejemplo|muestra)|aquí (?:irá|va|vendrá)|se escribirá|descripción verdadera|contenido en preparación|de relleno)",
+    r"|deneme yazısı|örnek metin|örnek (?:paragraf|başlık)|gerçek açıklama gelecek|sonra yazılacak|içerik hazırlanıyor|şimdilik dolgu|dolgu metni|texto de (?:relleno|ejemplo|muestra)|párrafo de (?:relleno|ejemplo|muestra)|aquí (?:irá|va|vendrá)|se escribirá|descripción verdadera|contenido (?:en preparación|pendiente)|pendiente de (?:redactar|escribir)|de relleno)",
     re.I,
 )
 _KEYS = re.compile(r"^(?:asd|asdf|asdfg|qwer|qwert|qwerty|jkl|jkl[oö]|lkjh|fgh|fghj|dfg|dfgdfg|sdf|sdfg|hjkl|zxcv|zxc|yxcv|test|foo|bar|baz|bla|blah|xyz|abc|aaa|lorem|ipsum|foobar)$", re.I)
@@ -111,7 +120,7 @@ def blank_quotes(line: str) -> str:
 
 def slots(line: str) -> list[str]:
     """The unresolved slots of a line of prose, heading or field."""
-    if not _MAYBE_SLOT.search(line):
+    if not may_hold_slot(line):
         return []
     bare = _FORMULA.sub(" ", blank_quotes(line))
     found = []
@@ -130,50 +139,60 @@ def slots(line: str) -> list[str]:
     return found
 
 
+def _is_code(line: str, bare: str) -> bool:
+    if line.startswith(("    ", "\t")):
+        return True
+    if bare[-1] in ";{" or bare[0] == "}" or _STATEMENT.match(bare):
+        return not (may_hold_slot(line) and SLOT.search(line))
+    return False
+
+
 def text_lines(text: str) -> Iterator[tuple[str, str]]:
     """(kind, line): code, table or log lines are told from ordinary ones by form."""
     fenced = False
-    for line in re.split(r"\r\n|\r|\n", text.replace("\u200b", "").replace("\ufeff", "").replace("\xa0", " ")):
-        if _FENCE.match(line):
+    for line in _LINE_END.split(text.replace("\u200b", "").replace("\ufeff", "").replace("\xa0", " ")):
+        bare = line.strip()
+        if not bare:
+            continue
+        first = bare[0]
+        if bare.startswith(("```", "~~~")):
             fenced = not fenced
             yield "code", line
-        elif not line.strip():
-            continue
         elif fenced:
             yield "code", line
-        elif _LOG.match(line):
+        elif first == "{" and _LOG.match(bare):
             yield "log", line
-        elif _ERROR_BODY.search(line) or re.match(r"\s*(?:Traceback \(most recent|<noscript)", line, re.I):
+        elif (first in "{<" or "<title>" in bare) and _ERROR_BODY.search(bare) or bare.startswith("Traceback (most recent") or (first == "<" and bare[:9].lower() == "<noscript"):
             yield "page", line
-        elif _CODE.search(line) and not SLOT.search(line) or re.match(r"^(?: {4,}|\t)\S", line):
+        elif _is_code(line, bare):
             yield "code", line
-        elif _TABLE.match(line):
+        elif first == "|" or (bare.count(",") >= 3 and _TABLE.match(bare)):
             yield "table", line
         else:
             yield "prose", line
 
 
-def units(line: str) -> list[str]:
-    """The sentences of a line, without quoted spans and bullets."""
-    bare = _BULLET.sub("", blank_quotes(line))
-    return [u.strip() for u in _SENTENCE.split(bare) if u and _WORD.search(u)]
+def _star(m: re.Match) -> str:
+    token = m.group()
+    core = token.strip(_EDGE)
+    end = token[-1] if token[-1] in ".!?…:" else ""
+    if _FAILED.match(core):
+        return "4xx" + end
+    if core.lower().startswith(("http/", "err_")):
+        return token
+    return "*" + end
 
 
-def masked(unit: str) -> str:
-    """Lower-case words; what varies from message to message is `*`, a status code of failure is `4xx`."""
-    shouted = unit.isupper()
-    out = []
-    for token in (SLOT.sub(" * ", unit) if _MAYBE_SLOT.search(unit) else unit).split():
-        low = token.lower().strip(".,;!?()")
-        if _VARIES.search(token) or (token[0].isupper() and not shouted and len(core := token.strip(_EDGE)) > 1 and core.isupper()):
-            core = token.strip(_EDGE)
-            if _FAILED.match(core):
-                low = "4xx"
-            elif core not in ("JS", "HTTP") and not low.startswith(("http/", "err_")):
-                low = "*"
-        if low:
-            out.append(low)
-    return " ".join(out)
+def units(line: str) -> list[str]:
+    """The masked sentences of a line, without bullets: lower-case words; what varies from message to message, quoted spans and slots are `*`, a status code of failure is `4xx`."""
+    bare = _BULLET.sub("", blank_quotes(line))
+    if may_hold_slot(bare):
+        bare = SLOT.sub(" * ", bare)
+    shouted = bare.isupper()
+    bare = _VARIES.sub(_star, bare)
+    if not shouted:
+        bare = _CAPITALS.sub("*", bare)
+    return [u for u in (x.strip() for x in _PUNCTUATION.sub("", _SENTENCE.sub("\n", bare).lower()).split("\n")) if u and _WORD.search(u)]
 
 
 def leaf(kind: str, template: str) -> str:
@@ -205,12 +224,25 @@ def cluster(templates: list[tuple[str, int]]) -> list[tuple[str, str]]:
 _REPORT = re.compile(r"\b(?:guide|document(?:ed|s)?|handbuch|kılavuz\w*|guía|tests?|getestet|sınıyor|pruebas|reviewers?|liked|appeared|printout|struck|as the|spelled|after the fix)\b|‹q›")
 
 
+#: Parts of words of which a template of an error, a notice or filler has at least one; most templates have none.
+_HINTS = (
+    "error", "exception", "traceback", "4xx", "http/", "err_", "fatal", "warning", "notice", "memory", "fault", "dumped", "trace", "found", "forbidden", "gateway", "unavailable", "requests", "denied", "expired", "timed",
+    "time", "oops", "wrong", "problem", "could", "try again", "retry", "connect", "maintenance", "permission", "session", "sign in", "link may", "page may", "administrator",
+    "gefunden", "fehler", "verweigert", "abgelaufen", "überschreitung", "erneut", "auf diesem server", "geladen", "schief", "berechtigung", "gewartet", "wartung",
+    "bulunamad", "sunucu", "engellen", "zaman a", "deneyin", "sona erdi", "yetkiniz", "ters", "yüklenemedi", "bakımda", "beklenmeyen",
+    "encontrada", "interno", "denegado", "sesión", "inténtelo", "servidor", "cargar", "permiso", "espera", "salió", "inesperado", "mantenimiento", "solicitudes",
+    "script", "js", "betik", "skript", "komut", "aktive inhalte", "active content", "contenido activo", "cookies",
+    "lorem", "dummy", "placeholder", "filler", "sample", "example", "caption", "body text", "goes here", "point", "section", "written", "nothing to see", "come back", "put the real", "some text", "sentences", "reserved",
+    "coming soon", "construction", "füll", "blindtext", "platzhalter", "beispiel", "hier", "wird ", "deneme", "örnek", "gelecek", "yazılacak", "hazırlanıyor", "dolgu", "texto", "párrafo", "aquí", "escribirá", "descripción", "preparación", "relleno", "pendiente",
+)
+
+
 def by_form(template: str) -> str | None:
     """The verdict on a template's words alone."""
-    if _REPORT.search(template):
-        return None
     if _NAV.match(template):
         return "neutral"
+    if not any(h in template for h in _HINTS) or _REPORT.search(template):
+        return None
     if _FILLER.search(template):
         return "filler"
     if _NOTICE.search(template) and len(template.split()) <= 22:
@@ -248,7 +280,7 @@ def document_lines(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
             for i, key, t in zip(batch["doc_id"], batch["text_key"], batch["text"]):
                 for n, (kind, line) in enumerate(text_lines(t)):
                     if kind in ("prose", "page"):
-                        out.append((i, key, n, kind, len(slots(line)) if kind == "prose" else 0, [masked(u) for u in units(line)]))
+                        out.append((i, key, n, kind, len(slots(line)) if kind == "prose" else 0, units(line)))
             yield pd.DataFrame(out, columns=["doc_id", "text_key", "line_no", "kind", "slots", "units"])
 
     rows = docs.where(F.col(text).isNotNull()).select(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("text_key"), F.col(text).alias("text"))
