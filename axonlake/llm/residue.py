@@ -19,6 +19,7 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -61,11 +62,9 @@ _AROUND_QUOTE = re.compile(r"\s*‹q›\s*")
 _MENTION = re.compile(
     r"\b(?:slots?|placeholders?|template|unfilled|draft|platzhalter|vorlage|entwurf|plantilla|borrador|marcadores|şablon\w*|taslak\w*|yer tutucu\w*)\b", re.I
 )
-_VARIES = re.compile(r"(?<!\S)(?=[^\s\d_‹*]*[\d_‹*])\S+")
-_CAPITALS = re.compile(r"(?<!\S)\(?(?!JS\b|HTTP\b)[^\W\d_a-zß-öø-ÿ][A-ZÇĞİÖŞÜÄÑÁÉÍÓÚ-]+(?![\w'’])")
-_PUNCTUATION = re.compile(r"[.,;!?()]+(?=\s|$)|(?<!\S)\(+", re.M)
+_VARYING = frozenset("0123456789_‹*")
+_NO_PUNCTUATION = str.maketrans("", "", ".,;!?()")
 _EDGE = ".,;:!?()[]\"'"
-_FAILED = re.compile(r"[45]\d\d$")
 _LINE_END = re.compile(r"\r\n|\r|\n")
 _STATEMENT = re.compile(
     r"(?:def|class|import|from|return|for|while|if|elif|else|try|except|raise|print|function|const|let|var)\b[^.]*[(:{;=]|[\w.\[\]]+ ?[-+*/]?= ?\S|(?:#|//) *include"
@@ -74,7 +73,8 @@ _TABLE = re.compile(r"[^,\s]+(?:,[^,\s]*){3,}$")
 _LOG = re.compile(r'\{"(?:seq|t|kind|ts|event)"')
 _FORMULA = re.compile(r"\\(?:frac|sum|int|mathbb|sqrt|cdot|alpha|beta|left|right|text|mathrm)\b|\$[^$\n]{1,120}\$")
 _BULLET = re.compile(r"^\s*(?:[-*•+>]\s+|\d+[.)]\s+)")
-_SENTENCE = re.compile(r"(?<=[.!?…])\s+(?=\S)|\s+[-–|]\s+|\s{2,}|<[^<>]{1,40}>")
+_STOP = re.compile(r"[.!?…]\s+")
+_BREAK = re.compile(r" +[-–|] +| {2,}|<[^<>\n]{1,40}>")
 _WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
 
 #: Phrases of error pages and messages.
@@ -172,11 +172,10 @@ def text_lines(text: str) -> Iterator[tuple[str, str]]:
             yield "prose", line
 
 
-def _star(m: re.Match) -> str:
-    token = m.group()
+def _star(token: str) -> str:
     core = token.strip(_EDGE)
     end = token[-1] if token[-1] in ".!?…:" else ""
-    if _FAILED.match(core):
+    if len(core) == 3 and core[0] in "45" and core.isdigit():
         return "4xx" + end
     if core.lower().startswith(("http/", "err_")):
         return token
@@ -189,10 +188,16 @@ def units(line: str) -> list[str]:
     if may_hold_slot(bare):
         bare = SLOT.sub(" * ", bare)
     shouted = bare.isupper()
-    bare = _VARIES.sub(_star, bare)
-    if not shouted:
-        bare = _CAPITALS.sub("*", bare)
-    return [u for u in (x.strip() for x in _PUNCTUATION.sub("", _SENTENCE.sub("\n", bare).lower()).split("\n")) if u and _WORD.search(u)]
+    tokens = bare.replace("\t", " ").split(" ")
+    for i, t in enumerate(tokens):
+        if not _VARYING.isdisjoint(t):
+            tokens[i] = _star(t)
+        elif not shouted and t.isupper() and len(core := t.strip(_EDGE)) > 1 and core not in ("JS", "HTTP"):
+            tokens[i] = "*"
+    bare = _STOP.sub("\n", " ".join(tokens).lower())
+    if "  " in bare or " - " in bare or " – " in bare or " | " in bare or "<" in bare:
+        bare = _BREAK.sub("\n", bare)
+    return [u for u in (x.strip() for x in bare.translate(_NO_PUNCTUATION).split("\n")) if u and _WORD.search(u)]
 
 
 def leaf(kind: str, template: str) -> str:
@@ -274,17 +279,33 @@ def verdict(unit: str, known: int) -> str:
 def document_lines(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     """(doc_id, text_key, line_no, kind, slots, units) of all lines that aren't code, tables or logs."""
 
-    def take(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    kind_of_id = docs.select(F.col(doc_id).alias("doc_id")).schema[0].dataType.simpleString()
+
+    def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for i, key, t in zip(batch["doc_id"], batch["text_key"], batch["text"]):
+            at, numbers, kinds, found, sentences = [], [], [], [], []
+            for i, t in enumerate(batch.column(2).to_pylist()):
                 for n, (kind, line) in enumerate(text_lines(t)):
-                    if kind in ("prose", "page"):
-                        out.append((i, key, n, kind, len(slots(line)) if kind == "prose" else 0, units(line)))
-            yield pd.DataFrame(out, columns=["doc_id", "text_key", "line_no", "kind", "slots", "units"])
+                    if kind == "prose":
+                        at.append(i)
+                        numbers.append(n)
+                        kinds.append(kind)
+                        found.append(len(slots(line)))
+                        sentences.append(units(line))
+                    elif kind == "page":
+                        at.append(i)
+                        numbers.append(n)
+                        kinds.append(kind)
+                        found.append(0)
+                        sentences.append([])
+            rows = pa.array(at, pa.int32())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).take(rows), batch.column(1).take(rows), pa.array(numbers, pa.int32()), pa.array(kinds, pa.string()), pa.array(found, pa.int32()), pa.array(sentences, pa.list_(pa.string()))],
+                names=["doc_id", "text_key", "line_no", "kind", "slots", "units"],
+            )
 
     rows = docs.where(F.col(text).isNotNull()).select(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("text_key"), F.col(text).alias("text"))
-    return rows.mapInPandas(take, f"doc_id {dict(docs.dtypes)[doc_id]}, text_key long, line_no int, kind string, slots int, units array<string>")
+    return rows.mapInArrow(take, f"doc_id {kind_of_id}, text_key long, line_no int, kind string, slots int, units array<string>")
 
 
 def mined(lines: DataFrame) -> DataFrame:
