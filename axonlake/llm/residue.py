@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from operator import eq
 
 import pandas as pd
 import pyarrow as pa
@@ -47,11 +48,12 @@ SLOT = re.compile(
 )
 #: What any slot contains; most lines have none of it.
 _MAYBE_SLOT = re.compile(r"[\[{<]{2}|[{<\[][^\W\d_]|[\[{<]%|\{\d?\}|[$#]\{|%[(\w]|\$[^\W\d_]|@[@\w]|«\w|__|\*\*\*|XXX|\.{5}|……|TBD_|_HERE|(?:here|hier|einfügen|eintragen|buraya|yazın|aquí)\)")
-_SLOT_SIGNS = ("{", "[", "<", "$", "%", "@", "«", "__", "***", "XXX", ".....", "……", "TBD_", "_HERE", "here)", "hier)", "fügen)", "tragen)", "raya)", "azın)", "aquí)")
-
-
-def may_hold_slot(line: str) -> bool:
-    return any(x in line for x in _SLOT_SIGNS) and bool(_MAYBE_SLOT.search(line))
+def may_hold_slot(x: str) -> bool:
+    signs = (
+        "{" in x or "[" in x or "<" in x or "$" in x or "%" in x or "@" in x or "«" in x or "__" in x or "***" in x or "XXX" in x or "....." in x or "……" in x or "TBD_" in x
+        or "_HERE" in x or "here)" in x or "hier)" in x or "fügen)" in x or "tragen)" in x or "raya)" in x or "azın)" in x or "aquí)" in x
+    )
+    return signs and bool(_MAYBE_SLOT.search(x))
 
 
 _QUOTED = re.compile(
@@ -63,9 +65,9 @@ _MENTION = re.compile(
     r"\b(?:slots?|placeholders?|template|unfilled|draft|platzhalter|vorlage|entwurf|plantilla|borrador|marcadores|şablon\w*|taslak\w*|yer tutucu\w*)\b", re.I
 )
 _VARYING = frozenset("0123456789_‹*")
-_NO_PUNCTUATION = str.maketrans("", "", ".,;!?()")
 _EDGE = ".,;:!?()[]\"'"
 _LINE_END = re.compile(r"\r\n|\r|\n")
+_KEYWORDS = frozenset("def class import from return for while if elif else try except raise print function const let var".split())
 _STATEMENT = re.compile(
     r"(?:def|class|import|from|return|for|while|if|elif|else|try|except|raise|print|function|const|let|var)\b[^.]*[(:{;=]|[\w.\[\]]+ ?[-+*/]?= ?\S|(?:#|//) *include"
 )
@@ -142,7 +144,7 @@ def slots(line: str) -> list[str]:
 def _is_code(line: str, bare: str) -> bool:
     if line.startswith(("    ", "\t")):
         return True
-    if bare[-1] in ";{" or bare[0] == "}" or _STATEMENT.match(bare):
+    if bare[-1] in ";{" or bare[0] == "}" or (("=" in bare or bare.split(" ", 1)[0].strip(":(") in _KEYWORDS or "include" in bare) and _STATEMENT.match(bare)):
         return not (may_hold_slot(line) and SLOT.search(line))
     return False
 
@@ -197,7 +199,8 @@ def units(line: str) -> list[str]:
     bare = _STOP.sub("\n", " ".join(tokens).lower())
     if "  " in bare or " - " in bare or " – " in bare or " | " in bare or "<" in bare:
         bare = _BREAK.sub("\n", bare)
-    return [u for u in (x.strip() for x in bare.translate(_NO_PUNCTUATION).split("\n")) if u and _WORD.search(u)]
+    bare = bare.replace(".", "").replace(",", "").replace(";", "").replace("!", "").replace("?", "").replace("(", "").replace(")", "")
+    return [u for u in (x.strip() for x in bare.split("\n")) if u and _WORD.search(u)]
 
 
 def leaf(kind: str, template: str) -> str:
@@ -207,15 +210,19 @@ def leaf(kind: str, template: str) -> str:
 
 def cluster(templates: list[tuple[str, int]]) -> list[tuple[str, str]]:
     """(masked unit, template) of one leaf: units of one length, taken by support and text, join the first template alike in ALIKE of its places."""
+    if len(templates) == 1:
+        return [(templates[0][0], templates[0][0])]
     found: list[list[str]] = []
     out = []
     for text, _ in sorted(templates, key=lambda t: (-t[1], t[0])):
         words = text.split()
         best, at = 0.0, -1
         for k, t in enumerate(found):
-            same = sum(a == b for a, b in zip(words, t)) / max(1, len(words))
+            same = sum(map(eq, words, t)) / max(1, len(words))
             if same > best:
                 best, at = same, k
+                if same == 1.0:
+                    break
         if best < ALIKE:
             found.append(words)
             at = len(found) - 1
@@ -244,7 +251,7 @@ _HINTS = (
 
 def by_form(template: str) -> str | None:
     """The verdict on a template's words alone."""
-    if _NAV.match(template):
+    if _NAV.match(template) or template.startswith(("todo", "fixme")):
         return "neutral"
     if not any(h in template for h in _HINTS) or _REPORT.search(template):
         return None
