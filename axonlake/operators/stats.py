@@ -30,7 +30,8 @@ def wilson(k: Column, n: Column, z: float = 1.96) -> tuple[Column, Column]:
     denom = 1 + F.lit(z * z) / F.nullif(n, F.lit(0))
     mid = (p + F.lit(z * z / 2) / F.nullif(n, F.lit(0))) / denom
     half = F.lit(z) * F.sqrt(p * (1 - p) / F.nullif(n, F.lit(0)) + F.lit(z * z / 4) / (F.nullif(n, F.lit(0)) * n)) / denom
-    return F.coalesce(F.greatest(F.lit(0.0), mid - half), F.lit(0.0)), F.coalesce(F.least(F.lit(1.0), mid + half), F.lit(0.0))
+    some = F.coalesce(n > 0, F.lit(False))
+    return F.when(some, F.greatest(F.lit(0.0), mid - half)).otherwise(0.0), F.when(some, F.least(F.lit(1.0), mid + half)).otherwise(0.0)
 
 
 def rank_of_values(df: DataFrame, group: list[str], value: str) -> DataFrame:
