@@ -194,7 +194,7 @@ def units(line: str) -> list[str]:
     for i, t in enumerate(tokens):
         if not _VARYING.isdisjoint(t):
             tokens[i] = _star(t)
-        elif not shouted and t.isupper() and len(core := t.strip(_EDGE)) > 1 and core not in ("JS", "HTTP"):
+        elif not shouted and t.isupper() and len(core := t.strip(_EDGE)) > 1 and core not in ("JS", "HTTP", "TODO", "FIXME"):
             tokens[i] = "*"
     bare = _STOP.sub("\n", " ".join(tokens).lower())
     if "  " in bare or " - " in bare or " – " in bare or " | " in bare or "<" in bare:
