@@ -26,65 +26,60 @@ def _same(a: str, b: str, columns: list[str]) -> Column:
     return reduce(lambda x, y: x & y, [F.col(f"{a}.{c}").eqNullSafe(F.col(f"{b}.{c}")) for c in columns])
 
 
-def _spread(stats: DataFrame) -> tuple[float, float]:
-    """Variance of the effect and of the rest, from (n, s, ss) per level, by the method of moments."""
-    r = stats.agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("ss").alias("ss"), F.sum(F.col("n") * F.col("n")).alias("nn"), F.sum(F.col("s") * F.col("s") / F.col("n")).alias("b")).first()
-    if not r["n"] or r["n"] <= r["k"]:
-        return 0.0, 1.0
-    rest = max((r["ss"] - r["b"]) / (r["n"] - r["k"]), 1e-12)
-    if r["k"] < 2:
-        return 0.0, rest
-    between = (r["b"] - r["s"] ** 2 / r["n"]) / (r["k"] - 1)
-    return max(0.0, (between - rest) * (r["k"] - 1) / (r["n"] - r["nn"] / r["n"])), rest
-
-
-def mixed_effects(known: DataFrame, y: str, groupings: list[str], rounds: int = 2) -> tuple[float | None, dict[str, DataFrame]]:
-    """The mean of y and, by grouping, its table (level, effect). The last grouping may be the time."""
-    cells = known.where(F.col(y).isNotNull()).groupBy(*groupings).agg(F.count(F.lit(1)).alias("n"), F.sum(y).alias("s"), F.sum(F.col(y) * F.col(y)).alias("ss"))
-    cells = materialize(cells, "effect-cells")
-    total = cells.agg(F.sum("s").alias("s"), F.sum("n").alias("n")).first()
-    if not total["n"]:
-        return None, {}
-    mean = total["s"] / total["n"]
+def _effect(y: str) -> list:
+    """Per response y, aggregates over the levels' (n, s, ss): variance of the effect `var_y` and of the rest `rest_y`, by the method of moments."""
+    n, s, ss = F.col(f"n_{y}"), F.col(f"s_{y}"), F.col(f"ss_{y}")
+    k, t = F.count_if(n > 0), F.sum(n)
+    within, b = F.sum(ss), F.sum(s * s / F.nullif(n, F.lit(0)))
+    enough = t > k
+    rest = F.when(enough, F.greatest((within - b) / F.nullif(t - k, F.lit(0)), F.lit(1e-12))).otherwise(1.0)
+    between = (b - F.sum(s) * F.sum(s) / F.nullif(t, F.lit(0))) / F.nullif(k - 1, F.lit(0))
+    var = F.when(enough & (k > 1), F.greatest(F.lit(0.0), (between - rest) * (k - 1) / F.nullif(t - F.sum(n * n) / F.nullif(t, F.lit(0)), F.lit(0.0)))).otherwise(0.0)
+    return [F.coalesce(var, F.lit(0.0)).alias(f"var_{y}"), F.coalesce(rest, F.lit(1.0)).alias(f"rest_{y}")]
+
+
+def mixed_effects(known: DataFrame, ys: list[str], groupings: list[str], rounds: int = 2) -> tuple[dict[str, float | None], dict[str, DataFrame]]:
+    """For several responses at once: the mean of each, and by grouping a table (level, and the effect on each response under its name). A null response doesn't count for itself only."""
+    sums = [a for y in ys for a in (F.count(y).alias(f"n_{y}"), F.coalesce(F.sum(y), F.lit(0.0)).alias(f"s_{y}"), F.coalesce(F.sum(F.col(y) * F.col(y)), F.lit(0.0)).alias(f"ss_{y}"))]
+    cells = materialize(known.groupBy(*groupings).agg(*sums), "effect-cells")
+    total = cells.agg(*[F.try_divide(F.sum(f"s_{y}"), F.sum(f"n_{y}")).alias(y) for y in ys]).first()
+    means = {y: total[y] for y in ys}
     effects: dict[str, DataFrame] = {}
     for _ in range(rounds):
         for g in groupings:
-            rest = cells.withColumn("__ax_off", F.lit(mean))
-            for other, table in effects.items():
+            rest, off = cells, {y: F.lit(means[y] or 0.0) for y in ys}
+            for i, (other, table) in enumerate(effects.items()):
                 if other != g:
-                    rest = rest.alias("c").join(table.alias("e"), F.col(f"c.{other}") == F.col("e.level"), "left")
-                    rest = rest.select("c.*", F.coalesce("e.effect", F.lit(0.0)).alias("__ax_e")).withColumn("__ax_off", F.col("__ax_off") + F.col("__ax_e")).drop("__ax_e")
-            off = F.col("__ax_off")
-            rest = rest.where(F.col(g).isNotNull()).select(F.col(g).alias("level"), "n", (F.col("s") - F.col("n") * off).alias("s"), (F.col("ss") - 2 * off * F.col("s") + F.col("n") * off * off).alias("ss"))
-            stats = materialize(rest.groupBy("level").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("ss").alias("ss")), f"effects-of-{g}")
-            var, noise = _spread(stats)
-            effects[g] = stats.select("level", (F.col("s") * F.lit(var) / (F.col("n") * F.lit(var) + F.lit(noise))).alias("effect"))
-    return mean, effects
-
-
-def predicted(df: DataFrame, model: tuple[float | None, dict[str, DataFrame]], name: str) -> DataFrame:
-    """df with the column `name`: the model's prediction from the groupings."""
-    mean, effects = model
-    out = df.withColumn(name, F.lit(mean).cast("double"))
-    for g, table in effects.items():
-        out = out.alias("r").join(table.alias("e"), F.col(f"r.{g}") == F.col("e.level"), "left").select("r.*", F.coalesce("e.effect", F.lit(0.0)).alias("__ax_e"))
-        out = out.withColumn(name, F.col(name) + F.col("__ax_e")).drop("__ax_e")
-    return out
-
-
-def fill_number(df: DataFrame, y: str, groupings: list[str], companion: str | None = None) -> DataFrame:
-    """df, in which missing y is null, with y filled and `<y>_filled`. A companion is null where it is missing."""
-    alone = mixed_effects(df, y, groupings)
-    need = df.where(F.col(y).isNull()).select(*groupings).distinct()
-    table = predicted(need, alone, "__ax_alone")
-    if companion:
-        near = mixed_effects(df.withColumn("__ax_d", F.col(y) - F.col(companion)), "__ax_d", groupings)
-        table = predicted(table, near, "__ax_near")
-    table = materialize(table, f"predicted-{y}")
-    got = df.alias("d").join(table.alias("p"), _same("d", "p", groupings), "left").select("d.*", F.col("p.__ax_alone"), *([F.col("p.__ax_near")] if companion else []))
-    guess = F.coalesce(F.col(companion) + F.col("__ax_near"), F.col("__ax_alone")) if companion else F.col("__ax_alone")
-    got = got.withColumn(f"{y}_filled", F.col(y).isNull()).withColumn(y, F.coalesce(F.col(y), guess))
-    return got.drop("__ax_alone", "__ax_near")
+                    renamed = table.select(F.col("level").alias(f"__ax_l{i}"), *[F.col(y).alias(f"__ax_{i}_{y}") for y in ys])
+                    rest = rest.join(renamed, F.col(other) == F.col(f"__ax_l{i}"), "left")
+                    off = {y: off[y] + F.coalesce(F.col(f"__ax_{i}_{y}"), F.lit(0.0)) for y in ys}
+            parts = []
+            for y in ys:
+                n, s, o = F.col(f"n_{y}"), F.col(f"s_{y}"), off[y]
+                parts += [F.sum(n).alias(f"n_{y}"), F.sum(s - n * o).alias(f"s_{y}"), F.sum(F.col(f"ss_{y}") - 2 * o * s + n * o * o).alias(f"ss_{y}")]
+            levels = rest.where(F.col(g).isNotNull()).groupBy(F.col(g).alias("level")).agg(*parts)
+            spread = levels.agg(*[c for y in ys for c in _effect(y)])  # one row
+            shrunk = [F.coalesce(F.col(f"s_{y}") * F.col(f"var_{y}") / F.nullif(F.col(f"n_{y}") * F.col(f"var_{y}") + F.col(f"rest_{y}"), F.lit(0.0)), F.lit(0.0)).alias(y) for y in ys]
+            effects[g] = materialize(levels.crossJoin(F.broadcast(spread)).select("level", *shrunk), f"effects-of-{g}")
+    return means, effects
+
+
+def fill_numbers(df: DataFrame, companions: dict[str, str | None], groupings: list[str]) -> DataFrame:
+    """df, in which missing numbers are null, with each y of companions filled and `<y>_filled`. The companion of y, if any, is a column of df that is null where it is missing; companions are used as they are in df, not as filled."""
+    ys = list(companions)
+    responses = [c for y in ys for c in (F.col(y).alias(f"alone_{y}"), (F.col(y) - F.col(companions[y]) if companions[y] else F.lit(None).cast("double")).alias(f"near_{y}"))]
+    names = [f"{kind}_{y}" for y in ys for kind in ("alone", "near")]
+    means, effects = mixed_effects(df.select(*groupings, *responses), names, groupings)
+    table = df.where(" OR ".join(f"`{y}` IS NULL" for y in ys)).select(*groupings).distinct()
+    guess = {r: F.lit(means[r]).cast("double") for r in names}
+    for i, (g, effect) in enumerate(effects.items()):
+        renamed = effect.select(F.col("level").alias(f"__ax_l{i}"), *[F.col(r).alias(f"__ax_{i}_{r}") for r in names])
+        table = table.join(renamed, F.col(g) == F.col(f"__ax_l{i}"), "left")
+        guess = {r: guess[r] + F.coalesce(F.col(f"__ax_{i}_{r}"), F.lit(0.0)) for r in names}
+    table = materialize(table.select(*groupings, *[guess[r].alias(f"__ax_{r}") for r in names]), "predicted")
+    got = df.alias("d").join(table.alias("p"), _same("d", "p", groupings), "left").select("d.*", *[f"p.__ax_{r}" for r in names])
+    value = {y: F.coalesce(F.col(companions[y]) + F.col(f"__ax_near_{y}"), F.col(f"__ax_alone_{y}")) if companions[y] else F.col(f"__ax_alone_{y}") for y in ys}
+    return got.select(*[F.coalesce(F.col(c), value[c]).alias(c) if c in ys else F.col(c) for c in df.columns], *[F.col(y).isNull().alias(f"{y}_filled") for y in ys])
 
 
 def fill_category(df: DataFrame, c: str, features: list[str], time: str, weight: float = 2.0) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from axonlake.functions.absent import outside, says_nothing
-from axonlake.operators.impute import fill_category, fill_number
+from axonlake.operators.impute import fill_category, fill_numbers
 from axonlake.sources.scratch import materialize
 from axonlake.sources.tables import table
 
@@ -32,10 +32,8 @@ def known_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
 def filled(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The cells with FIELDS filled and a mark for each of them."""
     cells = materialize(known_cells(spark, sf_dir).withColumnsRenamed({x: f"__{x}" for x in FIELDS}), "cells").withColumnsRenamed({f"__{x}": x for x in FIELDS})
-    cells = cells.withColumn("__pos", F.col("pos_x")).withColumn("__soma", F.col("soma_x"))
     cells = fill_category(cells, "cell_type", [f"__{a}" for a in ALIKE], "__month")
-    cells = fill_number(cells, "soma_x", ["__side", "__supertype", "__month"], "__pos")
-    return fill_number(cells, "pos_x", ["__side", "__supertype", "__month"], "__soma")
+    return fill_numbers(cells, {"soma_x": "pos_x", "pos_x": "soma_x"}, ["__side", "__supertype", "__month"])
 
 
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,7 +3,7 @@ import random
 import pytest
 
 from axonlake.functions.absent import says_nothing
-from axonlake.operators.impute import fill_category, fill_number, mixed_effects
+from axonlake.operators.impute import fill_category, fill_numbers, mixed_effects
 from pyspark.sql import functions as F
 
 
@@ -22,7 +22,7 @@ def cells(spark, n=4000, missing=0.2, seed=4):
 
 def test_numbers_are_filled_better_than_by_the_mean(spark):
     df = cells(spark)
-    got = fill_number(df, "y", ["g", "m"]).collect()
+    got = fill_numbers(df, {"y": None}, ["g", "m"]).collect()
     assert len(got) == 4000 and all(r["y"] is not None for r in got)
     filled = [r for r in got if r["y_filled"]]
     mean = sum(r["truth"] for r in got) / 4000
@@ -31,10 +31,18 @@ def test_numbers_are_filled_better_than_by_the_mean(spark):
     assert all(r["y"] == r["truth"] for r in got if not r["y_filled"])
 
 
+def test_companions(spark):
+    rng = random.Random(8)
+    rows = [(i, "ab"[i % 2], 0, x if i % 5 else None, x + 7 + rng.gauss(0, 1) if i % 7 else None, x) for i, x in ((i, rng.uniform(0, 1000)) for i in range(700))]
+    got = fill_numbers(spark.createDataFrame(rows, "i long, g string, m int, x double, y double, truth double"), {"x": "y", "y": "x"}, ["g", "m"]).collect()
+    assert all(abs(r["x"] - r["truth"]) < 6 for r in got if r["x_filled"] and r["i"] % 7) and all(r["x"] is not None and r["y"] is not None for r in got)
+    assert sum(r["y_filled"] for r in got) == 100 and sum(r["x_filled"] for r in got) == 140
+
+
 def test_small_groups_are_shrunk(spark):
     rows = [("big", 0, 10.0 + i % 3) for i in range(300)] + [("mid", 0, 20.0 + i % 3) for i in range(300)] + [("one", 0, 90.0)]
-    mean, effects = mixed_effects(spark.createDataFrame(rows, "g string, m int, y double"), "y", ["g", "m"])
-    e = {r["level"]: r["effect"] for r in effects["g"].collect()}
+    means, effects = mixed_effects(spark.createDataFrame(rows, "g string, m int, y double"), ["y"], ["g", "m"])
+    mean, e = means["y"], {r["level"]: r["y"] for r in effects["g"].collect()}
     assert 0 < e["one"] < 90 - mean and e["big"] == pytest.approx(11 - mean, abs=0.2)
 
 
@@ -46,9 +54,9 @@ def test_categories(spark):
 
 def test_nothing_known(spark):
     df = spark.createDataFrame([(1, "a", 0, None, None), (2, None, None, None, None)], "i long, g string, m int, y double, c string")
-    assert [(r["y"], r["y_filled"]) for r in fill_number(df, "y", ["g", "m"]).collect()] == [(None, True)] * 2
+    assert [(r["y"], r["y_filled"]) for r in fill_numbers(df, {"y": None}, ["g", "m"]).collect()] == [(None, True)] * 2
     assert [(r["c"], r["c_filled"]) for r in fill_category(df, "c", ["g"], "m").collect()] == [(None, True)] * 2
-    assert fill_number(df.limit(0), "y", ["g", "m"]).count() == 0 and fill_category(df.limit(0), "c", ["g"], "m").count() == 0
+    assert fill_numbers(df.limit(0), {"y": None}, ["g", "m"]).count() == 0 and fill_category(df.limit(0), "c", ["g"], "m").count() == 0
 
 
 def test_says_nothing(spark):
