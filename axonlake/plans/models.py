@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from axonlake.operators import edges as E
@@ -12,7 +12,11 @@ from axonlake.sources.tables import table
 from axonlake.streaming import state as R
 
 START = 60.0
-DELTA = F.when(F.col("event_type") == "purchase", F.col("value") / 10 - 35.0).otherwise(F.col("value") / 20 - 10.0)
+
+
+def change() -> Column:
+    """What an event does to the value of its user."""
+    return F.when(F.col("event_type") == "purchase", F.col("value") / 10 - 35.0).otherwise(F.col("value") / 20 - 10.0)
 
 
 def _circuits(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
@@ -60,7 +64,7 @@ def g22_memory(spark: SparkSession, d: str) -> DataFrame:
 
 def r2_vitals(spark: SparkSession, d: str) -> DataFrame:
     """Each user's clamped value after all events, replayed day by day."""
-    got = R.clamped_fold(table(spark, d, "events"), "user_id", "ts", "event_id", DELTA, START, F.to_date("ts"))
+    got = R.clamped_fold(table(spark, d, "events"), "user_id", "ts", "event_id", change(), START, F.to_date("ts"))
     return got.select("user_id", F.round("value", 6).alias("value"), "n")
 
 
@@ -69,7 +73,7 @@ def r2_stream(spark: SparkSession, d: str) -> DataFrame:
     path = f"{d}/events.parquet"
     schema = spark.read.parquet(path).schema
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(path if _is_folder(spark, path) else f"{d}/events*.parquet")
-    rows = stream.select("user_id", F.col("ts").cast("timestamp").alias("ts"), "event_id", DELTA.alias("delta"))
+    rows = stream.select("user_id", F.col("ts").cast("timestamp").alias("ts"), "event_id", change().alias("delta"))
     out = R.drained(R.stream_vitals(rows, "user_id", "ts", "event_id", START), "vitals")
     last = out.groupBy("user_id").agg(F.max_by(F.struct("value", "n"), "n").alias("s"))
     return last.select("user_id", F.round("s.value", 6).alias("value"), "s.n")
