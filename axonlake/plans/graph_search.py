@@ -19,10 +19,17 @@ PI = 3.141592653589793
 
 
 def g1_levels(spark: SparkSession, d: str) -> DataFrame:
+    """A slice that SQL can check: rows of weight 20 and more, 3 hops. The whole is g1_all_levels."""
     seeds = nodes(spark, d).where("cell_class = 'Kenyon_Cell' AND side = 'left'").select("id")
     return G.levels(E.strong(edges(spark, d), 20), seeds, 3).select("id", F.col("hop").cast("long").alias("hop"))
 
 
+def g1_all_levels(spark: SparkSession, d: str) -> DataFrame:
+    """g1_levels over all edge rows, to the last level."""
+    seeds = nodes(spark, d).where("cell_class = 'Kenyon_Cell' AND side = 'left'").select("id")
+    return G.levels(edges(spark, d), seeds, 1 << 30).select("id", F.col("hop").cast("long").alias("hop"))
+
+
 def g1_subcircuit(spark: SparkSession, d: str) -> DataFrame:
     """The first 1,500 cells downstream of one class, with the signed weights between them."""
     n, e = nodes(spark, d), edges(spark, d)
@@ -43,9 +50,15 @@ def g4_largest_scc(spark: SparkSession, d: str) -> DataFrame:
 
 
 def g5_components(spark: SparkSession, d: str) -> DataFrame:
+    """A slice that SQL can check: rows of weight 60 and more. The whole is g5_all_components."""
     return G.components(E.strong(edges(spark, d), 60))
 
 
+def g5_all_components(spark: SparkSession, d: str) -> DataFrame:
+    """Components over all edge rows."""
+    return G.components(edges(spark, d))
+
+
 def g6_power(spark: SparkSession, d: str) -> DataFrame:
     """Three rounds on the pairs' weights: the vector's entries of 0.01 and more."""
     _, v = G.power_iteration(E.pairs(edges(spark, d)), 3, tolerance=0.0)
@@ -168,7 +181,7 @@ def l16_energy(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    g1_levels, g1_subcircuit, g2_paths, g4_largest_scc, g5_components, g6_power, t3_winners, t4_exactly, l6_coincidence, l7_rules, j14_overlaps, j13_sector, j20_circular_nearest, j21_nearest_name,
+    g1_levels, g1_all_levels, g1_subcircuit, g2_paths, g4_largest_scc, g5_components, g5_all_components, g6_power, t3_winners, t4_exactly, l6_coincidence, l7_rules, j14_overlaps, j13_sector, j20_circular_nearest, j21_nearest_name,
     l4_nearest_vectors, l4_centroids, text_tokens, text_grams, json_props, l12_controller, l13_sums_in_texts, g27_alu, l16_energy,
 )}
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from axonlake.operators import edges as E
 from axonlake.operators import graph_iter as G
 from axonlake.operators import simulate as M
+from axonlake.plans import graph_search as Q
 
 EDGES = [(1, 2), (2, 3), (3, 1), (3, 4), (4, 5), (5, 4), (6, 6), (7, 8), (2, 9), (9, 4), (1, 2)]
 
@@ -47,6 +48,17 @@ def test_components_and_scc(spark):
         assert frozenset(scc) in sccs and len(scc) == most if most > 1 else not scc
 
 
+def test_whole_graph_queries(spark, monkeypatch):
+    rng = random.Random(7)
+    pairs = [(rng.randrange(60), rng.randrange(60)) for _ in range(45)] + [(100 + i, 101 + i) for i in range(9)]
+    monkeypatch.setattr(Q, "edges", lambda *_: graph(spark, pairs))  # all weights are 1
+    monkeypatch.setattr(Q, "nodes", lambda *_: spark.createDataFrame([(100, "Kenyon_Cell", "left"), (pairs[0][0], "Kenyon_Cell", "right")], "id long, cell_class string, side string"))
+    both = pairs + [(b, a) for a, b in pairs]
+    got = {r["id"]: r["comp"] for r in Q.QUERIES["g5_all_components"](spark, "").collect()}
+    assert got == {x: min(reach(both, {x})) for p in pairs for x in p}
+    assert {(r["id"], r["hop"]) for r in Q.QUERIES["g1_all_levels"](spark, "").collect()} == {(100 + i, i) for i in range(10)}
+
+
 def test_power(spark):
     rng = np.random.default_rng(1)
     w = rng.random((6, 6)) + 0.1
