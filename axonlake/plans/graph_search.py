@@ -60,11 +60,17 @@ def g5_all_components(spark: SparkSession, d: str) -> DataFrame:
 
 
 def g6_power(spark: SparkSession, d: str) -> DataFrame:
-    """Three rounds on the pairs' weights: the vector's entries of 0.01 and more."""
+    """Three rounds on the pairs' weights: the vector's entries of 0.01 and more; a slice that SQL can check. The whole is g6_radius."""
     _, v = G.power_iteration(E.pairs(edges(spark, d)), 3, tolerance=0.0)
     return v.select("id", F.round("x", 6).alias("x")).where("x >= 0.01")
 
 
+def g6_radius(spark: SparkSession, d: str) -> DataFrame:
+    """The spectral radius of the pairs' weights, to the reference's 400 rounds and tolerance, with every entry of the vector; converged is false if the rounds ran out."""
+    radius, v, converged = G.spectrum(E.pairs(edges(spark, d)), 400, 1e-12)
+    return v.select("id", "x", F.lit(radius).alias("radius"), F.lit(converged).alias("converged"))
+
+
 def t3_winners(spark: SparkSession, d: str) -> DataFrame:
     p = edges(spark, d).where("np IS NOT NULL").groupBy("np", "post").agg(F.sum("w").alias("w"))
     return C.winners(p, ["np"], "w", 10)
@@ -181,7 +187,7 @@ def l16_energy(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    g1_levels, g1_all_levels, g1_subcircuit, g2_paths, g4_largest_scc, g5_components, g5_all_components, g6_power, t3_winners, t4_exactly, l6_coincidence, l7_rules, j14_overlaps, j13_sector, j20_circular_nearest, j21_nearest_name,
+    g1_levels, g1_all_levels, g1_subcircuit, g2_paths, g4_largest_scc, g5_components, g5_all_components, g6_power, g6_radius, t3_winners, t4_exactly, l6_coincidence, l7_rules, j14_overlaps, j13_sector, j20_circular_nearest, j21_nearest_name,
     l4_nearest_vectors, l4_centroids, text_tokens, text_grams, json_props, l12_controller, l13_sums_in_texts, g27_alu, l16_energy,
 )}
 

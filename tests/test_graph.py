@@ -68,6 +68,22 @@ def test_power(spark):
     assert G.power_iteration(e.limit(0), 3)[0] == 0.0
 
 
+def test_whole_spectrum(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    w = np.zeros((30, 30))
+    w[:29, :29] = rng.random((29, 29)) * (rng.random((29, 29)) < 0.3) + 0.01
+    w[3, :29], w[29, 0] = 1e-4, 0.5  # little comes from node 3; node 29 has no input
+    e = spark.createDataFrame([(int(i), int(j), float(w[i, j])) for i, j in zip(*np.nonzero(w))], "pre long, post long, w double")
+    monkeypatch.setattr(Q, "edges", lambda *_: e)
+    rows = Q.QUERIES["g6_radius"](spark, "").collect()
+    values, vectors = np.linalg.eig(w.T)
+    top = np.argmax(abs(values))
+    want = abs(vectors[:, top].real)
+    assert len(rows) == 30 and all(r["converged"] and r["radius"] == pytest.approx(abs(values[top]), rel=1e-9) for r in rows)
+    assert [r["x"] for r in sorted(rows)] == pytest.approx(list(want / np.linalg.norm(want)), abs=1e-6)
+    assert not G.spectrum(e, 2)[2]
+
+
 def test_edge_slices(spark):
     e = spark.createDataFrame([(1, 2, "a", 2), (1, 2, "b", 2), (2, 1, "a", 5), (3, 3, "a", 4), (4, 1, None, 9)], "pre long, post long, np string, w long")
     assert E.pairs(E.strong(e, 3)).count() == 3  # rows of 2 + 2 don't pass a threshold of 3 per row
