@@ -62,18 +62,18 @@ def p9_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return residue.residue(table(spark, sf_dir, "documents")).select("doc_id").distinct()
+    return residue.residue(table(spark, sf_dir, "documents"), lang="lang").select("doc_id").distinct()
 
 
 def p10_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What was left out, and why."""
-    return residue.residue(table(spark, sf_dir, "documents"))
+    return residue.residue(table(spark, sf_dir, "documents"), lang="lang")
 
 
 def p10_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The corpus without the documents left out."""
     docs = table(spark, sf_dir, "documents")
-    return docs.join(residue.residue(docs).select("doc_id").distinct(), "doc_id", "left_anti")
+    return docs.join(residue.residue(docs, lang="lang").select("doc_id").distinct(), "doc_id", "left_anti")
 
 
 QUERIES = {"p2_found": p2_found, "p3_percentiles": p3_percentiles, "p8_ids": p8_ids, "p9_containers": p9_containers, "p9_fill": p9_fill, "p10_found": p10_found, "p10_reasons": p10_reasons, "p10_kept": p10_kept}

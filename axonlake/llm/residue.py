@@ -7,7 +7,9 @@ words and by how many documents it is seen in, and the verdict goes back to all
 no ordinary sentence stands in place of a section, and its document is a case. Unresolved slots are looked for apart from that, in every
 ordinary line: in prose, headings and field lines, not in code, formulas, sets, quotes, or sentences that speak of slots.
 
-Filler without meaning shows by its words: hardly any of them is found in templates that several documents share.
+Filler without meaning shows by its words: hardly any of them is found in templates that several documents share, nor, word by word, in a
+share of the texts of a language, and it lacks function words. That says something only where the corpus knows the language: with fewer
+than LEAST_TEXTS distinct texts, or where a large part of its sentences would be judged so, absence gives no verdict.
 
 Defined cases: null, empty and blank texts are no cases; a repeated text is a case each time (support counts distinct texts); very long
 texts are read whole; an empty table gives no rows.
@@ -30,6 +32,11 @@ DEPTH = 3
 ALIKE = 0.8
 #: Distinct texts that share a template from which on its words count as the corpus's own.
 SUPPORT = 5
+#: Share of a language's texts, two at least, from which on a word counts as heard wherever it stands.
+HEARD = 0.01
+#: Absence of words says nothing in a language of fewer distinct texts, or with a larger share of strange sentences among strange and ordinary ones.
+LEAST_TEXTS = 20
+MOST_STRANGE = 0.2
 BROADCAST_WORDS = 200_000
 
 _UP = "A-ZÇĞİÖŞÜÄÑÁÉÍÓÚ"
@@ -264,34 +271,59 @@ def by_form(template: str) -> str | None:
     return None
 
 
-def meaningless(words: list[str], known: int) -> bool:
-    """Whether a unit's words are keyboard walks, one word over and over, or hardly any the corpus's own."""
+#: Words that hold sentences together, whatever they speak of, by language.
+_FUNCTION_WORDS = tuple(
+    frozenset(x.split())
+    for x in (
+        "the of and to is are was were be been with for from by at as that this it not which when while after before than then into on or its their they we our an has have had but if there where no",
+        "der die das den dem des und ist sind war ein eine einen einem einer nicht mit von im in auf für als auch nach vor bei aus wird werden wurde sich dass wenn aber oder noch nur wer wo steht um",
+        "el la los las de del y que en un una es son fue con por para no sus al como más pero cuando donde sobre entre desde hasta este esta ese otra otro vez",
+        "ve bir bu şu da de ile için gibi kadar daha çok ama değil her olarak olan var yok sonra önce ise göre iki yine kez",
+    )
+)
+
+
+def spoken(words: list[str]) -> bool:
+    """Whether two different function words of one language are among the words."""
+    own = set(words)
+    return any(len(own & f) >= 2 for f in _FUNCTION_WORDS)
+
+
+def drummed(words: list[str]) -> bool:
+    """Whether a unit's words are keyboard walks, or one word over and over."""
     if len(words) < 4:
         return False
     keys = sum(bool(_KEYS.match(re.sub(r"\d", "", w))) for w in words)
-    return keys >= 0.6 * len(words) or (len(words) >= 8 and len(set(words)) <= 0.25 * len(words)) or known <= 0.34 * len(words)
+    return keys >= 0.6 * len(words) or (len(words) >= 8 and len(set(words)) <= 0.25 * len(words))
+
+
+def meaningless(words: list[str], known: int) -> bool:
+    """Whether a unit's words are drummed, or hardly any is known and they don't read as a sentence."""
+    return len(words) >= 4 and (drummed(words) or (known <= 0.34 * len(words) and not spoken(words)))
 
 
 def verdict(unit: str, known: int) -> str:
-    """error, notice, filler, ordinary (a sentence of the corpus's own words) or neutral (headings, names, short bits)."""
+    """error, notice, filler, ordinary (a sentence of the corpus's own words), neutral (headings, names, short bits) or strange: filler, if its other words aren't heard either and the corpus knows the language."""
     form = by_form(unit)
     if form:
         return form
     words = [w for w in _WORD.findall(unit.replace("4xx", " "))]
-    if meaningless(words, known):
+    if drummed(words):
         return "filler"
+    if meaningless(words, known):
+        return "strange"
     return "ordinary" if len(words) >= 4 and known >= 0.6 * len(words) else "neutral"
 
 
-def document_lines(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """(doc_id, text_key, line_no, kind, slots, units) of all lines that aren't code, tables or logs."""
+def document_lines(docs: DataFrame, doc_id: str, text: str, lang: str | None = None) -> DataFrame:
+    """(doc_id, text_key, lang_key, line_no, kind, slots, units) of all lines that aren't code, tables or logs; lang_key stands for the language's name, one for all texts without."""
 
     kind_of_id = docs.select(F.col(doc_id).alias("doc_id")).schema[0].dataType.simpleString()
 
     def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at, numbers, kinds, found, sentences = [], [], [], [], []
-            for i, t in enumerate(batch.column(2).to_pylist()):
+            for i, t in enumerate(batch.column(3).to_pylist()):
                 for n, (kind, line) in enumerate(text_lines(t)):
                     if kind == "prose":
                         at.append(i)
@@ -307,18 +339,21 @@ def document_lines(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
                         sentences.append([])
             rows = pa.array(at, pa.int32())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(rows), batch.column(1).take(rows), pa.array(numbers, pa.int32()), pa.array(kinds, pa.string()), pa.array(found, pa.int32()), pa.array(sentences, pa.list_(pa.string()))],
-                names=["doc_id", "text_key", "line_no", "kind", "slots", "units"],
+                [batch.column(0).take(rows), batch.column(1).take(rows), batch.column(2).take(rows), pa.array(numbers, pa.int32()), pa.array(kinds, pa.string()), pa.array(found, pa.int32()), pa.array(sentences, pa.list_(pa.string()))],
+                names=["doc_id", "text_key", "lang_key", "line_no", "kind", "slots", "units"],
             )
 
-    rows = docs.where(F.col(text).isNotNull()).select(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("text_key"), F.col(text).alias("text"))
-    return rows.mapInArrow(take, f"doc_id {kind_of_id}, text_key long, line_no int, kind string, slots int, units array<string>")
+    name = F.coalesce(F.lower(F.trim(lang)), F.lit("")) if lang else F.lit("")
+    rows = docs.where(F.col(text).isNotNull()).select(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("text_key"), F.xxhash64(name).alias("lang_key"), F.col(text).alias("text"))
+    return rows.mapInArrow(take, f"doc_id {kind_of_id}, text_key long, lang_key long, line_no int, kind string, slots int, units array<string>")
 
 
 def mined(lines: DataFrame) -> DataFrame:
     """(unit, template, verdict) of every distinct masked unit."""
-    each = lines.where("kind = 'prose'").select("text_key", F.explode("units").alias("unit")).where("unit != ''").distinct()
-    support = materialize(each.groupBy("unit").agg(F.count(F.lit(1)).alias("support")), "unit-support")
+    said = lines.where("kind = 'prose'").select("text_key", "lang_key", F.explode("units").alias("unit")).where("unit != ''")
+    each = said.groupBy("text_key", "unit").agg(F.min("lang_key").alias("lang_key"))
+    support = each.groupBy("unit").agg(F.count(F.lit(1)).alias("support"), F.min("lang_key").alias("lang_a"), F.max("lang_key").alias("lang_z"))
+    support = materialize(support, "unit-support")
     words = F.split("unit", " ")
     leafed = support.withColumn("leaf", F.concat_ws(" ", F.size(words).cast("string"), F.slice(words, 1, DEPTH)))
 
@@ -337,26 +372,46 @@ def mined(lines: DataFrame) -> DataFrame:
     grown = leafed.repartition("leaf").sortWithinPartitions("leaf").select("leaf", "unit", "support").mapInPandas(grow, "unit string, template string")
     templates = grown.join(support, "unit")
     templates = materialize(templates, "templates")
-    shared = templates.groupBy("template").agg(F.sum("support").alias("n"), F.max_by("unit", F.struct("support", "unit")).alias("exemplar"))
+    shared = templates.groupBy("template").agg(F.sum("support").alias("n"), F.max_by("unit", F.struct("support", "unit")).alias("exemplar"), F.min("lang_a").alias("lang_a"), F.max("lang_z").alias("lang_z"))
     shared = materialize(shared, "shared-templates")
 
-    split = lambda c: F.array_distinct(F.regexp_extract_all(F.regexp_replace(c, "4xx", " "), F.lit(r"(\p{L}+(?:['’]\p{L}+)*)"), F.lit(1)))
-    own = shared.where(F.col("n") >= SUPPORT).select(F.explode(split(F.col("template"))).alias("word")).distinct().withColumn("own", F.lit(1))
-    used = shared.select("exemplar", F.explode(F.regexp_extract_all(F.regexp_replace("exemplar", "4xx", " "), F.lit(r"(\p{L}+(?:['’]\p{L}+)*)"), F.lit(1))).alias("word"))
-    known = used.join(own, "word", "left").groupBy("exemplar").agg(F.coalesce(F.sum("own"), F.lit(0)).alias("known"))
-    cases = shared.join(known, "exemplar", "left").select("template", "exemplar", "n", F.coalesce("known", F.lit(0)).alias("known"))
+    found = lambda c: F.regexp_extract_all(F.regexp_replace(c, "4xx", " "), F.lit(r"(\p{L}+(?:['’]\p{L}+)*)"), F.lit(1))
+    own = shared.where(F.col("n") >= SUPPORT).select(F.explode(F.array_distinct(found("template"))).alias("word")).distinct()
+    used = shared.select("exemplar", F.explode(found("exemplar")).alias("word"))
+    known = used.join(own.withColumn("own", F.lit(1)), "word", "left").groupBy("exemplar").agg(F.coalesce(F.sum("own"), F.lit(0)).alias("known"))
+    lang = F.when(F.col("lang_a") == F.col("lang_z"), F.col("lang_a"))  # null: said in several languages, so it goes by all texts
+    cases = shared.join(known, "exemplar", "left").select("template", "exemplar", "n", lang.alias("lang_key"), F.coalesce("known", F.lit(0)).alias("known"))
 
     @F.pandas_udf("string")
     def judge(exemplar: pd.Series, known: pd.Series) -> pd.Series:
         return pd.Series([verdict(u, k) for u, k in zip(exemplar, known)])
 
-    judged = cases.select("template", "n", judge("exemplar", "known").alias("verdict"))
-    return templates.select("unit", "template").join(judged, "template")
-
-
-def residue(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, reason, n_lines) of the documents with residue; reason is slot, page, error, notice or filler."""
-    lines = materialize(document_lines(docs, doc_id, text), "document-lines")
+    first = materialize(cases.select("template", "exemplar", "n", "lang_key", "known", judge("exemplar", "known").alias("verdict")), "judged")
+    texts = lines.where("kind = 'prose'").groupBy("text_key").agg(F.min("lang_key").alias("lang_key")).groupBy("lang_key").agg(F.count(F.lit(1)).alias("texts"))
+    texts = materialize(texts, "texts-by-language")
+    small = lambda t: F.broadcast(t) if t.count() <= BROADCAST_WORDS else t
+    odd = materialize(first.where("verdict = 'strange'").select("template", F.explode(found("exemplar")).alias("word")).join(own, "word", "left_anti"), "strange-words")
+    rare = templates.select("unit", F.explode(F.array_distinct(found("unit"))).alias("word")).join(small(odd.select("word").distinct()), "word")
+    rare = materialize(rare, "units-of-strange-words")
+    uses = said.join(small(rare), "unit").groupBy("text_key", "word").agg(F.min("lang_key").alias("lang_key")).groupBy("lang_key", "word").agg(F.count(F.lit(1)).alias("uses"))
+    heard = uses.join(F.broadcast(texts), "lang_key").where((F.col("uses") >= 2) & (F.col("uses") >= HEARD * F.col("texts"))).select("word").distinct()
+    more = odd.join(heard, "word").groupBy("template").agg(F.count(F.lit(1)).alias("heard"))
+    clear = (F.col("verdict") == "strange") & (F.col("known") + F.coalesce("heard", F.lit(0)) > 0.34 * F.size(found("exemplar")))
+    judged = first.join(more, "template", "left").select("template", "n", "lang_key", F.when(clear, "neutral").otherwise(F.col("verdict")).alias("verdict"))
+    judged = materialize(judged, "judged-again")
+    kinds = judged.groupBy("lang_key").agg(*(F.coalesce(F.sum(F.when(F.col("verdict") == v, F.col("n"))), F.lit(0)).alias(v) for v in ("strange", "ordinary")))
+    enough = (F.col("texts") >= LEAST_TEXTS) & (F.col("strange") <= MOST_STRANGE * (F.col("strange") + F.col("ordinary")))
+    by_lang = texts.join(kinds, "lang_key").select("lang_key", enough.alias("tells"))
+    everywhere = texts.agg(F.sum("texts").alias("texts")).crossJoin(kinds.agg(F.sum("strange").alias("strange"), F.sum("ordinary").alias("ordinary")))
+    tells = by_lang.unionAll(everywhere.select(F.lit(None).cast("long").alias("lang_key"), enough.alias("tells")))
+    at = judged.alias("j").join(F.broadcast(tells.alias("t")), F.expr("j.lang_key <=> t.lang_key"), "left")
+    final = F.when(F.col("verdict") == "strange", F.when(F.col("tells"), "filler").otherwise("neutral")).otherwise(F.col("verdict"))
+    return templates.select("unit", "template").join(at.select("template", "n", final.alias("verdict")), "template")
+
+
+def residue(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str | None = None) -> DataFrame:
+    """(doc_id, reason, n_lines) of the documents with residue; reason is slot, page, error, notice or filler. lang names the column of the texts' language, if there is one."""
+    lines = materialize(document_lines(docs, doc_id, text, lang), "document-lines")
     verdicts = materialize(mined(lines).select("unit", "verdict"), "verdicts")
     open_slots = lines.where("slots > 0").select("doc_id", "line_no", F.lit("slot").alias("reason"))
     pages = lines.where("kind = 'page'").select("doc_id", "line_no", F.lit("page").alias("reason"))

@@ -46,3 +46,14 @@ def test_documents(spark):
     got = residue(spark.createDataFrame(rows, "doc_id long, text string, reason string"))
     assert {r["doc_id"] for r in got.collect()} == {*cases, 50}
     assert residue(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_no_verdict_from_absence_in_few_texts(spark):
+    said = ["Energy fell by 3 per minute while the fly was idle.", "Kolun zayıf satırları takas denetiminden sonra eşiği aşıyor.", "Fliege zeigt wieder diesen sonderbaren Geruch.", "Zeta motor neurons project bilaterally downwards."]
+    langs = ["en", "tr", "de", None]
+    few = spark.createDataFrame([(i, t, g) for i, (t, g) in enumerate(zip(said, langs))], "doc_id long, text string, lang string")
+    assert residue(few, lang="lang").count() == 0
+    strange = "zarn quilp vextor blimf dranz quorl snib."
+    many = [(100 + i, t, "en") for i, t in enumerate(NORMAL)] + [(200 + i, f"{t} Row {i}", "EN ") for i, t in enumerate(NORMAL)]
+    got = residue(few.unionByName(spark.createDataFrame(many + [(300, strange, "en"), (301, "dranz blimf korl vext snorb quilk.", "de")], few.schema)), lang="lang")
+    assert {r["doc_id"] for r in got.collect()} == {300}  # a large corpus says nothing about the languages it has few texts of
