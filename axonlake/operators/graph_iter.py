@@ -6,6 +6,8 @@ so adaptive execution can split the edge side. Edges are (pre, post); null ends
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,25 +37,26 @@ def levels(edges: DataFrame, seeds: DataFrame, hops: int, limit: int | None = No
     return found.orderBy("hop", "parent", "id").limit(limit) if limit else found
 
 
-def shortest_path(edges: DataFrame, sources: DataFrame, targets: DataFrame, max_hops: int = 12) -> list[int] | None:
-    """The nodes of one shortest path from any source to any target, with the smallest parents; None if there is none. A node in both sets is a path of its own."""
+def shortest_path(edges: DataFrame, sources: DataFrame, targets: DataFrame, max_hops: int | None = None) -> list[int] | None:
+    """The nodes of one shortest path from any source to any target, with the smallest parents; None if there is none. A node in both sets is a path of its own. A search that ends at max_hops with nodes left to look at raises."""
     e = materialize(_ends(edges), "path-edges")
     layers = [materialize(sources.select("id").distinct().select("id", F.lit(None).cast("long").alias("parent")), "path-0")]
     seen = layers[0].select("id")
     goal = targets.select("id").distinct()
-    for hop in range(max_hops + 1):
+    for hop in itertools.count():
         hit = layers[-1].join(goal, "id", "left_semi").agg(F.min("id").alias("id")).first()["id"]
         if hit is not None:
             path = [hit]
             for layer in reversed(layers[1:]):  # one row per hop
                 path.append(layer.where(F.col("id") == path[-1]).first()["parent"])
             return path[::-1]
+        if max_hops is not None and hop >= max_hops:
+            raise RuntimeError(f"no path within {max_hops} hops, and the search isn't at its end")
         step = e.join(layers[-1].select(F.col("id").alias("pre")), "pre").groupBy(F.col("post").alias("id")).agg(F.min("pre").alias("parent"))
         layers.append(materialize(step.join(seen, "id", "left_anti"), f"path-{hop + 1}"))
         if not layers[-1].count():
             return None
         seen = seen.unionAll(layers[-1].select("id"))
-    return None
 
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -70,8 +73,8 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         jumped = materialize(jumped, "labels")
         labels = jumped.select("id", "comp")
         if not jumped.where("was != comp").limit(1).count():
-            break
-    return labels
+            return labels
+    raise RuntimeError(f"components still change after {max_rounds} rounds")
 
 
 def _reach(e: DataFrame, start: DataFrame, forward: bool) -> DataFrame:
@@ -105,6 +108,8 @@ def largest_scc(edges: DataFrame, max_rounds: int = 1000) -> DataFrame:
         if n > size:
             best, size = scc, n
         e = materialize(e.join(scc.withColumnRenamed("id", "pre"), "pre", "left_anti").join(scc.withColumnRenamed("id", "post"), "post", "left_anti"), "scc-edges")
+    else:
+        raise RuntimeError(f"nodes are left after {max_rounds} rounds")
     return best if best is not None else edges.select(F.col("pre").alias("id")).limit(0)
 
 

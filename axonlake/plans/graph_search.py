@@ -40,7 +40,7 @@ def g1_subcircuit(spark: SparkSession, d: str) -> DataFrame:
 def g2_paths(spark: SparkSession, d: str) -> DataFrame:
     """One shortest path between two classes, with the synapses of each hop from all rows of the pair."""
     n, e = nodes(spark, d), edges(spark, d)
-    path = G.shortest_path(E.strong(e, 30), n.where("super_class = 'sensory'").select("id"), n.where("super_class = 'motor'").select("id")) or []
+    path = G.shortest_path(E.strong(e, 5), n.where("super_class = 'sensory'").select("id"), n.where("super_class = 'motor'").select("id")) or []
     hops = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(zip(path, path[1:]))], "hop int, pre long, post long")
     return hops.join(E.pairs(e), ["pre", "post"], "left")
 

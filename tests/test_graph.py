@@ -48,6 +48,15 @@ def test_components_and_scc(spark):
         assert frozenset(scc) in sccs and len(scc) == most if most > 1 else not scc
 
 
+def test_limits_raise(spark):
+    chain = graph(spark, [(i, i + 1) for i in range(15)])
+    ids = lambda x: spark.createDataFrame([(x,)], "id long")
+    assert G.shortest_path(chain, ids(0), ids(15)) == list(range(16))
+    for unfinished in (lambda: G.shortest_path(chain, ids(0), ids(15), 3), lambda: G.components(chain, 1), lambda: G.largest_scc(graph(spark, [(1, 2), (2, 1), (3, 4), (4, 3), (3, 5), (5, 3)]), 1)):
+        with pytest.raises(RuntimeError):
+            unfinished()
+
+
 def test_whole_graph_queries(spark, monkeypatch):
     rng = random.Random(7)
     pairs = [(rng.randrange(60), rng.randrange(60)) for _ in range(45)] + [(100 + i, 101 + i) for i in range(9)]
