@@ -18,6 +18,7 @@ texts are read whole; an empty table gives no rows.
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections.abc import Iterator
 from operator import eq
 
@@ -157,9 +158,9 @@ def _is_code(line: str, bare: str) -> bool:
 
 
 def text_lines(text: str) -> Iterator[tuple[str, str]]:
-    """(kind, line): code, table or log lines are told from ordinary ones by form."""
+    """(kind, line) of the text in composed letters: code, table or log lines are told from ordinary ones by form."""
     fenced = False
-    for line in _LINE_END.split(text.replace("\u200b", "").replace("\ufeff", "").replace("\xa0", " ")):
+    for line in _LINE_END.split(unicodedata.normalize("NFC", text).replace("\u200b", "").replace("\ufeff", "").replace("\xa0", " ")):
         bare = line.strip()
         if not bare:
             continue

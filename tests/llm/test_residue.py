@@ -1,3 +1,5 @@
+import unicodedata
+
 from axonlake.llm.residue import by_form, cluster, meaningless, residue, slots, text_lines, units
 
 NORMAL = [f"The {a} arm keeps {n} weak rows of the inner ring after the swap control." for a in ("left", "right", "wired", "free") for n in range(5)]
@@ -57,3 +59,10 @@ def test_no_verdict_from_absence_in_few_texts(spark):
     many = [(100 + i, t, "en") for i, t in enumerate(NORMAL)] + [(200 + i, f"{t} Row {i}", "EN ") for i, t in enumerate(NORMAL)]
     got = residue(few.unionByName(spark.createDataFrame(many + [(300, strange, "en"), (301, "dranz blimf korl vext snorb quilk.", "de")], few.schema)), lang="lang")
     assert {r["doc_id"] for r in got.collect()} == {300}  # a large corpus says nothing about the languages it has few texts of
+
+
+def test_decomposed_letters():
+    for text, reason in (("Hier steht später ein Füllabsatz.", "filler"), ("La sesión ha caducado.", "error"), ("Zaman aşımı oldu.", "error")):
+        for form in ("NFC", "NFD"):
+            ((_, line),) = text_lines(unicodedata.normalize(form, text))
+            assert [by_form(u) for u in units(line)] == [reason]
