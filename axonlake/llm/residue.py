@@ -1,15 +1,28 @@
 """Template residue, filler, error pages and script notices.
 
 Documents are taken apart into lines without code and quoted spans, and lines into units (sentences). Units are masked (numbers, names with
-digits or capitals, slots), and message templates are mined from them with a prefix tree of fixed depth: the leaf is given by the kind of
-unit, its length and its first words; within a leaf, units alike in most places form a template. Each template is classified once, by its
-words and by how many documents it is seen in, and the verdict goes back to all its units. A line that holds a unit of a bad template and
-no ordinary sentence stands in place of a section, and its document is a case. Unresolved slots are looked for apart from that, in every
-ordinary line: in prose, headings and field lines, not in code, formulas, sets, quotes, or sentences that speak of slots.
+digits or capitals, slots), and message templates are mined from them with a prefix tree of fixed depth: the leaf is given by a unit's
+length and its first words; within a leaf, units alike in most places form a template. A template is classified once, from its texts in
+all of the corpus:
+
+1. Words only make it a suspect. A template whose texts mostly carry a cue (CUES: the usual words of failures, notices and filler), whose
+   words are those of such templates rather than of the others (log odds learnt from the corpus), or that often shares a line with a cue,
+   is a suspect.
+2. Company decides. What is said in running text, in lines whose other words are mostly beyond suspicion, speaks of such things and is
+   ordinary. A suspect with a cue that mostly stands otherwise is residue; a suspect without a cue is residue if it shares lines with cued
+   ones more often than with ordinary ones, or, when it's always alone, if its words say so.
+
+The verdict goes back to all units of the template. A line whose words are, for STANDS at least, units of residue stands in place of a
+section, and its document is a case. Unresolved slots are looked for apart from that, in every ordinary line: in prose, headings and field
+lines, not in code, formulas, sets, quotes, or sentences that speak of slots.
 
 Filler without meaning shows by its words: hardly any of them is found in templates that several documents share, nor, word by word, in a
 share of the texts of a language, and it lacks function words. That says something only where the corpus knows the language: with fewer
-than LEAST_TEXTS distinct texts, or where a large part of its sentences would be judged so, absence gives no verdict.
+than LEAST_TEXTS distinct texts, or where a large part of its sentences would be judged so, absence gives no verdict. Nor does the absence
+of fewer than LEAST_WORDS words. Keys struck at random and one unit over and over are filler in any language.
+
+Only distinct units, suspects and their lines are shuffled; ordinary sentences never are after they are counted. A leaf of many units is
+mined in parts of LEAF_UNITS whose templates are mined once more.
 
 Defined cases: null, empty and blank texts are no cases; a repeated text is a case each time (support counts distinct texts); very long
 texts are read whole; an empty table gives no rows.
@@ -17,6 +30,7 @@ texts are read whole; an empty table gives no rows.
 
 from __future__ import annotations
 
+import math
 import re
 import unicodedata
 from collections.abc import Iterator
@@ -26,11 +40,14 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from axonlake.sources.scratch import materialize
 
 DEPTH = 3
 ALIKE = 0.8
+#: Units of a leaf that one task mines at a time.
+LEAF_UNITS = 50_000
 #: Distinct texts that share a template from which on its words count as the corpus's own.
 SUPPORT = 5
 #: Share of a language's texts, two at least, from which on a word counts as heard wherever it stands.
@@ -38,7 +55,14 @@ HEARD = 0.01
 #: Absence of words says nothing in a language of fewer distinct texts, or with a larger share of strange sentences among strange and ordinary ones.
 LEAST_TEXTS = 20
 MOST_STRANGE = 0.2
-BROADCAST_WORDS = 200_000
+LEAST_WORDS = 4
+#: Share of its texts in which a template without a cue shares a line with a cue, from which on it is a suspect, and with cued templates only, from which on it may be residue, whatever its words.
+SUSPECT = 0.1
+COMPANY = 0.25
+#: Share of the words of a line from which on residue stands in place of the line.
+STANDS = 0.3
+#: Rows of a broadcast side; above, a shuffle join does the same.
+BROADCAST_ROWS = 200_000
 
 _UP = "A-ZÇĞİÖŞÜÄÑÁÉÍÓÚ"
 _MARKUP = {
@@ -48,25 +72,25 @@ _MARKUP = {
 _HERE = r"(?:here|hier|hier eintragen|hier einfügen|buraya|buraya yazın|aquí)"
 _ASK = r"(?:insert|enter|add|your|fill in|type|choose|einfügen|eintragen|inserte|insertar|ponga|escriba|ekle|girin|yazın)"
 SLOT = re.compile(
-    r"\{\{[^{}\n]{0,80}\}\}|\{%[^%\n]{0,80}%\}|\[%[^%\n]{0,80}%\]|<%[^%\n]{0,80}%>|[$#]\{[^{}\n]{1,60}\}|%\([^()\n]{1,40}\)[sdf]|(?<![\w%])%["
-    + _UP + r"_]{3,}%|(?<![\w%\d])(?<!\d )%[sd](?!\w)|\[\[[^\[\]\n]{1,60}\]\]|<<[^<>\n]{1,60}>>|(?<!\w)__[^\W\d_]\w*?__(?!\w)|@@\w[\w ]*@@|(?<![\w.@])@[^\W\d]\w+@(?!\w)"
-    r"|\*\*\*[^\W\d_][\w ]*\*\*\*|\[(?:[" + _UP + r"][" + _UP + r"_ ]{2,50}|" + _ASK + r" [^\[\]\n]{1,50}|[^\[\]\n]{1,50} " + _HERE + r"|[^\[\]\n]{1,50} (?:einfügen|eintragen))\]"
-    r"|<(?P<tag>[^\W\d_][\w .-]{1,50})>|«(?P<said>[^\W\d_][\w]*(?: \w+){0,3})»|(?<![\w^_\\{$#])\{(?P<set>[^\W\d_][\w. ]{2,50}|\d?)\}(?!\})"
-    r"|\([^()\n]{1,50} " + _HERE + r"\)|(?<!\w)X{3,}(?!\w)|(?<![\w_])_{3,}(?![\w_])|(?<![.\w])\.{5,}(?!\w)|(?<![.\w…])…{2,}|\bTBD_\w+|(?<!\w)\w+_HERE\b|(?<![\w$])\$[" + _UP + r"][" + _UP + r"_]{2,}(?!\w)"
+    r"\{\{[^{}\n]*\}\}|\{%[^%\n]*%\}|\[%[^%\n]*%\]|<%[^%\n]*%>|[$#]\{[^{}\n]+\}|\{(?P<sign>[*~=+:|!&-])[^{}\n]+(?P=sign)\}|%\([^()\n]+\)[sdf]|%\d+\$[sdf](?!\w)|(?<![\w%])%["
+    + _UP + r"_]{3,}%|(?<![\w%\d])(?<!\d )%[sd](?!\w)|\[\[[^\[\]\n]+\]\]|<<[^<>\n]+>>|(?<!\w)__[^\W\d_]\w*?__(?!\w)|@@\w[\w ]*@@|(?<![\w.@])@[^\W\d]\w+@(?!\w)"
+    r"|\*\*\*[^\W\d_][\w ]*\*\*\*|~~[^\W\d_][\w ]*~~|\[(?:[" + _UP + r"][" + _UP + r"_ ]{2,}|" + _ASK + r" [^\[\]\n]+|[^\[\]\n]+ " + _HERE + r"|[^\[\]\n]+ (?:einfügen|eintragen)|[^\W\d_]{3,}(?:[ _][^\W\d_]+)*|[^\W\d_]+(?:[ _][^\W\d_]+)+)\](?!\()"
+    r"|<(?P<tag>[^\W\d_][\w .-]+)>|«(?P<said>[^\W\d_][\w]*(?: \w+){0,3})»|(?<![\w^_\\{$#])\{(?P<set>[^\W\d_][\w. ]{2,}|\d?)\}(?!\})"
+    r"|\([^()\n]+ " + _HERE + r"\)|(?<!\w)X{3,}(?!\w)|(?<![\w_])_{3,}(?![\w_])|(?<![.\w])\.{5,}(?!\w)|(?<![.\w…])…{2,}|\bTBD_\w+|(?<!\w)\w+_HERE\b|(?<![\w$])\$[" + _UP + r"][" + _UP + r"_]{2,}(?!\w)"
 )
 #: What any slot contains; most lines have none of it.
-_MAYBE_SLOT = re.compile(r"[\[{<]{2}|[{<\[][^\W\d_]|[\[{<]%|\{\d?\}|[$#]\{|%[(\w]|\$[^\W\d_]|@[@\w]|«\w|__|\*\*\*|XXX|\.{5}|……|TBD_|_HERE|(?:here|hier|einfügen|eintragen|buraya|yazın|aquí)\)")
+_MAYBE_SLOT = re.compile(r"[\[{<]{2}|[{<\[][^\W\d_]|\{[*~=+:|!&-]|[\[{<]%|\{\d?\}|[$#]\{|%[(\w]|\$[^\W\d_]|@[@\w]|«\w|__|~~|\*\*\*|XXX|\.{5}|……|TBD_|_HERE|(?:here|hier|einfügen|eintragen|buraya|yazın|aquí)\)")
+
+
 def may_hold_slot(x: str) -> bool:
     signs = (
-        "{" in x or "[" in x or "<" in x or "$" in x or "%" in x or "@" in x or "«" in x or "__" in x or "***" in x or "XXX" in x or "....." in x or "……" in x or "TBD_" in x
+        "{" in x or "[" in x or "<" in x or "$" in x or "%" in x or "@" in x or "«" in x or "__" in x or "~~" in x or "***" in x or "XXX" in x or "....." in x or "……" in x or "TBD_" in x
         or "_HERE" in x or "here)" in x or "hier)" in x or "fügen)" in x or "tragen)" in x or "raya)" in x or "azın)" in x or "aquí)" in x
     )
     return signs and bool(_MAYBE_SLOT.search(x))
 
 
-_QUOTED = re.compile(
-    r'"[^"\n]{1,300}?"|“[^”\n]{1,300}[”]|„[^“”\n]{1,300}[“”]|`[^`\n]{1,300}`|(?<!\w)‘[^’\n]{1,300}’|(?<![\w\'])\'(?=\S)[^\n]{1,300}?(?<=\S)\'(?=$|[\s.,;:!?)])(?!\w)'
-)
+_QUOTED = re.compile(r'"[^"\n]+"|“[^“”\n]+”|„[^„“”\n]+[“”]|`[^`\n]+`|(?<!\w)‘[^‘’\n]+’|(?<![\w\'])\'(?=\S)[^\n]+?(?<=\S)\'(?=$|[\s.,;:!?)])(?!\w)')
 _QUOTE_SIGN = re.compile("[\"“„`‘']")
 _AROUND_QUOTE = re.compile(r"\s*‹q›\s*")
 _MENTION = re.compile(
@@ -87,39 +111,26 @@ _STOP = re.compile(r"[.!?…]\s+")
 _BREAK = re.compile(r" +[-–|] +| {2,}|<[^<>\n]{1,40}>")
 _WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
 
-#: Phrases of error pages and messages.
-_ERROR = re.compile(
-    r"^traceback \(most recent|^\w*(?:error|exception): |^error 4xx\b(?! of)|^http/\S* 4xx|\b4xx\b.{0,4}(?:not found|forbidden|bad gateway|service unavailable|too many requests|internal server error|gateway timeout|unauthori[sz]ed)"
-    r"|^(?:page|file|site|scene|report) not found|^(?:forbidden|bad gateway|service unavailable|too many requests|gateway time-?out|internal server error|access denied|session expired|request timed out|oops)\b"
-    r"|something went wrong|(?:unexpected|unknown|internal|fatal) (?:problem|error|server error)|could(?: not|n't) (?:be )?(?:load|found|reach|open|connect|process)\w*|try again (?:in|later|soon)|too many requests|slow down and retry"
-    r"|closed the connection|down for maintenance|permission to (?:open|access|view|see)|session has (?:ended|expired|timed)|sign in again|link may be broken|page may have been (?:moved|removed|deleted)|upstream connect error|^err_[a-z_]+"
-    r"|^fatal: |^(?:php )?(?:warning|notice|fatal error|parse error): .* on line|out of memory|segmentation fault|core dumped|stack trace|connection (?:refused|reset)|contact the administrator"
-    r"|seite (?:wurde )?nicht gefunden|nicht gefunden$|serverfehler|zugriff verweigert|sitzung ist abgelaufen|zeitüberschreitung|später erneut|gibt es auf diesem server nicht|konnte nicht geladen werden|etwas ist schief|keine berechtigung|wird gewartet|wartungsarbeiten|unerwarteter fehler"
-    r"|sayfa bulunamad|sunucu hatas|erişim engellend|zaman aşımı|yeniden deneyin|oturumunuz sona erdi|yetkiniz yok|bu sunucuda yok|bir şeyler ters|yüklenemedi|bakımda|beklenmeyen (?:bir )?hata"
-    r"|página no encontrada|error interno|acceso denegado|sesión ha (?:caducado|expirado)|inténtelo|no existe en este servidor|no se pudo cargar|no tiene permiso|tiempo de espera|algo salió mal|error inesperado|en mantenimiento|demasiadas solicitudes",
-    re.I,
-)
 _ERROR_BODY = re.compile(r'^\s*\{\s*"(?:error|err|fault|exception|errors)"\s*:|^\s*<(?:\?xml[^>]*>\s*<)?(?:Error|Fault)\b|^<Error>|<title>[^<]*(?:error|not found|denied|unavailable|gateway|forbidden|requests|hata|bulunamad|fehler|gefunden|denegado|encontrada|interno|caducad|abgelaufen|engellendi|aşım)', re.I)
-#: What runs in a browser, and what a notice says about it.
-_SCRIPTS = r"(?:java ?scripts?|\bjs\b|(?:client-side )?scripts?\b|scripting|script execution|active content|skripte?n?\b|aktive inhalte|betik\w*|komut dosya\w*|ejecución de scripts|contenido activo|cookies)"
-_DEMAND = (
-    r"(?:enable|allow|permit|activate|switch(?:ed)? (?:on|off)|turn(?:ed)? (?:on|off)|requires?|needs?|necessary|disabled|deactivated|blocked|not supported|does(?: not|n't) support|could not be run|can(?:not|'t) run|unavailable|did not offer"
-    r"|(?:does not|doesn't) (?:work|run)|without|benötig\w+|braucht|aktivier\w+|einschalten|erlauben|zulassen|abgeschaltet|ausgeschaltet|deaktiviert|blockiert|läuft nicht|nicht unterstützt|erforderlich"
-    r"|etkinleştir\w*|gerek\w*|kapalı\w*|açın|açık değil|iznini ver\w*|izin ver\w*|çalışmaz|engellen\w*|desteklen\w*|olmadan|habilit\w+|activ[aeo]\w*|permit\w+|necesita|requiere|bloquead\w+|desactivad\w+|no funciona|deshabilitad\w+|no admite)"
-)
-_NOTICE = re.compile(rf"{_SCRIPTS}.*{_DEMAND}|{_DEMAND}.*{_SCRIPTS}|^<noscript", re.I)
-#: Filler that says it is filler.
-_FILLER = re.compile(
-    r"\b(?:lorem ipsum|dummy (?:copy|text)|placeholder text|filler text|sample (?:text|paragraph|heading|caption|body)|example (?:heading|caption|body|paragraph|text)|caption text|more caption text|body text body text|content goes here|text goes here"
-    r"|(?:first|second|third) point\.|section (?:intro|body|end)|description to be written|to be written\.?$|nothing to see yet|come back when|put the real \w+ in its place|some text about something|add (?:two|three|two or three|some|a few) sentences"
-    r"|(?:this )?(?:space|section|page) is reserved|coming soon|under construction|reserved for the \w+|füllabsatz|fülltext|blindtext|platzhaltertext|beispielabsatz|beispieltext|hier (?:steht|kommt|folgt) (?:später|bald|der)|wird (?:später|noch) (?:ergänzt|geschrieben|nachgereicht)"
-    r"|deneme yazısı|örnek metin|örnek (?:paragraf|başlık)|gerçek açıklama gelecek|sonra yazılacak|içerik hazırlanıyor|şimdilik dolgu|dolgu metni|texto de (?:relleno|ejemplo|muestra)|párrafo de (?:relleno|ejemplo|muestra)|aquí (?:irá|va|vendrá)|se escribirá|descripción verdadera|contenido (?:en preparación|pendiente)|pendiente de (?:redactar|escribir)|de relleno)",
-    re.I,
-)
-_KEYS = re.compile(r"^(?:asd|asdf|asdfg|qwer|qwert|qwerty|jkl|jkl[oö]|lkjh|fgh|fghj|dfg|dfgdfg|sdf|sdfg|hjkl|zxcv|zxc|yxcv|test|foo|bar|baz|bla|blah|xyz|abc|aaa|lorem|ipsum|foobar)$", re.I)
-_NAV = re.compile(
-    r"^(?:skip to content|menu|search|sign in|log in|help|home|back|go back|about|contact|imprint|privacy|return to the start page|oops!?|volver al inicio|ana sayfaya dön|zur startseite|≡.*|©.*|(?:kayıt no|request id|reference|referencia|vorgang|ref|code)\b.*)$", re.I
-)
+#: The usual words of script notices, failures and filler, in lower case. They make a template a suspect, no more.
+CUES = {
+    "notice": r"\b(?:java ?script|js|scripts?|scripting|noscript|active content|skripte?n?|aktive inhalte|betik(?:ler)?|komut dosyaları|contenido activo)\b",
+    "error": (
+        r"^traceback |^\w*(?:error|exception): |^(?:error )?4xx\b|^\* 4xx|^http/\S* 4xx|^err_|^fatal|^(?:php )?(?:warning|notice|parse error): |\b(?:not found|forbidden|bad gateway|service unavailable|too many requests|internal server"
+        r"|gateway time-?out|unauthori[sz]ed|access denied|(?:session|link|token) (?:has )?(?:expired|ended|timed out)|timed out|went wrong|(?:unexpected|unknown|internal|server) (?:problem|error)|could(?: not|n't) (?:be )?(?:load|reach|open|found|find)\w*"
+        r"|try again|maintenance|out of memory|segmentation fault|core dumped|connection (?:refused|reset|closed)|closed the connection|have permission|oops"
+        r"|nicht gefunden|serverfehler|verweigert|sitzung ist abgelaufen|zeitüberschreitung|erneut versuchen|konnte nicht geladen|schiefgelaufen|keine berechtigung|wartungsarbeiten|unerwarteter fehler"
+        r"|bulunamad\w*|sunucu hatası|engellendi|zaman aşımı\w*|yeniden deneyin|oturumunuz|yetkiniz|yüklenemedi|ters gitti"
+        r"|no encontrad[ao]|error interno|denegado|ha (?:caducado|expirado)|inténtelo|no se pudo|no tiene permiso|tiempo de espera|algo salió mal|demasiadas solicitudes)\b"
+    ),
+    "filler": (
+        r"\b(?:lorem|ipsum|(?:dummy|placeholder|filler|sample|example|caption|body) (?:copy|text|paragraph|heading|caption|body)|goes here|to be written|coming soon|under construction|(?:is|are) reserved for"
+        r"|(?:füll|blind|platzhalter|beispiel)(?:absatz|text)|wird (?:später|noch) (?:ergänzt|geschrieben|nachgereicht)|deneme yazısı|örnek (?:metin|paragraf|başlık)|dolgu|sonra yazılacak|hazırlanıyor"
+        r"|(?:texto|párrafo) de (?:relleno|ejemplo|muestra)|pendiente de (?:redactar|escribir)|de relleno)\b"
+    ),
+}
+_CUES = {v: re.compile(p) for v, p in CUES.items()}
+_KEYS = re.compile(r"^(?:asd|asdf|asdfg|qwe|qwer|qwert|qwerty|jkl|jkl[oö]|lkjh|fgh|fghj|dfg|dfgdfg|sdf|sdfg|hjkl|zxcv|zxc|yxcv|test|foo|bar|baz|bla|blah|xyz|abc|aaa|lorem|ipsum|foobar)$", re.I)
 
 
 def blank_quotes(line: str) -> str:
@@ -211,65 +222,47 @@ def units(line: str) -> list[str]:
     return [u for u in (x.strip() for x in bare.split("\n")) if u and _WORD.search(u)]
 
 
-def leaf(kind: str, template: str) -> str:
+def leaf(template: str) -> str:
     words = template.split()
-    return f"{kind} {len(words)} {' '.join(words[:DEPTH])}"
+    return f"{len(words)} {' '.join(words[:DEPTH])}"
 
 
 def cluster(templates: list[tuple[str, int]]) -> list[tuple[str, str]]:
-    """(masked unit, template) of one leaf: units of one length, taken by support and text, join the first template alike in ALIKE of its places."""
+    """(masked unit, template) of one leaf: units of one length, taken by support and text, join the template most alike, in ALIKE of its places at least.
+    Two of n words that are alike so far agree on one whole stretch of n words cut into as many as may differ and one more, so templates are looked up by stretch."""
     if len(templates) == 1:
         return [(templates[0][0], templates[0][0])]
     found: list[list[str]] = []
+    by_stretch: dict[tuple, list[int]] = {}
     out = []
     for text, _ in sorted(templates, key=lambda t: (-t[1], t[0])):
         words = text.split()
+        n = len(words)
+        parts = int(n * (1 - ALIKE) + 1e-9) + 1
+        keys = [(k, *words[k * n // parts : (k + 1) * n // parts]) for k in range(parts)]
         best, at = 0.0, -1
-        for k, t in enumerate(found):
-            same = sum(map(eq, words, t)) / max(1, len(words))
+        for t in sorted({t for k in keys for t in by_stretch.get(k, ())}):
+            same = sum(map(eq, words, found[t])) / max(1, n)
             if same > best:
-                best, at = same, k
+                best, at = same, t
                 if same == 1.0:
                     break
         if best < ALIKE:
             found.append(words)
             at = len(found) - 1
+            for k in keys:
+                by_stretch.setdefault(k, []).append(at)
         else:
             found[at] = [a if a == b else "*" for a, b in zip(words, found[at])]
         out.append((text, at))
     return [(text, " ".join(found[at])) for text, at in out]
 
 
-#: Sentences that report on such things instead of being them.
-_REPORT = re.compile(r"\b(?:guide|document(?:ed|s)?|handbuch|kılavuz\w*|guía|tests?|getestet|sınıyor|pruebas|reviewers?|liked|appeared|printout|struck|as the|spelled|after the fix)\b|‹q›")
-
-
-#: Parts of words of which a template of an error, a notice or filler has at least one; most templates have none.
-_HINTS = (
-    "error", "exception", "traceback", "4xx", "http/", "err_", "fatal", "warning", "notice", "memory", "fault", "dumped", "trace", "found", "forbidden", "gateway", "unavailable", "requests", "denied", "expired", "timed",
-    "time", "oops", "wrong", "problem", "could", "try again", "retry", "connect", "maintenance", "permission", "session", "sign in", "link may", "page may", "administrator",
-    "gefunden", "fehler", "verweigert", "abgelaufen", "überschreitung", "erneut", "auf diesem server", "geladen", "schief", "berechtigung", "gewartet", "wartung",
-    "bulunamad", "sunucu", "engellen", "zaman a", "deneyin", "sona erdi", "yetkiniz", "ters", "yüklenemedi", "bakımda", "beklenmeyen",
-    "encontrada", "interno", "denegado", "sesión", "inténtelo", "servidor", "cargar", "permiso", "espera", "salió", "inesperado", "mantenimiento", "solicitudes",
-    "script", "js", "betik", "skript", "komut", "aktive inhalte", "active content", "contenido activo", "cookies",
-    "lorem", "dummy", "placeholder", "filler", "sample", "example", "caption", "body text", "goes here", "point", "section", "written", "nothing to see", "come back", "put the real", "some text", "sentences", "reserved",
-    "coming soon", "construction", "füll", "blindtext", "platzhalter", "beispiel", "hier", "wird ", "deneme", "örnek", "gelecek", "yazılacak", "hazırlanıyor", "dolgu", "texto", "párrafo", "aquí", "escribirá", "descripción", "preparación", "relleno", "pendiente",
-)
-
-
-def by_form(template: str) -> str | None:
-    """The verdict on a template's words alone."""
-    if _NAV.match(template) or template.startswith(("todo", "fixme")):
-        return "neutral"
-    if not any(h in template for h in _HINTS) or _REPORT.search(template):
+def cue(unit: str) -> str | None:
+    """What a unit's words make it suspect of. Notes of open work are beyond suspicion."""
+    if unit.startswith(("todo", "fixme")):
         return None
-    if _FILLER.search(template):
-        return "filler"
-    if _NOTICE.search(template) and len(template.split()) <= 22:
-        return "notice"
-    if _ERROR.search(template) and len(template.split()) <= 22:
-        return "error"
-    return None
+    return next((v for v, p in _CUES.items() if p.search(unit)), None)
 
 
 #: Words that hold sentences together, whatever they speak of, by language.
@@ -292,7 +285,7 @@ def spoken(words: list[str]) -> bool:
 
 def drummed(words: list[str]) -> bool:
     """Whether a unit's words are keyboard walks, or one word over and over."""
-    if len(words) < 4:
+    if len(words) < LEAST_WORDS:
         return False
     keys = sum(bool(_KEYS.match(re.sub(r"\d", "", w))) for w in words)
     return keys >= 0.6 * len(words) or (len(words) >= 8 and len(set(words)) <= 0.25 * len(words))
@@ -300,104 +293,131 @@ def drummed(words: list[str]) -> bool:
 
 def meaningless(words: list[str], known: int) -> bool:
     """Whether a unit's words are drummed, or hardly any is known and they don't read as a sentence."""
-    return len(words) >= 4 and (drummed(words) or (known <= 0.34 * len(words) and not spoken(words)))
+    return len(words) >= LEAST_WORDS and (drummed(words) or (known <= 0.34 * len(words) and not spoken(words)))
 
 
-def verdict(unit: str, known: int) -> str:
-    """error, notice, filler, ordinary (a sentence of the corpus's own words), neutral (headings, names, short bits) or strange: filler, if its other words aren't heard either and the corpus knows the language."""
-    form = by_form(unit)
-    if form:
-        return form
-    words = [w for w in _WORD.findall(unit.replace("4xx", " "))]
-    if drummed(words):
-        return "filler"
-    if meaningless(words, known):
-        return "strange"
-    return "ordinary" if len(words) >= 4 and known >= 0.6 * len(words) else "neutral"
+def sense(unit: str, known: int) -> str:
+    """filler (drummed), strange (filler, if its other words aren't heard either and the corpus knows the language) or ordinary."""
+    words = _WORD.findall(unit.replace("4xx", " "))
+    return "filler" if drummed(words) else "strange" if meaningless(words, known) else "ordinary"
 
 
 def document_lines(docs: DataFrame, doc_id: str, text: str, lang: str | None = None) -> DataFrame:
-    """(doc_id, text_key, lang_key, line_no, kind, slots, units) of all lines that aren't code, tables or logs; lang_key stands for the language's name, one for all texts without."""
+    """(doc_id, text_key, lang_key, line_no, kind, slots, units, cued) of all lines that aren't code, tables or logs; lang_key stands for the language's name, one for all texts without.
+    cued tells whether a unit has a cue; a text that says one unit over and over is one line of kind drum."""
 
     kind_of_id = docs.select(F.col(doc_id).alias("doc_id")).schema[0].dataType.simpleString()
 
     def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        has_cue: dict[str, bool] = {}
         for batch in batches:
-            at, numbers, kinds, found, sentences = [], [], [], [], []
+            at, numbers, kinds, found, sentences, cued = [], [], [], [], [], []
+            if len(has_cue) > 500_000:
+                has_cue.clear()
             for i, t in enumerate(batch.column(3).to_pylist()):
+                first, said = len(at), []
                 for n, (kind, line) in enumerate(text_lines(t)):
                     if kind == "prose":
-                        at.append(i)
-                        numbers.append(n)
-                        kinds.append(kind)
-                        found.append(len(slots(line)))
-                        sentences.append(units(line))
+                        own, hint = units(line), False
+                        for u in own:
+                            if (c := has_cue.get(u)) is None:
+                                c = has_cue[u] = cue(u) is not None
+                            hint = hint or c
+                        said += own
                     elif kind == "page":
-                        at.append(i)
-                        numbers.append(n)
-                        kinds.append(kind)
-                        found.append(0)
-                        sentences.append([])
+                        own, hint = [], False
+                    else:
+                        continue
+                    at.append(i)
+                    numbers.append(n)
+                    kinds.append(kind)
+                    found.append(len(slots(line)) if kind == "prose" else 0)
+                    sentences.append(own)
+                    cued.append(hint)
+                if len(said) >= LEAST_WORDS and len(set(said)) == 1 and len(at) > first:
+                    kinds[first] = "drum"
             rows = pa.array(at, pa.int32())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(rows), batch.column(1).take(rows), batch.column(2).take(rows), pa.array(numbers, pa.int32()), pa.array(kinds, pa.string()), pa.array(found, pa.int32()), pa.array(sentences, pa.list_(pa.string()))],
-                names=["doc_id", "text_key", "lang_key", "line_no", "kind", "slots", "units"],
+                [batch.column(0).take(rows), batch.column(1).take(rows), batch.column(2).take(rows), pa.array(numbers, pa.int32()), pa.array(kinds, pa.string()), pa.array(found, pa.int32()), pa.array(sentences, pa.list_(pa.string())), pa.array(cued, pa.bool_())],
+                names=["doc_id", "text_key", "lang_key", "line_no", "kind", "slots", "units", "cued"],
             )
 
     name = F.coalesce(F.lower(F.trim(lang)), F.lit("")) if lang else F.lit("")
     rows = docs.where(F.col(text).isNotNull()).select(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("text_key"), F.xxhash64(name).alias("lang_key"), F.col(text).alias("text"))
-    return rows.mapInArrow(take, f"doc_id {kind_of_id}, text_key long, lang_key long, line_no int, kind string, slots int, units array<string>")
+    return rows.mapInArrow(take, f"doc_id {kind_of_id}, text_key long, lang_key long, line_no int, kind string, slots int, units array<string>, cued boolean")
 
 
-def mined(lines: DataFrame) -> DataFrame:
-    """(unit, template, verdict) of every distinct masked unit."""
-    said = lines.where("kind = 'prose'").select("text_key", "lang_key", F.explode("units").alias("unit")).where("unit != ''")
-    each = said.groupBy("text_key", "unit").agg(F.min("lang_key").alias("lang_key"))
-    support = each.groupBy("unit").agg(F.count(F.lit(1)).alias("support"), F.min("lang_key").alias("lang_a"), F.max("lang_key").alias("lang_z"))
-    support = materialize(support, "unit-support")
-    words = F.split("unit", " ")
-    leafed = support.withColumn("leaf", F.concat_ws(" ", F.size(words).cast("string"), F.slice(words, 1, DEPTH)))
+def _small(table: DataFrame) -> DataFrame:
+    """table, marked for broadcast if its rows are few."""
+    return F.broadcast(table) if table.count() <= BROADCAST_ROWS else table
+
+
+def _grown(units: DataFrame, keys: list[str], name: str, as_: str) -> DataFrame:
+    """(name, as_) by cluster over the rows (keys, name, support), one group of keys at a time."""
 
     def grow(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         at, held = None, []
         for batch in batches:
             out = []
-            for key, unit, n in zip(batch["leaf"], batch["unit"], batch["support"]):
+            for *key, unit, n in zip(*(batch[k] for k in keys), batch[name], batch["support"]):
                 if key != at:
-                    out += cluster(held)
+                    out += cluster(held) if held else []
                     at, held = key, []
                 held.append((unit, n))
-            yield pd.DataFrame(out, columns=["unit", "template"])
-        yield pd.DataFrame(cluster(held), columns=["unit", "template"])
+            yield pd.DataFrame(out, columns=[name, as_])
+        yield pd.DataFrame(cluster(held) if held else [], columns=[name, as_])
+
+    return units.repartition(*keys).sortWithinPartitions(*keys).select(*keys, name, "support").mapInPandas(grow, f"{name} string, {as_} string")
+
+
+def mined(said: DataFrame) -> DataFrame:
+    """(unit, template, support, lang_a, lang_z) of every distinct masked unit of said (text_key, lang_key, unit)."""
+    hashed = said.select(F.xxhash64("unit").alias("u"), "unit", "text_key", "lang_key")
+    each = hashed.groupBy("u", "text_key").agg(F.min("lang_key").alias("lang_key"))
+    counts = each.groupBy("u").agg(F.count(F.lit(1)).alias("support"), F.min("lang_key").alias("lang_a"), F.max("lang_key").alias("lang_z"))
+    support = materialize(hashed.select("u", "unit").distinct().join(counts, "u").drop("u"), "unit-support")
+    words = F.split("unit", " ")
+    leafed = support.select("unit", "support", F.concat_ws(" ", F.size(words).cast("string"), F.slice(words, 1, DEPTH)).alias("leaf"))
+    wide = leafed.groupBy("leaf").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > LEAF_UNITS).select("leaf", F.ceil(F.col("n") / F.lit(LEAF_UNITS)).alias("parts"))
+    wide = materialize(wide, "wide-leaves")
+    if not wide.limit(1).count():
+        grown = _grown(leafed, ["leaf"], "unit", "template")
+    else:  # a leaf of many units in parts, then the templates of its parts
+        parted = leafed.join(F.broadcast(wide), "leaf", "left").withColumn("part", F.pmod(F.xxhash64("unit"), F.coalesce("parts", F.lit(1))))
+        first = materialize(_grown(parted, ["leaf", "part"], "unit", "first"), "parts-of-leaves")
+        heads = first.join(leafed, "unit").groupBy("leaf", "first").agg(F.sum("support").alias("support"))
+        grown = first.join(_grown(heads, ["leaf"], "first", "template"), "first").select("unit", "template")
+    return materialize(grown.join(support, "unit"), "templates")
+
 
-    grown = leafed.repartition("leaf").sortWithinPartitions("leaf").select("leaf", "unit", "support").mapInPandas(grow, "unit string, template string")
-    templates = grown.join(support, "unit")
-    templates = materialize(templates, "templates")
+def _words(c: str):
+    return F.regexp_extract_all(F.regexp_replace(c, "4xx", " "), F.lit(r"(\p{L}+(?:['’]\p{L}+)*)"), F.lit(1))
+
+
+def senseless(said: DataFrame, lines: DataFrame, templates: DataFrame) -> DataFrame:
+    """(template) of filler that shows by its words alone."""
     shared = templates.groupBy("template").agg(F.sum("support").alias("n"), F.max_by("unit", F.struct("support", "unit")).alias("exemplar"), F.min("lang_a").alias("lang_a"), F.max("lang_z").alias("lang_z"))
     shared = materialize(shared, "shared-templates")
-
-    found = lambda c: F.regexp_extract_all(F.regexp_replace(c, "4xx", " "), F.lit(r"(\p{L}+(?:['’]\p{L}+)*)"), F.lit(1))
-    own = shared.where(F.col("n") >= SUPPORT).select(F.explode(F.array_distinct(found("template"))).alias("word")).distinct()
-    used = shared.select("exemplar", F.explode(found("exemplar")).alias("word"))
+    own = shared.where(F.col("n") >= SUPPORT).select(F.explode(F.array_distinct(_words("template"))).alias("word")).distinct()
+    used = shared.select("exemplar", F.explode(_words("exemplar")).alias("word"))
     known = used.join(own.withColumn("own", F.lit(1)), "word", "left").groupBy("exemplar").agg(F.coalesce(F.sum("own"), F.lit(0)).alias("known"))
     lang = F.when(F.col("lang_a") == F.col("lang_z"), F.col("lang_a"))  # null: said in several languages, so it goes by all texts
     cases = shared.join(known, "exemplar", "left").select("template", "exemplar", "n", lang.alias("lang_key"), F.coalesce("known", F.lit(0)).alias("known"))
 
     @F.pandas_udf("string")
     def judge(exemplar: pd.Series, known: pd.Series) -> pd.Series:
-        return pd.Series([verdict(u, k) for u, k in zip(exemplar, known)])
+        return pd.Series([sense(u, k) for u, k in zip(exemplar, known)])
 
     first = materialize(cases.select("template", "exemplar", "n", "lang_key", "known", judge("exemplar", "known").alias("verdict")), "judged")
-    texts = lines.where("kind = 'prose'").groupBy("text_key").agg(F.min("lang_key").alias("lang_key")).groupBy("lang_key").agg(F.count(F.lit(1)).alias("texts"))
+    texts = lines.groupBy("text_key").agg(F.min("lang_key").alias("lang_key")).groupBy("lang_key").agg(F.count(F.lit(1)).alias("texts"))
     texts = materialize(texts, "texts-by-language")
-    small = lambda t: F.broadcast(t) if t.count() <= BROADCAST_WORDS else t
-    odd = materialize(first.where("verdict = 'strange'").select("template", F.explode(found("exemplar")).alias("word")).join(own, "word", "left_anti"), "strange-words")
-    rare = templates.select("unit", F.explode(F.array_distinct(found("unit"))).alias("word")).join(small(odd.select("word").distinct()), "word")
+    odd = materialize(first.where("verdict = 'strange'").select("template", F.explode(_words("exemplar")).alias("word")).join(own, "word", "left_anti"), "strange-words")
+    rare = templates.select("unit", F.explode(F.array_distinct(_words("unit"))).alias("word")).join(_small(odd.select("word").distinct()), "word")
     rare = materialize(rare, "units-of-strange-words")
-    uses = said.join(small(rare), "unit").groupBy("text_key", "word").agg(F.min("lang_key").alias("lang_key")).groupBy("lang_key", "word").agg(F.count(F.lit(1)).alias("uses"))
+    uses = said.join(_small(rare), "unit").groupBy("text_key", "word").agg(F.min("lang_key").alias("lang_key")).groupBy("lang_key", "word").agg(F.count(F.lit(1)).alias("uses"))
     heard = uses.join(F.broadcast(texts), "lang_key").where((F.col("uses") >= 2) & (F.col("uses") >= HEARD * F.col("texts"))).select("word").distinct()
     more = odd.join(heard, "word").groupBy("template").agg(F.count(F.lit(1)).alias("heard"))
-    clear = (F.col("verdict") == "strange") & (F.col("known") + F.coalesce("heard", F.lit(0)) > 0.34 * F.size(found("exemplar")))
+    clear = (F.col("verdict") == "strange") & (F.col("known") + F.coalesce("heard", F.lit(0)) > 0.34 * F.size(_words("exemplar")))
     judged = first.join(more, "template", "left").select("template", "n", "lang_key", F.when(clear, "neutral").otherwise(F.col("verdict")).alias("verdict"))
     judged = materialize(judged, "judged-again")
     kinds = judged.groupBy("lang_key").agg(*(F.coalesce(F.sum(F.when(F.col("verdict") == v, F.col("n"))), F.lit(0)).alias(v) for v in ("strange", "ordinary")))
@@ -405,19 +425,66 @@ def mined(lines: DataFrame) -> DataFrame:
     by_lang = texts.join(kinds, "lang_key").select("lang_key", enough.alias("tells"))
     everywhere = texts.agg(F.sum("texts").alias("texts")).crossJoin(kinds.agg(F.sum("strange").alias("strange"), F.sum("ordinary").alias("ordinary")))
     tells = by_lang.unionAll(everywhere.select(F.lit(None).cast("long").alias("lang_key"), enough.alias("tells")))
-    at = judged.alias("j").join(F.broadcast(tells.alias("t")), F.expr("j.lang_key <=> t.lang_key"), "left")
-    final = F.when(F.col("verdict") == "strange", F.when(F.col("tells"), "filler").otherwise("neutral")).otherwise(F.col("verdict"))
-    return templates.select("unit", "template").join(at.select("template", "n", final.alias("verdict")), "template")
+    at = judged.where("verdict IN ('strange', 'filler')").alias("j").join(F.broadcast(tells.alias("t")), F.expr("j.lang_key <=> t.lang_key"), "left")
+    return at.where("verdict = 'filler' OR tells").select("template")
+
+
+def suspects(templates: DataFrame, cued: DataFrame) -> DataFrame:
+    """(template, n, cue, odds, near): the templates that words or company make suspect; near is the share of texts in which it shares a line with a cue. cued: (text_key, unit) of the lines with a cue."""
+
+    @F.pandas_udf("string")
+    def cue_of(units: pd.Series) -> pd.Series:
+        return pd.Series([cue(u) for u in units], dtype=object)
+
+    hinted = templates.select("template", "support", cue_of("unit").alias("cue")).groupBy("template", "cue").agg(F.sum("support").alias("s"))
+    all_ = hinted.groupBy("template").agg(F.sum("s").alias("n"), F.max(F.when(F.col("cue").isNotNull(), F.struct("s", "cue"))).alias("c"))
+    named = materialize(all_.select("template", "n", F.when(F.col("c.s") * 2 >= F.col("n"), F.col("c.cue")).alias("cue")), "template-cues")
+    # log odds of words, learnt from the texts of templates with a cue against those of the others
+    words = materialize(named.select("template", "n", "cue", F.explode(F.array_distinct(_words("template"))).alias("word")), "template-words")
+    texts = lambda when, name: F.coalesce(F.sum(F.when(when, F.col("n"))), F.lit(0)).alias(name)
+    logs = materialize(words.groupBy("word").agg(texts(F.col("cue").isNotNull(), "b"), texts(F.col("cue").isNull(), "o")), "word-texts")
+    of = named.agg(texts(F.col("cue").isNotNull(), "b"), texts(F.col("cue").isNull(), "o")).first()
+    sums = logs.agg(F.sum("b").alias("b"), F.sum("o").alias("o"), F.count(F.lit(1)).alias("v")).first()
+    b, o, v = float(sums["b"] or 0), float(sums["o"] or 0), float(max(1, sums["v"]))
+    x = F.log((F.col("b") + 0.5) / F.lit(b + v / 2)) - F.log((F.col("o") + 0.5) / F.lit(o + v / 2))
+    logs = logs.select("word", F.when(F.col("b") > 0, x).otherwise(F.least(x, F.lit(0.0))).alias("x"))  # a word no cued template has says nothing for them
+    prior = math.log((float(of["b"]) + 0.5) / (float(of["o"]) + 0.5))
+    odds = words.join(logs, "word").groupBy("template").agg((F.sum("x") + F.lit(prior)).alias("odds"))
+    near = templates.select("unit", "template").join(cued.distinct(), "unit").groupBy("template", "text_key").agg(F.lit(1).alias("one")).groupBy("template").agg(F.count(F.lit(1)).alias("near"))
+    got = named.join(odds, "template", "left").join(near, "template", "left")
+    return got.where((F.col("cue").isNotNull()) | (F.col("odds") > 0) | (F.col("near") >= SUSPECT * F.col("n"))).select("template", "n", "cue", F.coalesce("odds", F.lit(0.0)).alias("odds"), F.coalesce(F.col("near") / F.col("n"), F.lit(0.0)).alias("near"))
 
 
 def residue(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str | None = None) -> DataFrame:
     """(doc_id, reason, n_lines) of the documents with residue; reason is slot, page, error, notice or filler. lang names the column of the texts' language, if there is one."""
     lines = materialize(document_lines(docs, doc_id, text, lang), "document-lines")
-    verdicts = materialize(mined(lines).select("unit", "verdict"), "verdicts")
+    prose = lines.where("kind != 'page'")
+    said = prose.select("text_key", "lang_key", F.explode("units").alias("unit")).where("unit != ''")
+    templates = mined(said)
+    odd = materialize(senseless(said, prose, templates), "senseless")
+    cued = prose.where("cued").select("text_key", F.explode("units").alias("unit"))
+    held = materialize(suspects(templates, cued), "suspects")
+    both = held.join(odd.withColumn("senseless", F.lit(True)), "template", "full").select("template", "n", "cue", "odds", "near", F.coalesce("senseless", F.lit(False)).alias("senseless"))
+    wanted = materialize(templates.select("unit", "template").join(both, "template"), "suspect-units")
+    placed = prose.select("doc_id", "text_key", "line_no", F.aggregate("units", F.lit(0), lambda a, u: a + F.size(F.split(u, " "))).alias("n_words"), F.explode("units").alias("unit"))
+    hits = materialize(placed.join(_small(wanted), "unit").withColumn("words", F.size(F.split("unit", " "))), "suspect-lines")
+    line = Window.partitionBy("doc_id", "line_no")
+    held = F.when(F.col("senseless") | F.col("cue").isNotNull() | (F.col("near") >= COMPANY), F.col("words")).otherwise(0)
+    own = Window.partitionBy("doc_id", "line_no", "template")
+    seen = hits.withColumn("held", held).withColumn("rest", F.col("n_words") - F.sum("words").over(own)).withColumn("held_rest", F.sum("held").over(line) - F.sum("held").over(own))
+    seen = seen.withColumn("n_cued", F.count("cue").over(line)).withColumn("neighbour", F.max("cue").over(line))
+    running = (F.col("rest") > 0) & (2 * F.col("held_rest") < F.col("rest"))
+    with_cued = (F.col("rest") > 0) & ~running & (F.col("n_cued") > F.when(F.col("cue").isNotNull(), 1).otherwise(0))
+    texts = seen.where("NOT senseless").groupBy("template", "cue", "odds", "n", "text_key").agg(F.max(running.cast("int")).alias("running"), F.max(with_cued.cast("int")).alias("company"), F.max(F.when(with_cued, F.col("neighbour"))).alias("neighbour"))
+    kept = texts.groupBy("template", "cue", "odds", "n").agg(F.sum("running").alias("running"), F.sum("company").alias("company"), F.mode("neighbour", True).alias("neighbour"))
+    led = (F.col("company") > F.col("running")) & ((F.col("company") >= COMPANY * F.col("n")) | (F.col("odds") > 0))
+    alone = (F.col("running") == 0) & (F.col("company") == 0) & (F.col("odds") > 0)
+    verdict = F.when(F.col("cue").isNotNull(), F.when(2 * F.col("running") <= F.col("n"), F.col("cue"))).when(led, F.col("neighbour")).when(alone, F.lit("error"))
+    bad = kept.select("template", verdict.alias("reason")).where("reason IS NOT NULL").unionByName(odd.select("template", F.lit("filler").alias("reason"))).groupBy("template").agg(F.max("reason").alias("reason"))
+    bad = materialize(bad, "residue-templates")
+    share = hits.join(_small(bad), "template").groupBy("doc_id", "line_no", "n_words").agg(F.sum("words").alias("words"), F.max("reason").alias("reason"))
+    stands = share.where(F.col("words") >= STANDS * F.col("n_words")).select("doc_id", "line_no", "reason")
     open_slots = lines.where("slots > 0").select("doc_id", "line_no", F.lit("slot").alias("reason"))
     pages = lines.where("kind = 'page'").select("doc_id", "line_no", F.lit("page").alias("reason"))
-    placed = lines.where("kind = 'prose'").select("doc_id", "line_no", F.explode("units").alias("unit")).join(verdicts, "unit")
-    bad = F.col("verdict").isin("error", "notice", "filler")
-    judged = placed.groupBy("doc_id", "line_no").agg(F.max(F.when(bad, F.col("verdict"))).alias("reason"), F.bool_or(F.col("verdict") == "ordinary").alias("ordinary"))
-    stands = judged.where("reason IS NOT NULL AND NOT ordinary").select("doc_id", "line_no", "reason")
-    return open_slots.unionByName(pages).unionByName(stands).groupBy("doc_id", "reason").agg(F.count_distinct("line_no").alias("n_lines"))
+    drums = lines.where("kind = 'drum'").select("doc_id", "line_no", F.lit("filler").alias("reason"))
+    return open_slots.unionByName(pages).unionByName(drums).unionByName(stands).groupBy("doc_id", "reason").agg(F.count_distinct("line_no").alias("n_lines"))
