@@ -3,11 +3,17 @@
 A field is cut into atoms at every possible separator: punctuation or signs, a tab or a line break outside quotes. Quoted spans and
 round brackets stay in one atom, brackets around the whole field are taken off. Every run of up to `max_span` neighbouring atoms is a
 candidate value. Expectation maximisation learns how frequent each candidate is: forward-backward sums over all ways to cut a field give
-the expected counts, and a cut that keeps a separator inside a value pays `glue` for it. The most likely cut of a field (Viterbi, the
-finer one on ties) gives its values. With `strict`, values that still hold a separator are cut there, as an exact check.
+the expected counts, until the likelihood of the column stays. A cut that keeps a separator inside a value pays for it: it wins when the
+expected count of the whole, times `glue`, exceeds the product of the counts of its parts. So the rule is one of counts and doesn't move
+with the size of the column. The most likely cut of a field (Viterbi, the finer one on ties) gives its values, with nothing after it.
+
+A value learnt elsewhere as a whole, as one in quotes, thus stays whole where it stands without quotes, if its parts are hardly ever seen
+by themselves. `max_span` bounds the model: a value without quotes that holds more than max_span - 1 separators is not thought of; one in
+quotes is one atom however long.
 
 All passes run over distinct field texts with their counts, so a text in a third of all rows is one row; the lattices of a text are one
-row as well. Frequencies are joined by candidate, broadcast only up to `BROADCAST_VALUES`.
+row as well, and texts of one atom, which can be cut in one way only, are counted once and take no part in the rounds. Frequencies are
+joined by candidate, broadcast only up to `BROADCAST_VALUES`.
 
 Defined cases: null, empty and blank fields, and those of separators only, have no values; a quote that is never closed is an ordinary
 sign of its name; a value given twice stays twice; very long fields give long lattices, in proportion to their length.
@@ -98,8 +104,8 @@ def lattice(text: str, max_span: int) -> list[tuple[int, int, str]]:
     return [(i, j, unquote(text[cuts[i][0] : cuts[j - 1][1]])) for i in range(len(cuts)) for j in range(i + 1, min(i + max_span, len(cuts)) + 1)]
 
 
-def _expected(edges: list[tuple[int, int, str, float]]) -> dict[str, float]:
-    """Expected number of times each candidate is a value, over all cuts of one field. Sums are scaled per place, so long fields don't underflow."""
+def _expected(edges: list[tuple[int, int, str, float]]) -> tuple[dict[str, float], float]:
+    """Expected number of times each candidate is a value, over all cuts of one field, and the log likelihood of the field. Sums are of logs, so long fields don't underflow."""
     n = max(e[1] for e in edges)
     into, out = [[] for _ in range(n + 1)], [[] for _ in range(n + 1)]
     for e in edges:
@@ -113,9 +119,8 @@ def _expected(edges: list[tuple[int, int, str, float]]) -> dict[str, float]:
         b[i] = add([b[e[1]] + e[3] for e in out[i]])
     got: dict[str, float] = {}
     for i, j, value, w in edges:
-        if (x := a[i] + w + b[j] - a[n]) > -50:
-            got[value] = got.get(value, 0.0) + math.exp(x)
-    return got
+        got[value] = got.get(value, 0.0) + math.exp(a[i] + w + b[j] - a[n])
+    return got, a[n]
 
 
 def _best(edges: list[tuple[int, int, str, float]]) -> list[str]:
@@ -137,13 +142,14 @@ def _best(edges: list[tuple[int, int, str, float]]) -> list[str]:
     return values[::-1]
 
 
-def _weighted(edges, freqs, glue: float) -> list[tuple[int, int, str, float]]:
-    cost = math.log(glue)
-    return [(e["i"], e["j"], e["value"], f + cost * (e["j"] - e["i"] - 1)) for e, f in zip(edges, freqs)]
+def _weighted(edges, glue: float, total: float) -> list[tuple[int, int, str, float]]:
+    """Edges with log weights. A separator kept costs glue / total, as a cut brings one more factor of count / total."""
+    cost = math.log(glue / total)
+    return [(e["i"], e["j"], e["value"], e["logp"] + cost * (e["j"] - e["i"] - 1)) for e in edges]
 
 
-def segment(texts: DataFrame, text: str, max_span: int = 4, glue: float = 1e-3, rounds: int = 3, strict: bool = True) -> DataFrame:
-    """(text, pos, value) for every distinct text; pos from 1."""
+def segment(texts: DataFrame, text: str, max_span: int = 4, glue: float = 1e-3, tolerance: float = 1e-6, max_rounds: int = 200) -> DataFrame:
+    """(text, pos, value) for every distinct text; pos from 1. Rounds end when the log likelihood of a text grows by less than tolerance on average; not to end within max_rounds is an error."""
     distinct = texts.where(F.col(text).isNotNull()).groupBy(F.col(text).alias("text")).agg(F.count(F.lit(1)).alias("n"))
 
     def build(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -152,37 +158,56 @@ def segment(texts: DataFrame, text: str, max_span: int = 4, glue: float = 1e-3,
 
     lattices = distinct.mapInPandas(build, "text string, n long, edges array<struct<i:int,j:int,value:string>>").where(F.size("edges") > 0)
     lattices = materialize(lattices.withColumn("tid", F.monotonically_increasing_id()), "lattices")
-    # edges of a single atom are where all values are seen first; spans start from what their lattice allows
-    spans = lattices.select("tid", "n", F.explode("edges").alias("e")).select("tid", "n", "e.i", "e.j", "e.value")
-    freqs = spans.groupBy("value").agg(F.sum(F.col("n") * F.pow(F.lit(glue), F.col("j") - F.col("i") - 1)).alias("c"))
-    freqs = materialize(freqs, "value-counts")
-
-    def expect(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            got: dict[str, float] = {}
-            for n, edges in zip(batch["n"], batch["edges"]):
-                for value, x in _expected(_weighted(edges, [e["logp"] for e in edges], glue)).items():
-                    got[value] = got.get(value, 0.0) + n * x
-            yield pd.DataFrame({"value": list(got), "c": list(got.values())})
-
-    def weighted_lattices(freqs: DataFrame) -> DataFrame:
+    one, several = lattices.where(F.size("edges") == 1), lattices.where(F.size("edges") > 1)
+    whole = materialize(one.groupBy(F.col("edges")[0]["value"].alias("value")).agg(F.sum("n").cast("double").alias("c")), "single-values")
+    spans = materialize(several.select("tid", "n", F.explode("edges").alias("e")).select("tid", "n", "e.i", "e.j", "e.value"), "spans")
+    # where cutting begins: candidates count for as much as their separators allow
+    open_ = spans.groupBy("value").agg(F.sum(F.col("n") * F.pow(F.lit(glue), F.col("j") - F.col("i") - 1)).alias("c"))
+    freqs = materialize(whole.unionAll(open_).groupBy("value").agg(F.sum("c").alias("c")), "value-counts")
+
+    def weighted_lattices(freqs: DataFrame) -> tuple[DataFrame, float]:
         rows, total = freqs.agg(F.count(F.lit(1)), F.sum("c")).first()
-        known = freqs.select("value", F.log(F.col("c") / F.lit(total or 1.0)).alias("logp"))
+        total = float(total or 1.0)
+        known = freqs.select("value", F.log(F.greatest("c", F.lit(1e-300)) / F.lit(total)).alias("logp"))
         if rows <= BROADCAST_VALUES:
             known = F.broadcast(known)
-        joined = spans.join(known, "value", "left").withColumn("logp", F.coalesce("logp", F.lit(-60.0)))
-        return joined.groupBy("tid", "n").agg(F.array_sort(F.collect_list(F.struct("i", "j", "value", "logp"))).alias("edges"))
-
-    for k in range(rounds):
-        counts = weighted_lattices(freqs).mapInPandas(expect, "value string, c double").groupBy("value").agg(F.sum("c").alias("c"))
-        freqs = materialize(counts.where("c > 1e-12"), f"value-counts-{k}")
-
-    def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            values = [_best(_weighted(edges, [e["logp"] for e in edges], glue)) for edges in batch["edges"]]
-            if strict:
-                values = [[unquote(v[a:b]) for v in vs for a, b in ([(0, len(v))] if v in whole else atoms(v))] for vs, whole in zip(values, ({e["value"] for e in edges if e["j"] == e["i"] + 1} for edges in batch["edges"]))]
-            yield pd.DataFrame({"tid": batch["tid"], "values": values})
-
-    decoded = weighted_lattices(freqs).mapInPandas(decode, "tid long, values array<string>")
-    return decoded.join(lattices.select("tid", "text"), "tid").select("text", F.posexplode("values").alias("p", "value")).select("text", (F.col("p") + 1).alias("pos"), "value")
+        joined = spans.join(known, "value")
+        return joined.groupBy("tid", "n").agg(F.array_sort(F.collect_list(F.struct("i", "j", "value", "logp"))).alias("edges")), total
+
+    def expectations(total: float):
+        def expect(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                got: dict[str | None, float] = {None: 0.0}
+                for n, edges in zip(batch["n"], batch["edges"]):
+                    counts, fit = _expected(_weighted(edges, glue, total))
+                    got[None] += n * fit
+                    for value, x in counts.items():
+                        got[value] = got.get(value, 0.0) + n * x
+                yield pd.DataFrame({"value": pd.Series(list(got), dtype=object), "c": list(got.values())})
+
+        return expect
+
+    n_texts, before = several.agg(F.sum("n")).first()[0] or 0, None
+    for k in range(max_rounds if n_texts else 0):
+        edges, total = weighted_lattices(freqs)
+        counts = materialize(edges.mapInPandas(expectations(total), "value string, c double").groupBy("value").agg(F.sum("c").alias("c")), f"expected-{k}")
+        fit = counts.where("value IS NULL").first()["c"]
+        freqs = materialize(whole.unionAll(counts.where("value IS NOT NULL")).groupBy("value").agg(F.sum("c").alias("c")), f"value-counts-{k}")
+        if before is not None and abs(fit - before) < tolerance * n_texts:
+            break
+        before = fit
+    else:
+        if n_texts:
+            raise RuntimeError(f"value frequencies still change after {max_rounds} rounds")
+
+    def decode(total: float):
+        def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                yield pd.DataFrame({"tid": batch["tid"], "values": [_best(_weighted(edges, glue, total)) for edges in batch["edges"]]})
+
+        return best
+
+    edges, total = weighted_lattices(freqs)
+    decoded = edges.mapInPandas(decode(total), "tid long, values array<string>")
+    cut = decoded.join(lattices.select("tid", "text"), "tid").select("text", "values").unionAll(one.select("text", F.array(F.col("edges")[0]["value"])))
+    return cut.select("text", F.posexplode("values").alias("p", "value")).select("text", (F.col("p") + 1).alias("pos"), "value")

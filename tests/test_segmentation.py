@@ -32,8 +32,8 @@ def test_forward_backward_equals_enumeration():
         best = max(best, (s, spans))
         for x in spans:
             want[f"{x[0]}{x[1]}"] = want.get(f"{x[0]}{x[1]}", 0) + math.exp(s)
-    got = _expected(edges)
-    assert all(got[k] == pytest.approx(v / total) for k, v in want.items())
+    got, fit = _expected(edges)
+    assert fit == pytest.approx(math.log(total)) and all(got[k] == pytest.approx(v / total) for k, v in want.items())
     assert _best(edges) == [f"{a}{b}" for a, b in best[1]]
 
 
@@ -51,8 +51,28 @@ def test_segment_nothing(spark):
     assert segment(spark.createDataFrame([], "text string"), "text").count() == 0
 
 
-def test_frequent_whole_values_may_win(spark):
-    """Without the exact check a rare cut loses to a value that is often seen whole."""
-    df = spark.createDataFrame([('"x, y"',)] * 500 + [("x, y",)] + [("a, b",), ("a",), ("b",)] * 50, "text string")
-    got = {r["text"]: r["v"] for r in segment(df, "text", glue=0.2, strict=False).groupBy("text").agg(F.array_sort(F.collect_list("value")).alias("v")).collect()}
-    assert got["x, y"] == ["x, y"] and got["a, b"] == ["a", "b"]
+def _cut(spark, texts, **more):
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    return {r["text"]: r["v"] for r in segment(df, "text", **more).groupBy("text").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "value"))), lambda x: x["value"]).alias("v")).collect()}
+
+
+def test_frequencies_decide(spark):
+    """The same text is cut or kept whole by what the rest of the column holds."""
+    quoted = ['"x, y"'] * 3000
+    assert _cut(spark, quoted + ["x, y", "z; x, y"]) == {'"x, y"': ["x, y"], "x, y": ["x, y"], "z; x, y": ["z", "x, y"]}
+    apart = ["x", "y"] * 3000
+    assert _cut(spark, quoted + apart + ["x, y", "z; x, y"])["x, y"] == ["x", "y"]
+    assert _cut(spark, ["x, y", "z; x, y"])["z; x, y"] == ["z", "x", "y"]
+
+
+def test_the_size_of_the_column_does_not(spark):
+    rare = ["p / q", "r | s | t", '"m, n"', "m, n"]
+    want = {"p / q": ["p", "q"], "r | s | t": ["r", "s", "t"], "m, n": ["m", "n"]}
+    for others in (0, 20_000):
+        got = _cut(spark, rare + [f"name {i}" for i in range(others)])
+        assert {k: got[k] for k in want} == want
+
+
+def test_unfinished_rounds_raise(spark):
+    with pytest.raises(RuntimeError):
+        _cut(spark, ["a, b", '"a, b"', "a"], max_rounds=1)
