@@ -36,6 +36,7 @@ import unicodedata
 from collections.abc import Iterator
 from operator import eq
 
+import ahocorasick
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -82,10 +83,13 @@ SLOT = re.compile(
 _MAYBE_SLOT = re.compile(r"[\[{<]{2}|[{<\[][^\W\d_]|\{[*~=+:|!&-]|[\[{<]%|\{\d?\}|[$#]\{|%[(\w]|\$[^\W\d_]|@[@\w]|«\w|__|~~|\*\*\*|XXX|\.{5}|……|TBD_|_HERE|(?:here|hier|einfügen|eintragen|buraya|yazın|aquí)\)")
 
 
+_SLOT_SIGNS = frozenset("{[<$%@«~")
+
+
 def may_hold_slot(x: str) -> bool:
     signs = (
-        "{" in x or "[" in x or "<" in x or "$" in x or "%" in x or "@" in x or "«" in x or "__" in x or "~~" in x or "***" in x or "XXX" in x or "....." in x or "……" in x or "TBD_" in x
-        or "_HERE" in x or "here)" in x or "hier)" in x or "fügen)" in x or "tragen)" in x or "raya)" in x or "azın)" in x or "aquí)" in x
+        not _SLOT_SIGNS.isdisjoint(x) or "__" in x or "***" in x or "XXX" in x or "....." in x or "……" in x or "TBD_" in x or "_HERE" in x
+        or (")" in x and ("here)" in x or "hier)" in x or "fügen)" in x or "tragen)" in x or "raya)" in x or "azın)" in x or "aquí)" in x))
     )
     return signs and bool(_MAYBE_SLOT.search(x))
 
@@ -112,24 +116,42 @@ _BREAK = re.compile(r" +[-–|] +| {2,}|<[^<>\n]{1,40}>")
 _WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
 
 _ERROR_BODY = re.compile(r'^\s*\{\s*"(?:error|err|fault|exception|errors)"\s*:|^\s*<(?:\?xml[^>]*>\s*<)?(?:Error|Fault)\b|^<Error>|<title>[^<]*(?:error|not found|denied|unavailable|gateway|forbidden|requests|hata|bulunamad|fehler|gefunden|denegado|encontrada|interno|caducad|abgelaufen|engellendi|aşım)', re.I)
-#: The usual words of script notices, failures and filler, in lower case. They make a template a suspect, no more.
+#: The usual words of script notices, failures and filler, in lower case, as whole words; a star stands for any ending, a caret for the start. They make a template a suspect, no more.
 CUES = {
-    "notice": r"\b(?:java ?script|js|scripts?|scripting|noscript|active content|skripte?n?|aktive inhalte|betik(?:ler)?|komut dosyaları|contenido activo)\b",
-    "error": (
-        r"^traceback |^\w*(?:error|exception): |^(?:error )?4xx\b|^\* 4xx|^http/\S* 4xx|^err_|^fatal|^(?:php )?(?:warning|notice|parse error): |\b(?:not found|forbidden|bad gateway|service unavailable|too many requests|internal server"
-        r"|gateway time-?out|unauthori[sz]ed|access denied|(?:session|link|token) (?:has )?(?:expired|ended|timed out)|timed out|went wrong|(?:unexpected|unknown|internal|server) (?:problem|error)|could(?: not|n't) (?:be )?(?:load|reach|open|found|find)\w*"
-        r"|try again|maintenance|out of memory|segmentation fault|core dumped|connection (?:refused|reset|closed)|closed the connection|have permission|oops"
-        r"|nicht gefunden|serverfehler|verweigert|sitzung ist abgelaufen|zeitüberschreitung|erneut versuchen|konnte nicht geladen|schiefgelaufen|keine berechtigung|wartungsarbeiten|unerwarteter fehler"
-        r"|bulunamad\w*|sunucu hatası|engellendi|zaman aşımı\w*|yeniden deneyin|oturumunuz|yetkiniz|yüklenemedi|ters gitti"
-        r"|no encontrad[ao]|error interno|denegado|ha (?:caducado|expirado)|inténtelo|no se pudo|no tiene permiso|tiempo de espera|algo salió mal|demasiadas solicitudes)\b"
-    ),
-    "filler": (
-        r"\b(?:lorem|ipsum|(?:dummy|placeholder|filler|sample|example|caption|body) (?:copy|text|paragraph|heading|caption|body)|goes here|to be written|coming soon|under construction|(?:is|are) reserved for"
-        r"|(?:füll|blind|platzhalter|beispiel)(?:absatz|text)|wird (?:später|noch) (?:ergänzt|geschrieben|nachgereicht)|deneme yazısı|örnek (?:metin|paragraf|başlık)|dolgu|sonra yazılacak|hazırlanıyor"
-        r"|(?:texto|párrafo) de (?:relleno|ejemplo|muestra)|pendiente de (?:redactar|escribir)|de relleno)\b"
-    ),
+    "notice": """
+        javascript, java script, js, script, scripts, scripting, noscript, active content, skript, skripte, skripten, aktive inhalte, betik, betikler, komut dosyaları, contenido activo""",
+    "error": """
+        ^traceback, ^4xx, ^* 4xx, ^error 4xx, ^http/*, ^err_*, ^fatal, ^warning:, ^notice:, ^php warning:, ^php notice:, ^parse error:, *error:, *exception:, not found, forbidden, bad gateway, service unavailable, too many requests,
+        internal server, gateway timeout, gateway time-out, unauthorized, access denied, session expired, session has expired, session has ended, token expired, link expired, timed out, went wrong, unexpected problem,
+        unexpected error, unknown error, internal error, server error, couldn't load, couldn't reach, couldn't open, couldn't find, could not load, could not reach, could not open, could not find, could not be loaded,
+        could not be found, could not be opened, could not be reached, try again, maintenance, out of memory, segmentation fault, core dumped, connection refused, connection reset, connection closed, closed the connection,
+        have permission, oops, nicht gefunden, serverfehler, verweigert, sitzung ist abgelaufen, zeitüberschreitung, erneut versuchen, konnte nicht geladen, schiefgelaufen, keine berechtigung, wartungsarbeiten, unerwarteter fehler,
+        bulunamad*, sunucu hatası, engellendi, zaman aşımı*, yeniden deneyin, oturumunuz, yetkiniz, yüklenemedi, ters gitti, no encontrada, no encontrado, error interno, denegado, ha caducado, ha expirado, inténtelo, no se pudo,
+        no tiene permiso, tiempo de espera, algo salió mal, demasiadas solicitudes""",
+    "filler": """
+        lorem, ipsum, dummy text, dummy copy, placeholder text, filler text, sample text, sample paragraph, sample heading, sample caption, sample body, example text, example paragraph, example heading, example caption, example body,
+        caption text, body text, goes here, to be written, coming soon, under construction, is reserved for, are reserved for, füllabsatz, fülltext, blindtext, platzhaltertext, beispieltext, beispielabsatz, wird später ergänzt,
+        wird noch ergänzt, wird noch geschrieben, deneme yazısı, örnek metin, örnek paragraf, örnek başlık, dolgu, sonra yazılacak, hazırlanıyor, texto de relleno, texto de ejemplo, párrafo de relleno, párrafo de ejemplo,
+        pendiente de redactar, pendiente de escribir, de relleno""",
 }
-_CUES = {v: re.compile(p) for v, p in CUES.items()}
+
+
+def _cue_finder() -> tuple[ahocorasick.Automaton, dict[str, str]]:
+    """An automaton of the cues with their verdicts, and the cues that stand at the start."""
+    found, starts = ahocorasick.Automaton(), {}
+    for verdict, words in CUES.items():
+        for word in (" ".join(w.split()) for w in words.split(",")):
+            if word[0] == "^":
+                starts[word[1:]] = verdict
+            else:
+                bare = word.strip("*")
+                found.add_word(bare, (verdict, len(bare), word[0] == "*", word[-1] == "*"))
+    found.make_automaton()
+    return found, starts
+
+
+_CUES, _STARTS = _cue_finder()
+_RANK = list(CUES)
 _KEYS = re.compile(r"^(?:asd|asdf|asdfg|qwe|qwer|qwert|qwerty|jkl|jkl[oö]|lkjh|fgh|fghj|dfg|dfgdfg|sdf|sdfg|hjkl|zxcv|zxc|yxcv|test|foo|bar|baz|bla|blah|xyz|abc|aaa|lorem|ipsum|foobar)$", re.I)
 
 
@@ -139,9 +161,9 @@ def blank_quotes(line: str) -> str:
     return _AROUND_QUOTE.sub(" ‹q› ", _QUOTED.sub("‹q›", line))
 
 
-def slots(line: str) -> list[str]:
-    """The unresolved slots of a line of prose, heading or field."""
-    if not may_hold_slot(line):
+def slots(line: str, may: bool | None = None) -> list[str]:
+    """The unresolved slots of a line of prose, heading or field; may is what may_hold_slot says of it, if known."""
+    if not (may_hold_slot(line) if may is None else may):
         return []
     bare = _FORMULA.sub(" ", blank_quotes(line))
     found = []
@@ -203,15 +225,18 @@ def _star(token: str) -> str:
     return "*" + end
 
 
-def units(line: str) -> list[str]:
+def units(line: str, may: bool = True) -> list[str]:
     """The masked sentences of a line, without bullets: lower-case words; what varies from message to message, quoted spans and slots are `*`, a status code of failure is `4xx`."""
     bare = _BULLET.sub("", blank_quotes(line))
-    if may_hold_slot(bare):
+    if may and may_hold_slot(bare):
         bare = SLOT.sub(" * ", bare)
     shouted = bare.isupper()
     tokens = bare.replace("\t", " ").split(" ")
     for i, t in enumerate(tokens):
-        if not _VARYING.isdisjoint(t):
+        if t.isalpha():
+            if len(t) > 1 and not shouted and t.isupper() and t not in ("JS", "HTTP", "TODO", "FIXME"):
+                tokens[i] = "*"
+        elif not _VARYING.isdisjoint(t):
             tokens[i] = _star(t)
         elif not shouted and t.isupper() and len(core := t.strip(_EDGE)) > 1 and core not in ("JS", "HTTP", "TODO", "FIXME"):
             tokens[i] = "*"
@@ -219,7 +244,7 @@ def units(line: str) -> list[str]:
     if "  " in bare or " - " in bare or " – " in bare or " | " in bare or "<" in bare:
         bare = _BREAK.sub("\n", bare)
     bare = bare.replace(".", "").replace(",", "").replace(";", "").replace("!", "").replace("?", "").replace("(", "").replace(")", "")
-    return [u for u in (x.strip() for x in bare.split("\n")) if u and _WORD.search(u)]
+    return [u for u in (x.strip() for x in bare.split("\n")) if u and (u.upper() != u or _WORD.search(u))]
 
 
 def leaf(template: str) -> str:
@@ -259,10 +284,18 @@ def cluster(templates: list[tuple[str, int]]) -> list[tuple[str, str]]:
 
 
 def cue(unit: str) -> str | None:
-    """What a unit's words make it suspect of. Notes of open work are beyond suspicion."""
+    """What a unit's words make it suspect of, the first of CUES. Notes of open work are beyond suspicion."""
     if unit.startswith(("todo", "fixme")):
         return None
-    return next((v for v, p in _CUES.items() if p.search(unit)), None)
+    got = set()
+    for end, (verdict, n, any_start, any_end) in _CUES.iter(unit):
+        first = end - n + 1
+        if (any_start or first == 0 or not unit[first - 1].isalnum()) and (any_end or end + 1 == len(unit) or not unit[end].isalnum() or not unit[end + 1].isalnum()):
+            got.add(verdict)
+    for start, verdict in _STARTS.items():
+        if unit.startswith(start.removesuffix("*")) and (start[-1] == "*" or len(unit) == len(start) or not unit[len(start)].isalnum()):
+            got.add(verdict)
+    return min(got, key=_RANK.index) if got else None
 
 
 #: Words that hold sentences together, whatever they speak of, by language.
@@ -303,48 +336,43 @@ def sense(unit: str, known: int) -> str:
 
 
 def document_lines(docs: DataFrame, doc_id: str, text: str, lang: str | None = None) -> DataFrame:
-    """(doc_id, text_key, lang_key, line_no, kind, slots, units, cued) of all lines that aren't code, tables or logs; lang_key stands for the language's name, one for all texts without.
+    """(doc_id, text_key, lang_key, line_no, kind, slots, units, cued, n_words) of all lines that aren't code, tables or logs; lang_key stands for the language's name, one for all texts without.
     cued tells whether a unit has a cue; a text that says one unit over and over is one line of kind drum."""
 
     kind_of_id = docs.select(F.col(doc_id).alias("doc_id")).schema[0].dataType.simpleString()
 
     def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        has_cue: dict[str, bool] = {}
         for batch in batches:
-            at, numbers, kinds, found, sentences, cued = [], [], [], [], [], []
-            if len(has_cue) > 500_000:
-                has_cue.clear()
+            at, numbers, kinds, found, sentences, cued, lengths = [], [], [], [], [], [], []
             for i, t in enumerate(batch.column(3).to_pylist()):
                 first, said = len(at), []
                 for n, (kind, line) in enumerate(text_lines(t)):
                     if kind == "prose":
-                        own, hint = units(line), False
-                        for u in own:
-                            if (c := has_cue.get(u)) is None:
-                                c = has_cue[u] = cue(u) is not None
-                            hint = hint or c
+                        may = may_hold_slot(line)
+                        own = units(line, may)
                         said += own
                     elif kind == "page":
-                        own, hint = [], False
+                        own, may = [], False
                     else:
                         continue
                     at.append(i)
                     numbers.append(n)
                     kinds.append(kind)
-                    found.append(len(slots(line)) if kind == "prose" else 0)
+                    found.append(len(slots(line, True)) if may else 0)
                     sentences.append(own)
-                    cued.append(hint)
+                    cued.append(any(cue(u) for u in own))
+                    lengths.append(sum(u.count(" ") + 1 for u in own))
                 if len(said) >= LEAST_WORDS and len(set(said)) == 1 and len(at) > first:
                     kinds[first] = "drum"
             rows = pa.array(at, pa.int32())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(rows), batch.column(1).take(rows), batch.column(2).take(rows), pa.array(numbers, pa.int32()), pa.array(kinds, pa.string()), pa.array(found, pa.int32()), pa.array(sentences, pa.list_(pa.string())), pa.array(cued, pa.bool_())],
-                names=["doc_id", "text_key", "lang_key", "line_no", "kind", "slots", "units", "cued"],
+                [batch.column(0).take(rows), batch.column(1).take(rows), batch.column(2).take(rows), pa.array(numbers, pa.int32()), pa.array(kinds, pa.string()), pa.array(found, pa.int32()), pa.array(sentences, pa.list_(pa.string())), pa.array(cued, pa.bool_()), pa.array(lengths, pa.int32())],
+                names=["doc_id", "text_key", "lang_key", "line_no", "kind", "slots", "units", "cued", "n_words"],
             )
 
     name = F.coalesce(F.lower(F.trim(lang)), F.lit("")) if lang else F.lit("")
     rows = docs.where(F.col(text).isNotNull()).select(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("text_key"), F.xxhash64(name).alias("lang_key"), F.col(text).alias("text"))
-    return rows.mapInArrow(take, f"doc_id {kind_of_id}, text_key long, lang_key long, line_no int, kind string, slots int, units array<string>, cued boolean")
+    return rows.mapInArrow(take, f"doc_id {kind_of_id}, text_key long, lang_key long, line_no int, kind string, slots int, units array<string>, cued boolean, n_words int")
 
 
 def _small(table: DataFrame) -> DataFrame:
@@ -436,9 +464,11 @@ def suspects(templates: DataFrame, cued: DataFrame) -> DataFrame:
     def cue_of(units: pd.Series) -> pd.Series:
         return pd.Series([cue(u) for u in units], dtype=object)
 
-    hinted = templates.select("template", "support", cue_of("unit").alias("cue")).groupBy("template", "cue").agg(F.sum("support").alias("s"))
-    all_ = hinted.groupBy("template").agg(F.sum("s").alias("n"), F.max(F.when(F.col("cue").isNotNull(), F.struct("s", "cue"))).alias("c"))
-    named = materialize(all_.select("template", "n", F.when(F.col("c.s") * 2 >= F.col("n"), F.col("c.cue")).alias("cue")), "template-cues")
+    close = materialize(templates.select("unit", "template", "support").join(cued.distinct(), "unit"), "units-near-cues")
+    hinted = close.groupBy("unit", "template", "support").agg(F.lit(1).alias("one")).select("template", "support", cue_of("unit").alias("cue"))
+    hinted = hinted.where("cue IS NOT NULL").groupBy("template", "cue").agg(F.sum("support").alias("s")).groupBy("template").agg(F.max(F.struct("s", "cue")).alias("c"))
+    named = templates.groupBy("template").agg(F.sum("support").alias("n")).join(hinted, "template", "left")
+    named = materialize(named.select("template", "n", F.when(F.col("c.s") * 2 >= F.col("n"), F.col("c.cue")).alias("cue")), "template-cues")
     # log odds of words, learnt from the texts of templates with a cue against those of the others
     words = materialize(named.select("template", "n", "cue", F.explode(F.array_distinct(_words("template"))).alias("word")), "template-words")
     texts = lambda when, name: F.coalesce(F.sum(F.when(when, F.col("n"))), F.lit(0)).alias(name)
@@ -450,7 +480,7 @@ def suspects(templates: DataFrame, cued: DataFrame) -> DataFrame:
     logs = logs.select("word", F.when(F.col("b") > 0, x).otherwise(F.least(x, F.lit(0.0))).alias("x"))  # a word no cued template has says nothing for them
     prior = math.log((float(of["b"]) + 0.5) / (float(of["o"]) + 0.5))
     odds = words.join(logs, "word").groupBy("template").agg((F.sum("x") + F.lit(prior)).alias("odds"))
-    near = templates.select("unit", "template").join(cued.distinct(), "unit").groupBy("template", "text_key").agg(F.lit(1).alias("one")).groupBy("template").agg(F.count(F.lit(1)).alias("near"))
+    near = close.groupBy("template", "text_key").agg(F.lit(1).alias("one")).groupBy("template").agg(F.count(F.lit(1)).alias("near"))
     got = named.join(odds, "template", "left").join(near, "template", "left")
     return got.where((F.col("cue").isNotNull()) | (F.col("odds") > 0) | (F.col("near") >= SUSPECT * F.col("n"))).select("template", "n", "cue", F.coalesce("odds", F.lit(0.0)).alias("odds"), F.coalesce(F.col("near") / F.col("n"), F.lit(0.0)).alias("near"))
 
@@ -466,7 +496,7 @@ def residue(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: s
     held = materialize(suspects(templates, cued), "suspects")
     both = held.join(odd.withColumn("senseless", F.lit(True)), "template", "full").select("template", "n", "cue", "odds", "near", F.coalesce("senseless", F.lit(False)).alias("senseless"))
     wanted = materialize(templates.select("unit", "template").join(both, "template"), "suspect-units")
-    placed = prose.select("doc_id", "text_key", "line_no", F.aggregate("units", F.lit(0), lambda a, u: a + F.size(F.split(u, " "))).alias("n_words"), F.explode("units").alias("unit"))
+    placed = prose.select("doc_id", "text_key", "line_no", "n_words", F.explode("units").alias("unit"))
     hits = materialize(placed.join(_small(wanted), "unit").withColumn("words", F.size(F.split("unit", " "))), "suspect-lines")
     line = Window.partitionBy("doc_id", "line_no")
     held = F.when(F.col("senseless") | F.col("cue").isNotNull() | (F.col("near") >= COMPANY), F.col("words")).otherwise(0)
