@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, SparkSession
 
 from axonlake.operators import drifting_schema as ds
 from axonlake.operators.drifting_schema import Field
-from axonlake.sources.scratch import materialize
 from axonlake.sources.tables import table
 
 KEEP = ["file_id", "campaign", "file_no"]
@@ -19,19 +18,17 @@ PROMOTED = [
 ]
 
 
-def _heads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ds.parsed(table(spark, sf_dir, "run_files"), KEEP, table(spark, sf_dir, "field_names"))
+def ingested(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ds.ingest(table(spark, sf_dir, "run_files"), KEEP, table(spark, sf_dir, "field_names"), SCHEMA)
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    heads = _heads(spark, sf_dir)
-    types = materialize(ds.field_types(heads, ds.records(heads, KEEP), KEEP), "field-types")
-    return ds.changes(heads, types, "campaign", "file_no").select("file_id", "field", "change")
+    return ds.changes(ingested(spark, sf_dir), KEEP, "campaign", "file_no").select("file_id", "field", "change")
 
 
 def p5_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every record in one table; the promoted fields are replayed out of the rescued values."""
-    return ds.promote(ds.enforce(ds.records(_heads(spark, sf_dir), KEEP), SCHEMA, KEEP), PROMOTED)
+    return ds.promote(ingested(spark, sf_dir).where("line_no > 0").drop("_seen", "_kinds"), PROMOTED)
 
 
 QUERIES = {"p5_found": p5_found, "p5_table": p5_table}
@@ -49,7 +46,23 @@ _CELLS = """
               FROM values_ c JOIN fields_ f ON c.file_id = f.file_id AND c.i = f.i),
     known AS (SELECT * FROM cells WHERE lower(raw) NOT IN ('', 'na', 'nan', 'null', 'none'))"""
 
+# the typed columns and how SQL casts them; a field that doesn't cast stays in the JSON object of rescued values
+_TYPED = {**{f.name: f"try_cast(@ AS {f.kind})" for f in SCHEMA if f.kind != "string"}, "arm": "@", "task": "@",
+          "n_classes": r"CAST(try_cast(regexp_extract(@, '^([+-]?[0-9.eE+-]+)( *cls)?$', 1) AS DOUBLE) AS INT)", "target": r"CAST(try_cast(regexp_extract(@, '^(s=)?([+-]?[0-9.eE+-]+)$', 2) AS DOUBLE) AS INT)",
+          "tol": "CASE WHEN suffix(@, '%') THEN try_cast(rtrim(@, '%') AS DOUBLE) / 100 ELSE try_cast(@ AS DOUBLE) END"}
+_TABLE = """,
+    firsts AS (SELECT file_id, field, min(i) AS i FROM fields_ GROUP BY ALL),
+    wide AS (SELECT c.file_id, n, coalesce(f.field, 'column_' || c.i) AS field, regexp_replace(x, '^[\\s"\\x{FEFF}]+|[\\s"\\x{FEFF}]+$', '', 'g') AS raw
+             FROM values_ c LEFT JOIN fields_ f ON c.file_id = f.file_id AND c.i = f.i
+             WHERE f.field IS NULL OR (c.file_id, f.field, c.i) IN (SELECT file_id, field, i FROM firsts)),
+    told AS (SELECT * FROM wide WHERE lower(trim(raw)) NOT IN ('', 'na', 'nan', 'null', 'none')),
+    cast_ AS (SELECT file_id, n, field, raw, CASE """ + " ".join(f"WHEN field = '{k}' THEN CAST({v.replace('@', 'trim(raw)')} AS VARCHAR)" for k, v in _TYPED.items()) + """ END AS v FROM told)"""
 SQL = {
+    "p5_table": _CELLS + _TABLE + """
+    SELECT l.file_id, b.campaign, b.file_no, CAST(l.n - 1 AS INT) AS line_no, """
+    + ", ".join(f"CAST(max(v) FILTER (field = '{f.name}') AS {'VARCHAR' if f.kind == 'string' else f.kind}) AS {f.name}" for f in [*SCHEMA, *PROMOTED])
+    + """, '{' || nullif(string_agg('"' || field || '":"' || replace(replace(raw, '\\', '\\\\'), '"', '\\"') || '"', ',' ORDER BY field) FILTER (v IS NULL AND field IS NOT NULL), '') || '}' AS _rescued
+    FROM split_ l JOIN bodies b ON l.file_id = b.file_id LEFT JOIN cast_ c ON l.file_id = c.file_id AND l.n = c.n GROUP BY ALL""",
     "p5_found": _CELLS + """,
     kinds AS (SELECT file_id, field, CASE WHEN bool_and(regexp_full_match(raw, '[+-]?[0-9]+')) THEN 'int'
                      WHEN bool_and(regexp_full_match(raw, '[+-]?([0-9]+\\.?[0-9]*|\\.[0-9]+)([eE][+-]?[0-9]+)?')) THEN 'float' ELSE 'text' END AS kind
