@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from axonlake.functions.delimited import fields, header, lines
-from axonlake.operators.sorted_runs import Consolidated, consolidate
+from axonlake.operators.sorted_runs import Consolidated, Store
 from axonlake.sources.tables import table
 
 COLUMNS = ["arm", "seed", "task", "cond", "value"]
@@ -26,9 +26,10 @@ def record_lines(files: DataFrame) -> DataFrame:
     return rows.withColumn("value", F.coalesce(number.cast("string"), F.col("value")))
 
 
-def consolidated(spark: SparkSession, sf_dir: str, target_bytes: int = TARGET_BYTES) -> Consolidated:
+def consolidated(spark: SparkSession, sf_dir: str, target_bytes: int = TARGET_BYTES, path: str | None = None) -> Consolidated:
+    """The records of shards merged into the store at path; without a path, into one that ends with the session."""
     records = record_lines(table(spark, sf_dir, "shards"))
-    return consolidate(records.select(F.concat_ws(_SEP, *COLUMNS).alias("key"), "file_id"), target_bytes)
+    return Store(spark, path).deliver(records.select(F.concat_ws(_SEP, *COLUMNS).alias("key"), "file_id"), target_bytes)
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -49,7 +50,16 @@ def p4_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.select("range_id", "part_no", F.translate("first_key", _SEP, ",").alias("first_key"), F.translate("last_key", _SEP, ",").alias("last_key"), "n_records", "n_copies", "n_bytes")
 
 
-QUERIES = {"p4_found": p4_found, "p4_records": p4_records, "p4_files": p4_files}
+def p4_sums(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the metadata of the consolidated files adds up to."""
+    files = consolidated(spark, sf_dir).files
+    sums = [F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n_records", "n_copies")]
+    return files.agg(*sums, F.min("first_key").alias("first_key"), F.max("last_key").alias("last_key"), F.coalesce(F.max("n_bytes") < 2 * TARGET_BYTES, F.lit(True)).alias("within_target")).select(
+        "n_records", "n_copies", F.split("first_key", _SEP)[0].alias("first_arm"), F.split("last_key", _SEP)[0].alias("last_arm"), "within_target"
+    )
+
+
+QUERIES = {"p4_found": p4_found, "p4_records": p4_records, "p4_files": p4_files, "p4_sums": p4_sums}
 
 _RECORDS = """
     WITH bodies AS (SELECT file_id, string_split_regex(body, '\\r\\n|\\n|\\r') AS l FROM shards WHERE body IS NOT NULL),
@@ -64,4 +74,5 @@ _RECORDS = """
 SQL = {
     "p4_found": _RECORDS + " SELECT file_id FROM shards WHERE file_id NOT IN (SELECT first_file_id FROM firsts)",
     "p4_records": _RECORDS + " SELECT arm, seed, task, cond, value, first_file_id FROM firsts",
+    "p4_sums": _RECORDS + """ SELECT (SELECT count(*) FROM firsts) AS n_records, count(*) AS n_copies, min(arm) AS first_arm, max(arm) AS last_arm, true AS within_target FROM records""",
 }

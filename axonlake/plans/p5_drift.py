@@ -60,8 +60,8 @@ _TABLE = """,
 SQL = {
     "p5_table": _CELLS + _TABLE + """
     SELECT l.file_id, b.campaign, b.file_no, CAST(l.n - 1 AS INT) AS line_no, """
-    + ", ".join(f"CAST(max(v) FILTER (field = '{f.name}') AS {'VARCHAR' if f.kind == 'string' else f.kind}) AS {f.name}" for f in [*SCHEMA, *PROMOTED])
-    + """, '{' || nullif(string_agg('"' || field || '":"' || replace(replace(raw, '\\', '\\\\'), '"', '\\"') || '"', ',' ORDER BY field) FILTER (v IS NULL AND field IS NOT NULL), '') || '}' AS _rescued
+    + ", ".join(f"CAST(max(c.v) FILTER (c.field = '{f.name}') AS {'VARCHAR' if f.kind == 'string' else f.kind}) AS {f.name}" for f in [*SCHEMA, *PROMOTED])
+    + """, '{' || nullif(string_agg('"' || c.field || '":"' || replace(replace(c.raw, '\\', '\\\\'), '"', '\\"') || '"', ',' ORDER BY c.field) FILTER (c.v IS NULL AND c.field IS NOT NULL), '') || '}' AS _rescued
     FROM split_ l JOIN bodies b ON l.file_id = b.file_id LEFT JOIN cast_ c ON l.file_id = c.file_id AND l.n = c.n GROUP BY ALL""",
     "p5_found": _CELLS + """,
     kinds AS (SELECT file_id, field, CASE WHEN bool_and(regexp_full_match(raw, '[+-]?[0-9]+')) THEN 'int'

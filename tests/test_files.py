@@ -1,39 +1,71 @@
 import random
 
 import pyarrow as pa
+import pyarrow.parquet as pq
 from pyspark.sql import functions as F
 
 from axonlake.operators import drifting_schema as ds
 from axonlake.operators.carry import carry_last
-from axonlake.operators.sorted_runs import consolidate, merge_runs
+from axonlake.operators.sorted_runs import Store, consolidate, merge_runs, stretch
 from axonlake.plans.p4_small_files import record_lines
 
 
-def test_merge_of_sorted_runs():
+def test_merge_of_sorted_runs(tmp_path):
     rng = random.Random(1)
-    runs = [sorted((rng.choice("abcdefg") * rng.randint(1, 3), rng.randint(0, 9)) for _ in range(rng.randint(0, 40))) for _ in range(9)]
-    tables = [pa.table({"key": pa.array([k for k, _ in r], pa.string()), "file_id": pa.array([f for _, f in r], pa.int64()), "n_bytes": pa.array([1] * len(r), pa.int32())}) for r in runs]
-    for block in (1, 3, 4096):
-        got = [x for piece in merge_runs(tables, block) for x in zip(piece["key"].to_pylist(), piece["file_id"].to_pylist())]
-        assert got == sorted(x for r in runs for x in r)
+    runs = [sorted((rng.choice("abcdefg") * rng.randint(1, 3), rng.randint(0, 9), 1) for _ in range(rng.randint(0, 40))) for _ in range(9)]
+    assert list(merge_runs([iter(r) for r in runs])) == sorted(x for r in runs for x in r)
+    paths = []
+    for i, r in enumerate(runs):
+        pq.write_table(pa.table({"key": pa.array([x[0] for x in r], pa.string()), "file_id": pa.array([x[1] for x in r], pa.int64()), "n_bytes": pa.array([1] * len(r), pa.int32())}), tmp_path / f"{i}.parquet", row_group_size=7)
+        paths.append(f"file://{tmp_path}/{i}.parquet")
+    for low, high in ((None, None), (("b", 3), ("dd", 5)), (("c", 0), None), (None, ("a", 4)), (("b", 3), ("b", 3))):
+        want = sorted(x for r in runs for x in r if (low is None or x[:2] >= low) and (high is None or x[:2] < high))
+        for block in (1, 3, 4096):
+            assert list(merge_runs([stretch(p, low, high, block) for p in paths])) == want
 
 
-def test_consolidation_keeps_every_record_once(spark):
-    rng = random.Random(2)
-    data = [(rng.choice(["hot"] * 5 + [f"k{i}" for i in range(40)]), i % 50) for i in range(2000)]
-    df = spark.createDataFrame(data, "key string, file_id long").repartition(6)
+def hot_records(spark, seed, n=2000):
+    rng = random.Random(seed)
+    data = [(rng.choice(["hot"] * 5 + [f"k{i}" for i in range(40)]), seed * 1000 + i % 50) for i in range(n)]
+    return data, spark.createDataFrame(data, "key string, file_id long").repartition(6)
+
+
+def firsts(data):
     first = {}
     for k, f in data:
         first[k] = min(f, first.get(k, f))
-    for target in (40, 300, 10**6):  # the hot key lies in many ranges at first
-        c = consolidate(df, target)
+    return first
+
+
+def test_consolidation_keeps_every_record_once(spark, monkeypatch):
+    data, df = hot_records(spark, 2)
+    monkeypatch.setattr("axonlake.operators.sorted_runs.INDEX_ROWS", 16)
+    for target, fan_in in ((40, 256), (300, 4), (10**6, 2)):  # the hot key lies in many ranges at first; runs are merged in several passes at last
+        c = consolidate(df, target, fan_in=fan_in)
         assert c.merged.count() == 2000
-        assert {r["key"]: r["file_id"] for r in c.firsts().collect()} == first and c.firsts().count() == len(first)
+        assert {r["key"]: r["file_id"] for r in c.firsts().collect()} == firsts(data) and c.firsts().count() == len(firsts(data))
         files = c.files.collect()
-        assert sum(r["n_copies"] for r in files) == 2000 and sum(r["n_records"] for r in files) == len(first)
+        assert sum(r["n_copies"] for r in files) == 2000 and sum(r["n_records"] for r in files) == len(firsts(data))
         assert all(r["n_bytes"] <= target + 4 for r in files)
 
 
+def test_a_second_delivery(spark, tmp_path):
+    (a, first), (b, second) = hot_records(spark, 3), hot_records(spark, 4)
+    store = Store(spark, f"file://{tmp_path}/store")
+    assert store.latest() is None
+    store.deliver(second, 300)
+    (tmp_path / "store/v2/data").mkdir(parents=True)  # of a job that died
+    assert store.latest() == 1
+    store.deliver(first, 300)
+    got = Store(spark, f"file://{tmp_path}/store").read()
+    assert store.latest() == 3 and got.merged.count() == len(a) + len(b)
+    assert {r["key"]: r["file_id"] for r in got.firsts().collect()} == firsts(a + b) and got.firsts().count() == len(firsts(a + b))
+    files = got.files.collect()
+    assert sum(r["n_copies"] for r in files) == len(a) + len(b) and sum(r["n_records"] for r in files) == len(firsts(a + b)) and all(r["n_bytes"] <= 304 for r in files)
+    store.deliver(first.limit(0), 300)
+    assert store.read().merged.count() == len(a) + len(b) and store._complete() == [3, 4]
+
+
 def test_consolidation_of_nothing(spark):
     c = consolidate(spark.createDataFrame([], "key string, file_id long"), 100)
     assert c.firsts().count() == 0 and c.files.count() == 0
