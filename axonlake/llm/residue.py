@@ -83,12 +83,12 @@ SLOT = re.compile(
 _MAYBE_SLOT = re.compile(r"[\[{<]{2}|[{<\[][^\W\d_]|\{[*~=+:|!&-]|[\[{<]%|\{\d?\}|[$#]\{|%[(\w]|\$[^\W\d_]|@[@\w]|«\w|__|~~|\*\*\*|XXX|\.{5}|……|TBD_|_HERE|(?:here|hier|einfügen|eintragen|buraya|yazın|aquí)\)")
 
 
-_SLOT_SIGNS = frozenset("{[<$%@«~")
+_SLOT_SIGN = re.compile(r"[{\[<$%@«~](?:[^\s\d,.;:)]|\d?\}|\d+\$)")
 
 
 def may_hold_slot(x: str) -> bool:
     signs = (
-        not _SLOT_SIGNS.isdisjoint(x) or "__" in x or "***" in x or "XXX" in x or "....." in x or "……" in x or "TBD_" in x or "_HERE" in x
+        bool(_SLOT_SIGN.search(x)) or "__" in x or "***" in x or "XXX" in x or "....." in x or "……" in x or "TBD_" in x or "_HERE" in x
         or (")" in x and ("here)" in x or "hier)" in x or "fügen)" in x or "tragen)" in x or "raya)" in x or "azın)" in x or "aquí)" in x))
     )
     return signs and bool(_MAYBE_SLOT.search(x))
@@ -124,7 +124,7 @@ CUES = {
         ^traceback, ^4xx, ^* 4xx, ^error 4xx, ^http/*, ^err_*, ^fatal, ^warning:, ^notice:, ^php warning:, ^php notice:, ^parse error:, *error:, *exception:, not found, forbidden, bad gateway, service unavailable, too many requests,
         internal server, gateway timeout, gateway time-out, unauthorized, access denied, session expired, session has expired, session has ended, token expired, link expired, timed out, went wrong, unexpected problem,
         unexpected error, unknown error, internal error, server error, couldn't load, couldn't reach, couldn't open, couldn't find, could not load, could not reach, could not open, could not find, could not be loaded,
-        could not be found, could not be opened, could not be reached, try again, maintenance, out of memory, segmentation fault, core dumped, connection refused, connection reset, connection closed, closed the connection,
+        could not be found, could not be opened, could not be reached, try again, maintenance, out of memory, segmentation fault, core dumped, connection refused, connection reset, connection closed, closed the connection, connection error, connect error, error code,
         have permission, oops, nicht gefunden, serverfehler, verweigert, sitzung ist abgelaufen, zeitüberschreitung, erneut versuchen, konnte nicht geladen, schiefgelaufen, keine berechtigung, wartungsarbeiten, unerwarteter fehler,
         bulunamad*, sunucu hatası, engellendi, zaman aşımı*, yeniden deneyin, oturumunuz, yetkiniz, yüklenemedi, ters gitti, no encontrada, no encontrado, error interno, denegado, ha caducado, ha expirado, inténtelo, no se pudo,
         no tiene permiso, tiempo de espera, algo salió mal, demasiadas solicitudes""",
