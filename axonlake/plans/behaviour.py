@@ -14,7 +14,7 @@ from axonlake.functions.cells import any_contains
 from axonlake.functions.text import ngrams
 from axonlake.operators import codes as C
 from axonlake.operators import edges as E
-from axonlake.operators.simulate import Membrane
+from axonlake.operators.simulate import Drive, Membrane, Wiring
 from axonlake.plans.graph_rows import j6_opposed
 from axonlake.plans.graph_search import j14_overlaps
 from axonlake.plans.views import SQL_EDGES, SQL_NODES, SQL_TRIALS, edges, nodes, sql, trials
@@ -182,14 +182,15 @@ def g23_gates(spark: SparkSession, d: str) -> DataFrame:
 
     def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         m = Membrane()
+        cell, trial = np.array([0, 1, 0, 1]), np.array([1, 2, 3, 3])
+        const = lambda x: np.full(4, x)
+        drive = Drive(cell, trial, const(0.0), const(60.0), const(25.0), const(0.0))
         for batch in batches:
             out = []
             for a, b in zip(batch["w_exc"], batch["w_inh"]):
-                fires = []
-                for x, y in ((0, 0), (1, 0), (0, 1), (1, 1)):
-                    s = m.run(np.array([2, 2]), np.array([0, 1]), np.array([float(a), -float(b)]), 3, np.array([25.0 * x, 25.0 * y, 0.0]), 60.0)
-                    fires.append(int((s[:, 1] == 2).any()))
-                out.append(GATES.get(tuple(fires), "other"))
+                s = m.spikes(Wiring(np.array([0, 1]), np.array([2, 2]), np.array([float(a), -float(b)]), 3), drive, 4, 60.0)
+                fires = set(s[s[:, 1] == 2, 2].tolist())
+                out.append(GATES.get(tuple(int(t in fires) for t in range(4)), "other"))
             yield pd.DataFrame({"post": batch["post"], "gate": out})
 
     pairs = j6_opposed(spark, d).where("w_inh >= 0.6 * w_exc").select("post", "w_exc", "w_inh")

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from axonlake.operators import edges as E
+from axonlake.operators import graph_iter as G
 from axonlake.operators import simulate as M
+from axonlake.operators import spectral as X
 from axonlake.plans.views import SQL_EDGES, SQL_NODES, edges, nodes, sql, trials
+from axonlake.sources.scratch import materialize
 from axonlake.sources.tables import table
 from axonlake.streaming import state as R
 
@@ -19,20 +24,138 @@ def change() -> Column:
     return F.when(F.col("event_type") == "purchase", F.col("value") / 10 - 35.0).otherwise(F.col("value") / 20 - 10.0)
 
 
-def _circuits(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """The exciting and inhibiting weights within each super class, and its sensory-like quarter of cells as driven."""
-    n, e = nodes(spark, d).where("super_class IS NOT NULL"), E.strong(edges(spark, d), 5)
-    a, b = n.select(F.col("id").alias("pre"), F.col("super_class").alias("circuit"), "sign_a"), n.select(F.col("id").alias("post"), F.col("super_class").alias("c2"))
-    rows = e.join(a, "pre").join(b, "post").where("circuit = c2").groupBy("circuit", "pre", "post").agg(F.sum(F.col("w") * F.col("sign_a")).cast("double").alias("v"))
-    return rows, n.where("id % 4 = 0").select(F.col("super_class").alias("circuit"), "id")
+#: Cells of a circuit that is simulated.
+CIRCUIT_CELLS = 400
+
+
+def _circuit(spark: SparkSession, d: str, seeds: str, cells: int = CIRCUIT_CELLS) -> tuple[DataFrame, DataFrame]:
+    """The signed connections (pre, post, v) among the first cells downstream of a class, and the cells of that class among them."""
+    n, e = nodes(spark, d), edges(spark, d)
+    of = n.where(F.col("cell_class") == seeds).select("id")
+    got = materialize(G.levels(E.strong(e, 5), of, 2, limit=cells).select("id", "hop"), "circuit")
+    return materialize(E.induced(e, got.select("id"), n.select("id", F.col("sign_a").alias("sign")), 5), "circuit-edges"), got.where("hop = 0").select("id")
+
+
+def _drives(cells: DataFrame, circuit: str, trials: list[tuple[int, float, float, float, float]]) -> DataFrame:
+    """A drive of each cell for each (trial, begin_ms, end_ms, level, slope)."""
+    rows = F.array(*[F.struct(F.lit(t).alias("trial"), F.lit(a).alias("begin_ms"), F.lit(b).alias("end_ms"), F.lit(x).alias("level"), F.lit(s).alias("slope")) for t, a, b, x, s in trials])
+    return cells.select(F.lit(circuit).alias("circuit"), "id", F.explode(rows).alias("d")).select("circuit", "id", "d.*")
 
 
 def g21_spikes(spark: SparkSession, d: str) -> DataFrame:
-    """Spikes per cell in 200 ms, circuit by circuit."""
-    spikes = M.spike_trains(*_circuits(spark, d), "circuit")
+    """Spikes per cell in 200 ms of two circuits whose seeds are driven."""
+    both, on = [], []
+    for seeds in ("Kenyon_Cell", "MBON"):
+        e, driven = _circuit(spark, d, seeds)
+        both.append(e.withColumn("circuit", F.lit(seeds)))
+        on.append(_drives(driven, seeds, [(0, 0.0, 200.0, 25.0, 0.0)]))
+    spikes = M.spike_trains(both[0].unionByName(both[1]), on[0].unionByName(on[1]), "circuit")
     return spikes.groupBy("circuit", "id").agg(F.count(F.lit(1)).alias("n"), F.min("t_ms").alias("first_ms"))
 
 
+def a32_protocol(spark: SparkSession, d: str) -> DataFrame:
+    """Spikes, active cells and rate in each phase of a schedule: a cue of 60 ms to the left seeds, 40 ms without, a turn of 60 ms to the right ones."""
+    e, driven = _circuit(spark, d, "Kenyon_Cell")
+    side = driven.join(nodes(spark, d).select("id", "side"), "id")
+    on = _drives(side.where("side = 'left'").select("id"), "ring", [(0, 0.0, 60.0, 25.0, 0.0)]).unionByName(_drives(side.where("side = 'right'").select("id"), "ring", [(0, 100.0, 160.0, 25.0, 0.0)]))
+    spikes = M.spike_trains(e.withColumn("circuit", F.lit("ring")), on, "circuit", 160.0)
+    phase = F.when(F.col("t_ms") < 60, "cue").when(F.col("t_ms") < 100, "hold").otherwise("turn")
+    length = F.when(F.col("phase") == "hold", 40.0).otherwise(60.0)
+    return spikes.groupBy(phase.alias("phase")).agg(F.count(F.lit(1)).alias("spikes"), F.count_distinct("id").alias("active")).select("phase", "spikes", "active", (F.col("spikes") * 1000 / (F.col("active") * length)).alias("rate_hz"))
+
+
+def g24_looming(spark: SparkSession, d: str) -> DataFrame:
+    """For each speed of a drive that grows with time, when the seeds and the cells behind them fire first."""
+    e, driven = _circuit(spark, d, "Kenyon_Cell")
+    speeds = [0.1, 0.2, 0.4, 0.8, 1.6]
+    spikes = M.spike_trains(e.withColumn("circuit", F.lit("loom")), _drives(driven, "loom", [(i, 0.0, 150.0, 0.0, s) for i, s in enumerate(speeds)]), "circuit", 150.0)
+    behind = spikes.join(driven.withColumn("seed", F.lit(True)), "id", "left")
+    speed = F.array(*[F.lit(s) for s in speeds])
+    return behind.groupBy(F.element_at(speed, F.col("trial") + 1).alias("speed")).agg(F.min(F.when(F.col("seed"), F.col("t_ms"))).alias("first_ms"), F.min(F.when(F.col("seed").isNull(), F.col("t_ms"))).alias("first_behind_ms"), F.count_if(F.col("seed").isNull()).alias("n_behind"))
+
+
+def g25_steering(spark: SparkSession, d: str) -> DataFrame:
+    """Right minus left spikes of the cells behind the seeds, per heading and gain: the seeds of a side are driven the more the further the goal lies on it."""
+    e, driven = _circuit(spark, d, "Kenyon_Cell")
+    side = nodes(spark, d).select("id", "side")
+    seeds = materialize(driven.join(side, "id"), "steering-seeds")
+    sweep = [(h, g) for h in (-90, -45, 0, 45, 90) for g in (0.5, 1.0)]
+    level = lambda sign: [(i, 0.0, 100.0, max(0.0, 20.0 + sign * g * 10.0 * math.sin(math.radians(h))), 0.0) for i, (h, g) in enumerate(sweep)]
+    on = _drives(seeds.where("side = 'right'").select("id"), "steer", level(1)).unionByName(_drives(seeds.where("side = 'left'").select("id"), "steer", level(-1)))
+    spikes = M.spike_trains(e.withColumn("circuit", F.lit("steer")), on, "circuit", 100.0).join(seeds.select("id"), "id", "left_anti").join(side, "id")
+    table_ = spark.createDataFrame([(i, h, g) for i, (h, g) in enumerate(sweep)], "trial int, heading int, gain double")
+    turned = spikes.groupBy("trial").agg((F.count_if(F.col("side") == "right") - F.count_if(F.col("side") == "left")).alias("turn"))
+    return table_.join(turned, "trial", "left").select("heading", "gain", F.coalesce("turn", F.lit(0)).alias("turn"))
+
+
+def class_matrix(spark: SparkSession, d: str) -> DataFrame:
+    """(pre, post, v): synapses between cell classes; as many rows as there are pairs of classes."""
+    n = nodes(spark, d).where("cell_class IS NOT NULL").select("id", "cell_class")
+    e = edges(spark, d).groupBy("pre", "post").agg(F.sum("w").alias("w"))
+    e = e.join(n.withColumnsRenamed({"id": "pre", "cell_class": "a"}), "pre").join(n.withColumnsRenamed({"id": "post", "cell_class": "b"}), "post")
+    return e.groupBy(F.col("a").alias("pre"), F.col("b").alias("post")).agg((F.sum("w") / 1000.0).alias("v"))
+
+
+def g7_spectrum(spark: SparkSession, d: str) -> DataFrame:
+    """The sums of the eigenvalues of the class matrix and of their squares, and how many there are."""
+    x = X.eigenvalues(class_matrix(spark, d))
+    return x.agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("re"), 6).alias("total"), F.round(F.sum(F.col("re") * F.col("re") - F.col("im") * F.col("im")), 4).alias("squares"))
+
+
+def g7_slow_modes(spark: SparkSession, d: str) -> DataFrame:
+    """Radius, largest real part and number of slow modes of the 50 largest eigenvalues."""
+    x = X.eigenvalues(class_matrix(spark, d), 50).withColumn("size", F.hypot("re", "im"))
+    radius = x.agg(F.max("size").alias("radius"))  # one row
+    return x.crossJoin(F.broadcast(radius)).groupBy("radius").agg(F.max("re").alias("largest_re"), F.count_if(F.col("size") >= 0.9 * F.col("radius")).alias("slow_modes"))
+
+
+def g8_laplacian(spark: SparkSession, d: str) -> DataFrame:
+    """Sum and sum of squares of the Laplacian's eigenvalues, and the length of all its vectors, which is their number."""
+    x = X.laplacian(class_matrix(spark, d))
+    values = x.groupBy("place").agg(F.first("value").alias("v"), F.sum(F.col("x") * F.col("x")).alias("l"))
+    return values.agg(F.round(F.sum("l"), 6).alias("n"), F.round(F.sum("v") / 1e3, 4).alias("total"), F.round(F.sum(F.col("v") * F.col("v")) / 1e6, 2).alias("squares"))
+
+
+def g9_clusters(spark: SparkSession, d: str) -> DataFrame:
+    return X.spectral_clusters(class_matrix(spark, d), 2, 20, seed=4)
+
+
+def g20_separability(spark: SparkSession, d: str) -> DataFrame:
+    """Rank of the class matrix, and whether a plane tells classes that mostly excite from those that mostly inhibit."""
+    signs = nodes(spark, d).where("cell_class IS NOT NULL").groupBy("cell_class").agg(F.sum("sign_a").alias("s")).collect()  # one row per class
+    return X.separability(class_matrix(spark, d), {r["cell_class"]: 1 if r["s"] >= 0 else -1 for r in signs})
+
+
+AXES = ["pos_x", "pos_y", "pos_z"]
+
+
+def g10_plane(spark: SparkSession, d: str) -> DataFrame:
+    """The variance of all cells' positions along their principal axes together, which is that along x, y and z."""
+    n = nodes(spark, d).where(" AND ".join(f"{a} IS NOT NULL AND NOT isnan({a})" for a in AXES))
+    c = X.in_plane(n, AXES, 3)
+    got = n.select(*[c[f"place_{k}"].alias(f"p{k}") for k in (1, 2, 3)])
+    return got.agg(F.count(F.lit(1)).alias("n"), F.round(sum((F.var_pop(f"p{k}") for k in (1, 2, 3)), F.lit(0.0)) / 1e6, 3).alias("variance"))
+
+
+def g11_residual(spark: SparkSession, d: str) -> DataFrame:
+    """How far cells lie from the plane of all positions, by side."""
+    n = nodes(spark, d).where(" AND ".join(f"{a} IS NOT NULL AND NOT isnan({a})" for a in AXES))
+    return n.select("side", X.in_plane(n, AXES)["residual"].alias("r")).groupBy("side").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("r"), 9).alias("mean_residual"))
+
+
+def g19_matched_null(spark: SparkSession, d: str) -> DataFrame:
+    """The moments of three normal samples matched to the cells' positions, which are those of the positions."""
+    got = X.matched_null(nodes(spark, d), AXES, 3, seed=2)
+    return got.groupBy(F.col("sample").cast("long").alias("sample")).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("pos_x"), 3).alias("mean_x"), F.round(F.covar_pop("pos_x", "pos_y") / 1e6, 3).alias("xy"), F.round(F.var_pop("pos_z") / 1e6, 3).alias("zz"))
+
+
+def g14_dealt(spark: SparkSession, d: str) -> DataFrame:
+    """How often each weight occurs after the weights of all pairs were dealt anew, as before, and the balance of signs."""
+    p = E.pairs(edges(spark, d)).select("pre", "post", "w")
+    dealt = M.dealt_anew(p, "w", seed=6).groupBy("w").agg(F.count(F.lit(1)).alias("n"))
+    return dealt.unionByName(M.balanced_signs(p, "w", seed=6).select(F.signum("w").cast("long").alias("w")).groupBy("w").agg((-F.count(F.lit(1))).alias("n")))
+
+
 def g12_degrees(spark: SparkSession, d: str) -> DataFrame:
     """Numbers of partners in four rewired copies of one class's subgraph, which must be those of the subgraph itself."""
     ids = nodes(spark, d).where("cell_class = 'Kenyon_Cell'").select("id")
@@ -58,8 +181,17 @@ def g15_null(spark: SparkSession, d: str) -> DataFrame:
     return rows.groupBy("obs", "mean").agg(((1 + F.count_if(F.abs(F.col("diff") - F.col("mean")) >= F.abs(F.col("obs") - F.col("mean")))) / (F.count(F.lit(1)) + 1)).alias("p"))
 
 
+def g15_stratified(spark: SparkSession, d: str) -> DataFrame:
+    """The same with labels dealt anew within each task; what is dealt keeps the number of labels, so the deals' weighted means add up to the mean of all."""
+    t = trials(spark, d)
+    null = M.permuted_differences(t, "arm", "acc", "mb_wired", "cx_wired", 500, seed=3, stratum="task")
+    return null.agg(F.count(F.lit(1)).alias("samples"), F.avg("diff").alias("mean"), F.stddev("diff").alias("sd"))
+
+
 def g22_memory(spark: SparkSession, d: str) -> DataFrame:
-    return M.memory_grid(spark, 3, [2, 4, 6])
+    """Memory of the circuit behind the Kenyon cells."""
+    e, _ = _circuit(spark, d, "Kenyon_Cell")
+    return M.memory_grid(e, 3, [2, 4, 6])
 
 
 def r2_vitals(spark: SparkSession, d: str) -> DataFrame:
@@ -104,12 +236,25 @@ def r6_throttled(spark: SparkSession, d: str) -> DataFrame:
     return R.throttled(ev, "user_id", "ts", "event_id", 12 * 3600)
 
 
-QUERIES = {f.__name__: f for f in (g12_degrees, g13_random_graphs, g15_null, g21_spikes, g22_memory, r2_vitals, r2_stream, r4_flags, r5_moods, r6_throttled)}
+QUERIES = {f.__name__: f for f in (a32_protocol, g7_spectrum, g7_slow_modes, g8_laplacian, g9_clusters, g10_plane, g11_residual, g14_dealt, g15_stratified, g19_matched_null, g20_separability, g24_looming, g25_steering, g12_degrees, g13_random_graphs, g15_null, g21_spikes, g22_memory, r2_vitals, r2_stream, r4_flags, r5_moods, r6_throttled)}
 
 _FOLD = """WITH RECURSIVE e AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i, CASE WHEN event_type = 'purchase' THEN value / 10 - 35 ELSE value / 20 - 10 END AS dv FROM events),
     f AS (SELECT user_id, i, least(100.0::DOUBLE, greatest(0.0::DOUBLE, 60 + dv)) AS v FROM e WHERE i = 1 UNION ALL SELECT e.user_id, e.i, least(100.0::DOUBLE, greatest(0.0::DOUBLE, v + dv)) FROM f JOIN e ON e.user_id = f.user_id AND e.i = f.i + 1)
     SELECT user_id, round(arg_max(v, i), 6) AS value, count(*) AS n FROM f GROUP BY 1"""
+_CLASSES = """, cm AS (SELECT a.cell_class AS pre, b.cell_class AS post, sum(w) / 1000.0 AS v FROM edges JOIN nodes a ON pre = a.id JOIN nodes b ON post = b.id WHERE a.cell_class IS NOT NULL AND b.cell_class IS NOT NULL GROUP BY ALL),
+    ids AS (SELECT pre AS id FROM cm UNION SELECT post FROM cm)"""
+_WHOLE = "pos_x IS NOT NULL AND NOT isnan(pos_x) AND pos_y IS NOT NULL AND NOT isnan(pos_y) AND pos_z IS NOT NULL AND NOT isnan(pos_z)"
 SQL = {
+    "g7_spectrum": sql(SQL_EDGES, SQL_NODES) + _CLASSES + """ SELECT (SELECT count(*) FROM ids) AS n, round((SELECT sum(v) FROM cm WHERE pre = post), 6) AS total,
+        round((SELECT sum(a.v * b.v) FROM cm a JOIN cm b ON a.pre = b.post AND a.post = b.pre), 4) AS squares""",
+    "g8_laplacian": sql(SQL_EDGES, SQL_NODES) + _CLASSES + """, s AS (SELECT a.post AS i, b.post AS j, sum(a.v * b.v) AS s FROM cm a JOIN cm b ON a.pre = b.pre WHERE a.post <> b.post GROUP BY ALL),
+        deg AS (SELECT i, sum(s) AS d FROM s GROUP BY 1)
+        SELECT round(CAST((SELECT count(*) FROM ids) AS DOUBLE), 6) AS n, round((SELECT sum(d) FROM deg) / 1e3, 4) AS total, round(((SELECT sum(d * d) FROM deg) + (SELECT sum(s * s) FROM s)) / 1e6, 2) AS squares""",
+    "g10_plane": sql(SQL_NODES) + f" SELECT count(*) AS n, round((var_pop(pos_x) + var_pop(pos_y) + var_pop(pos_z)) / 1e6, 3) AS variance FROM nodes WHERE {_WHOLE}",
+    "g14_dealt": sql(SQL_EDGES) + """, p AS (SELECT pre, post, CAST(sum(w) AS BIGINT) AS w FROM edges GROUP BY 1, 2) SELECT w, count(*) AS n FROM p GROUP BY 1
+        UNION ALL SELECT unnest([1, -1]) AS w, unnest([-((count(*) + 1) // 2), -(count(*) // 2)]) AS n FROM p""",
+    "g19_matched_null": sql(SQL_NODES) + f""", m AS (SELECT count(*) AS n, round(avg(pos_x), 3) AS mean_x, round(covar_pop(pos_x, pos_y) / 1e6, 3) AS xy, round(var_pop(pos_z) / 1e6, 3) AS zz FROM nodes WHERE {_WHOLE})
+        SELECT sample, m.* FROM m, (SELECT unnest(range(3)) AS sample)""",
     "g12_degrees": sql(SQL_EDGES, SQL_NODES) + """, k AS (SELECT id FROM nodes WHERE cell_class = 'Kenyon_Cell'), p AS (SELECT DISTINCT pre, post FROM edges WHERE pre <> post AND pre IN (SELECT id FROM k) AND post IN (SELECT id FROM k)),
         r AS (SELECT pre AS id, 1 AS o, 0 AS i FROM p UNION ALL SELECT post, 0, 1 FROM p)
         SELECT sample, id, CAST(sum(o) AS BIGINT) AS n_out, CAST(sum(i) AS BIGINT) AS n_in FROM r, (SELECT unnest(range(4)) AS sample) GROUP BY 1, 2""",

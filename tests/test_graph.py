@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from axonlake.operators import edges as E
 from axonlake.operators import graph_iter as G
 from axonlake.operators import simulate as M
+from axonlake.operators import spectral as X
 from axonlake.plans import graph_search as Q
 
 EDGES = [(1, 2), (2, 3), (3, 1), (3, 4), (4, 5), (5, 4), (6, 6), (7, 8), (2, 9), (9, 4), (1, 2)]
@@ -125,13 +126,31 @@ def test_spikes(spark):
     w = np.array([[0, 0, 0], [60, 0, -40], [0, 0, 0.0]])
     drive = [25.0, 0.0, 30.0]
     post, pre = np.nonzero(w)
-    got = M.Membrane().run(post, pre, w[post, pre], 3, np.array(drive), 100.0)
+    const = lambda x: np.full(3, x)
+    wiring = M.Wiring(pre, post, w[post, pre], 3)
+    got = M.Membrane().spikes(wiring, M.Drive(np.arange(3), const(0), const(0.0), const(100.0), np.array(drive), const(0.0)), 1, 100.0)
     want = lif_plain(w, drive, 1000)
-    assert len(got) > 5 and [tuple(x) for x in got] == want
+    assert len(got) > 5 and [tuple(x[:2]) for x in got] == want
+    # trials don't touch each other, and drives come and go: trial 1 has the first cell from 20 to 50 ms, growing, and again from 60 ms
+    two = M.Drive(np.array([0, 1, 2, 0, 0]), np.array([0, 0, 0, 1, 1]), np.array([0.0, 0, 0, 20, 60]), np.array([100.0, 100, 100, 50, 100]), np.array([*drive, 10.0, 25.0]), np.array([0, 0, 0, 1.0, 0]))
+    both = M.Membrane().spikes(wiring, two, 2, 100.0)
+    assert [tuple(x[:2]) for x in both if x[2] == 0] == want
+    v, ready, own = 0.0, 0, []
+    for s in range(1000):
+        outer = 10.0 + (s * 0.1 - 20) if 200 <= s < 500 else 25.0 if s >= 600 else 0.0
+        if s >= ready:
+            v += (outer - v) / 10 * 0.1
+            if v >= 15:
+                own.append(s)
+                v, ready = 0.0, s + 20
+    assert [x[0] for x in both if x[2] == 1 and x[1] == 0] == own and own
+    with pytest.raises(M.CircuitTooLarge):
+        M.Wiring(np.zeros(M.MAX_CIRCUIT_EDGES + 1, int), np.zeros(1, int), np.zeros(1), 1)
     gaps = np.diff([s for s, i in want if i == 0])
     assert min(gaps) >= 20
     e = spark.createDataFrame([("c", int(b), int(a), float(w[a, b])) for a, b in zip(post, pre)], "circuit string, pre long, post long, v double")
-    d = spark.createDataFrame([("c", 0)], "circuit string, id long")
+    d = spark.createDataFrame([("c", 0, 0, 0.0, 200.0, 25.0, 0.0)], "circuit string, trial int, id long, begin_ms double, end_ms double, level double, slope double")
+    assert M.spike_trains(e, d.limit(0), "circuit").count() == 0
     assert M.spike_trains(e, d, "circuit").where("id = 0").count() > 3
 
 
@@ -139,19 +158,26 @@ def test_rewiring_keeps_degrees(spark):
     rng = random.Random(6)
     pairs = sorted({(a, b) for a, b in ((rng.randrange(30), rng.randrange(30)) for _ in range(200)) if a != b})
     df = spark.createDataFrame([(a, b, i) for i, (a, b) in enumerate(pairs)], "pre long, post long, w long")
-    got = M.rewired(df, 3, seed=1).collect()
-    for s in range(3):
-        mine = [(r["pre"], r["post"]) for r in got if r["sample"] == s]
-        assert len(set(mine)) == len(pairs) and all(a != b for a, b in mine) and set(mine) != set(pairs)
-        for k in (0, 1):
-            assert sorted(p[k] for p in mine) == sorted(p[k] for p in pairs)
-        assert sorted(r["w"] for r in got if r["sample"] == s) == list(range(len(pairs)))
+    for block in (50_000, 20):  # in one block, and in several that change from round to round
+        got = M.rewired(df, 3, seed=1, block_edges=block).collect()
+        for s in range(3):
+            mine = [(r["pre"], r["post"]) for r in got if r["sample"] == s]
+            assert len(set(mine)) == len(pairs) and all(a != b for a, b in mine) and len(set(mine) & set(pairs)) < 0.7 * len(pairs)
+            for k in (0, 1):
+                assert sorted(p[k] for p in mine) == sorted(p[k] for p in pairs)
+            assert sorted(r["w"] for r in got if r["sample"] == s) == list(range(len(pairs)))
+    dealt = M.dealt_anew(df, "w", 3).collect()
+    assert sorted((r["pre"], r["post"]) for r in dealt) == pairs and sorted(r["w"] for r in dealt) == list(range(len(pairs))) and sum(pairs[r["w"]] == (r["pre"], r["post"]) for r in dealt) < 20
+    signs = [np.sign(r["w"]) for r in M.balanced_signs(df.where("w > 0"), "w", 3).collect()]
+    assert abs(sum(signs)) <= 1 and len(signs) == len(pairs) - 1
+    graphs = M.random_graphs(spark, 40, 300, 2, seed=1).collect()
+    assert len({(r["sample"], r["pre"], r["post"]) for r in graphs}) == 600 and all(r["pre"] != r["post"] and 0 <= r["post"] < 40 and 0 <= r["pre"] < 40 for r in graphs)
 
 
 def test_reservoir_and_readouts():
     rng = np.random.default_rng(2)
     w, inputs, pulses = rng.standard_normal((4, 4)), rng.standard_normal((4, 2)), rng.choice([-1, 1], (5, 2))
-    got = M.reservoir_states(w, inputs, pulses, 2, [0, 3], 0.7, 0.5)
+    got = M.leaky_states(0.7 * w, M.pulse_inputs(pulses, inputs, 2, 4, 0.5))
     x = np.zeros((4, 5))
     for t in range(4):
         u = np.zeros((4, 5))
@@ -160,7 +186,7 @@ def test_reservoir_and_readouts():
             u = 0.5 * (np.outer(inputs[:, 0], np.maximum(p, 0)) + np.outer(inputs[:, 1], np.maximum(-p, 0)))
         x = 0.5 * x + 0.5 * np.tanh(0.7 * w @ x + u)
         if t in (0, 3):
-            assert np.allclose(got[[0, 3].index(t)], x)
+            assert np.allclose(got[t], x)
     f, y = rng.standard_normal((30, 5)), rng.integers(0, 3, 30)
     a = M.ridge(f, y, 3, 1e-3)
     lam = 1e-3 * np.trace(f @ f.T) / 30
@@ -170,13 +196,68 @@ def test_reservoir_and_readouts():
 
 
 def test_memory_grid_and_null(spark):
-    rows = M.memory_grid(spark, 2, [2], cells=30, sequences=60).collect()
+    rng = random.Random(2)
+    circuit = spark.createDataFrame([(a, b, rng.gauss(0, 1)) for a in range(30) for b in range(30) if rng.random() < 0.2], "pre long, post long, v double")
+    rows = M.memory_grid(circuit, 2, [2], sequences=60).collect()
     assert len(rows) == 2 and all(r["acc"] > r["chance"] for r in rows)
+    with pytest.raises(M.CircuitTooLarge):
+        M.memory_grid(circuit, 1, [2], max_cells=10)
     df = spark.createDataFrame([("a", 1.0), ("a", 2.0), ("b", 2.0), ("b", 9.0), ("c", 1.0), ("a", None)], "g string, x double")
     diffs = [r["diff"] for r in M.permuted_differences(df, "g", "x", "a", "b", 400, 1).collect()]
     assert len(diffs) == 400 and set(np.round(diffs, 6)) <= {-4.0, 4.0, -3.0, 3.0} | {round(a, 6) for a in (1.5 - 5.5, 5.5 - 1.5, 5.0 - 2.0, 2.0 - 5.0)}
 
 
+def test_permutation_in_blocks_and_strata(spark):
+    rng = random.Random(5)
+    data = [("ab"[rng.random() < 0.3], rng.choice("uvw"), float(rng.randrange(60))) for _ in range(400)]
+    df = spark.createDataFrame(data, "g string, s string, x double")
+    sd = lambda xs: float(np.std(xs))
+    x, is_a = np.array([r[2] for r in data]), np.array([r[0] == "a" for r in data])
+    free = [np.mean(p[is_a]) - np.mean(p[~is_a]) for p in (np.random.default_rng(i).permutation(x) for i in range(400))]
+    for block in (5, 10_000):
+        diffs = [r["diff"] for r in M.permuted_differences(df, "g", "x", "a", "b", 400, 1, block_values=block).collect()]
+        assert len(diffs) == 400 and abs(np.mean(diffs)) < 0.4 and sd(diffs) == pytest.approx(sd(free), rel=0.2)
+    # strata that decide everything leave nothing to permute
+    fixed = spark.createDataFrame([("a", "u", 1.0), ("b", "u", 1.0), ("a", "w", 5.0), ("a", "w", 5.0), ("b", "w", 5.0)], "g string, s string, x double")
+    assert {round(r["diff"], 9) for r in M.permuted_differences(fixed, "g", "x", "a", "b", 50, 1, stratum="s").collect()} == {round(11 / 3 - 3, 9)}
+    assert len({round(r["diff"], 9) for r in M.permuted_differences(fixed, "g", "x", "a", "b", 50, 1).collect()}) > 1
+
+
+def test_spectra(spark):
+    rng = np.random.default_rng(8)
+    w = rng.standard_normal((6, 6))
+    m = spark.createDataFrame([(f"n{j}", f"n{i}", float(w[i, j])) for i in range(6) for j in range(6)], "pre string, post string, v double")
+    got = [complex(r["re"], r["im"]) for r in X.eigenvalues(m).orderBy("place").collect()]
+    assert np.allclose(sorted(map(abs, got)), sorted(abs(np.linalg.eigvals(w)))) and X.eigenvalues(m, 2).count() == 2 and X.eigenvalues(m.limit(0)).count() == 0
+    rows = X.laplacian(m).collect()
+    s = w @ w.T - np.diag(np.diag(w @ w.T))
+    lap = np.diag(s.sum(1)) - s
+    for k in range(1, 7):
+        v = np.array([r["x"] for r in sorted(rows, key=lambda r: r["id"]) if r["place"] == k])
+        assert np.allclose(lap @ v, next(r["value"] for r in rows if r["place"] == k) * v)
+    blocks = [(f"{g}{i}", f"{g}{j}", 5.0 + (i * j) % 3) for g in "xyz" for i in range(5) for j in range(5)] + [("x1", "y2", 0.1)]
+    clusters = {r["id"]: r["cluster"] for r in X.spectral_clusters(spark.createDataFrame(blocks, m.schema), 2, 6, 1).collect()}
+    assert {tuple(sorted({c for i, c in clusters.items() if i[0] == g})) for g in "xyz"} == {(0,), (1,), (2,)}
+    r = X.separability(m, {"n0": 1, "n1": -1, "n2": 1}).first()
+    assert (r["rows"], r["rank"], r["accuracy"]) == (3, 3, 1.0)
+
+
+def test_planes_and_matched_nulls(spark):
+    rng = np.random.default_rng(3)
+    p = rng.standard_normal((300, 3)) @ rng.standard_normal((3, 3)) + [5, 1, 2]
+    df = spark.createDataFrame([tuple(map(float, r)) for r in p] + [(None, 1.0, 1.0)], "x double, y double, z double")
+    c = X.in_plane(df, ["x", "y", "z"])
+    got = np.array([tuple(r) for r in df.where("x IS NOT NULL").select(c["residual"], c["angle"]).collect()])
+    away = p - p.mean(0)
+    _, _, vt = np.linalg.svd(away)
+    assert np.allclose(got[:, 0], np.linalg.norm(away - away @ vt[:2].T @ vt[:2], axis=1) / np.linalg.norm(away, axis=1))
+    assert [r[0] for r in spark.createDataFrame([(1.0, 1.0)] * 3, "x double, y double").select(X.in_plane(spark.createDataFrame([(1.0, 1.0)] * 3, "x double, y double"), ["x", "y"], 1)["residual"]).collect()] == [0.0] * 3
+    null = X.matched_null(df, ["x", "y", "z"], 2, 5).toPandas()
+    for s in (0, 1):
+        mine = null[null["sample"] == s][["x", "y", "z"]].to_numpy()
+        assert mine.shape == p.shape and np.allclose(mine.mean(0), p.mean(0)) and np.allclose(np.cov(mine.T), np.cov(p.T))
+
+
 def test_plane(spark):
     rng = np.random.default_rng(3)
     p = rng.standard_normal((200, 3)) * [5, 2, 0.1]
