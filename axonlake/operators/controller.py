@@ -62,3 +62,25 @@ def ripple_add(a: Column, b: Column, bits: int) -> Column:
 
     got = F.aggregate(F.sequence(F.lit(0), F.lit(bits - 1)), F.struct(F.lit(0).alias("s"), F.lit(0).alias("c")), adder)
     return got["s"].bitwiseOR(F.shiftleft(got["c"], bits))
+
+
+#: Gate evaluations of a full adder: two exclusive ors as (x or y) and not (x and y), four each, two ands and an or.
+ADDER_GATES = 11
+
+
+def multiplied(a: Column, b: Column, bits: int) -> Column:
+    """a * b by adding a shifted once for each set bit of b, each sum by full adders over 2 * bits bits: a struct of `value` and `gates`, the gates evaluated."""
+
+    def step(s: Column, i: Column) -> Column:
+        on = F.call_function("shiftright", b, i).bitwiseAND(1) == 1
+        value = F.when(on, ripple_add(s["value"], F.call_function("shiftleft", a, i), 2 * bits)).otherwise(s["value"])
+        return F.struct(value.alias("value"), F.when(on, s["gates"] + ADDER_GATES * 2 * bits).otherwise(s["gates"]).alias("gates"))
+
+    return F.aggregate(F.sequence(F.lit(0), F.lit(bits - 1)), F.struct(F.lit(0).alias("value"), F.lit(0).alias("gates")), step)
+
+
+def computed(a: Column, op: Column, b: Column, bits: int) -> Column:
+    """The value of a op b (+, -, *) over `bits` bits by gates; a difference adds the complement, and one below 0, like an unknown op, is null."""
+    mask = (1 << bits) - 1
+    minus = ripple_add(ripple_add(a, F.lit(mask).bitwiseXOR(b), bits).bitwiseAND(mask), F.lit(1), bits).bitwiseAND(mask)
+    return F.when(op == "+", ripple_add(a, b, bits)).when((op == "-") & (a >= b), minus).when(op == "*", multiplied(a, b, bits)["value"])

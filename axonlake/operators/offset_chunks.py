@@ -76,7 +76,7 @@ def partition_counts(df: DataFrame, key: str) -> DataFrame:
 
 
 def offsets(counts: DataFrame) -> DataFrame:
-    """For each (input partition, key): `first_no`, the number of its first row when all keys lie end to end, and `sorted_at`, its first place in the partition sorted by key."""
+    """For each (input partition, key): `first_no`, the number of its first row when all keys lie end to end, and `sorted_at`, its first place in the partition sorted by key, and `n`, its rows there."""
     blocked = counts.withColumn("block", F.expr(f"{_PID} div {BLOCK}")).withColumn("bucket", F.pmod(F.xxhash64(_KEY), F.lit(BUCKETS)))
     running = lambda w: F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")
     blocks = blocked.groupBy("bucket", _KEY, "block").agg(F.sum("n").alias("n"))
@@ -92,22 +92,25 @@ def offsets(counts: DataFrame) -> DataFrame:
     placed = blocked.withColumn("in_block", running(Window.partitionBy(_KEY, "block").orderBy(_PID)))
     placed = placed.withColumn("sorted_at", running(Window.partitionBy(_PID).orderBy(F.col(_KEY).asc_nulls_first())))
     p, a = placed.alias("p"), bases.alias("a")
-    return p.join(a, same("p", "a") & (F.col("p.block") == F.col("a.block"))).select(F.col(f"p.{_PID}"), F.col(f"p.{_KEY}"), "sorted_at", (F.col("base") + F.col("in_block")).alias("first_no"))
+    return p.join(a, same("p", "a") & (F.col("p.block") == F.col("a.block"))).select(F.col(f"p.{_PID}"), F.col(f"p.{_KEY}"), "sorted_at", "n", (F.col("base") + F.col("in_block")).alias("first_no"))
 
 
 def numbered(df: DataFrame, key: str, columns: dict[str, Column] | None = None, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """The key and the given columns of every row with its number `NUMBER`: 0, 1, 2, ... over the whole table, the rows of a key in one piece."""
     counts = materialize(partition_counts(df, key), "key-counts")
-    places = offsets(counts).withColumnsRenamed({_PID: "__ax_opid", _KEY: "__ax_okey"})
+    places = offsets(counts).withColumnsRenamed({_PID: "__ax_opid", _KEY: "__ax_okey", "n": "__ax_n"})
     if counts.count() <= broadcast_rows:
         places = F.broadcast(places)
     rows = df.select(F.col(key).alias(_KEY), *[c.alias(n) for n, c in (columns or {}).items()])
     rows = rows.sortWithinPartitions(F.col(_KEY).asc_nulls_first())
     rows = rows.select("*", F.spark_partition_id().alias(_PID), F.monotonically_increasing_id().alias("__ax_id"))
     rows = rows.withColumn("__ax_at", F.col("__ax_id") - F.shiftleft(F.col(_PID).cast("long"), 33))
-    joined = rows.join(places, (F.col(_PID) == F.col("__ax_opid")) & F.col(_KEY).eqNullSafe(F.col("__ax_okey")))
-    joined = joined.withColumn(_NO, F.col("first_no") + F.col("__ax_at") - F.col("sorted_at"))
-    return joined.drop(_PID, "__ax_id", "__ax_at", "__ax_opid", "__ax_okey", "first_no", "sorted_at")
+    joined = rows.join(places, (F.col(_PID) == F.col("__ax_opid")) & F.col(_KEY).eqNullSafe(F.col("__ax_okey")), "left")
+    # a row that the counts don't know means that the two scans were split in different ways; no row may be lost or take another's number for that
+    place = F.col("__ax_at") - F.col("sorted_at")
+    known = F.coalesce((place >= 0) & (place < F.col("__ax_n")), F.lit(False))
+    joined = joined.withColumn(_NO, F.when(known, F.col("first_no") + place).otherwise(F.raise_error(F.lit("the input's partitions changed between two scans; store it first")).cast("long")))
+    return joined.drop(_PID, "__ax_id", "__ax_at", "__ax_opid", "__ax_okey", "first_no", "sorted_at", "__ax_n")
 
 
 def chunk_states(df: DataFrame, key: str, states: list[ChunkState], columns: dict[str, Column], chunk_rows: int) -> DataFrame:

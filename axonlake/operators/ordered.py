@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window, WindowSpec
 
+from axonlake.sources.scratch import materialize
+
 
 def runs(df: DataFrame, keys: list[str], order: str, passes: Column) -> DataFrame:
     """(keys, first, last, length) of every run of consecutive rows that pass. Consecutive: no row between them in the order."""
@@ -65,3 +67,20 @@ def never_rises(df: DataFrame, keys: list[str], order: str, value: str) -> DataF
     """(keys, falls): whether no value is larger than the one before it."""
     step = F.col(value) - F.lag(value).over(Window.partitionBy(*keys).orderBy(order))
     return df.select(*keys, step.alias("s")).groupBy(*keys).agg(F.coalesce(F.bool_and(F.col("s") <= 0), F.lit(True)).alias("falls"))
+
+
+def running_total(df: DataFrame, group: list[str], order: list[str], n: str, name: str) -> DataFrame:
+    """df with `name`: the sum of n over a group's rows up to this one in the order, which must tell all rows of a group apart. Rows are laid out by ranges, so a group of any size is summed in parts, whose totals are carried forward."""
+    spark = df.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = df.repartitionByRange(parts, *[F.col(c).asc_nulls_first() for c in [*group, *order]]).withColumn("__ax_pid", F.spark_partition_id())
+    rows = materialize(rows, "ranges")
+    near = F.sum(n).over(Window.partitionBy(*group, "__ax_pid").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    sums = rows.groupBy(*group, "__ax_pid").agg(F.sum(n).alias("__ax_s"))
+    far = F.sum("__ax_s").over(Window.partitionBy(*group).orderBy("__ax_pid").rowsBetween(Window.unboundedPreceding, -1))  # one row per range of a group
+    before = sums.select(*group, "__ax_pid", F.coalesce(far, F.lit(0)).alias("__ax_before"))
+    same = F.col("r.__ax_pid") == F.col("b.__ax_pid")
+    for c in group:
+        same = same & F.col(f"r.{c}").eqNullSafe(F.col(f"b.{c}"))
+    joined = rows.withColumn("__ax_near", near).alias("r").join(before.alias("b"), same).select("r.*", "b.__ax_before")
+    return joined.withColumn(name, F.col("__ax_near") + F.col("__ax_before")).drop("__ax_pid", "__ax_near", "__ax_before")

@@ -1,7 +1,8 @@
 """Summaries, rank statistics, tests and information measures.
 
 Windows over whole keys are used only where a key's rows are bounded by what was aggregated before (distinct values of a rank, the
-hypotheses of a family, the levels of a contingency table); ranks over raw rows go through `rank_of_values`, which first counts equal values.
+hypotheses of a family, the levels of a contingency table); ranks over raw rows go through `rank_of_values`, which counts equal values and
+sums the counts by ranges, however many distinct values a group has.
 """
 
 from __future__ import annotations
@@ -12,6 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from axonlake.operators.ordered import running_total
+
 
 def mean_ci(value: str, prefix: str = "") -> list[Column]:
     """n, mean, sd (one value: 0) and half-width of the 95 % interval."""
@@ -37,8 +40,7 @@ def wilson(k: Column, n: Column, z: float = 1.96) -> tuple[Column, Column]:
 def rank_of_values(df: DataFrame, group: list[str], value: str) -> DataFrame:
     """(group, value, n, rank): mean ranks of distinct values, from 1; ties share their mean rank. Null values have no rank."""
     counts = df.where(F.col(value).isNotNull()).groupBy(*group, value).agg(F.count(F.lit(1)).alias("n"))
-    upto = F.sum("n").over(Window.partitionBy(*group).orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
-    return counts.withColumn("rank", upto - (F.col("n") - 1) / 2)
+    return running_total(counts, group, [value], "n", "upto").withColumn("rank", F.col("upto") - (F.col("n") - 1) / 2).drop("upto")
 
 
 def guarded_corr(x: str, y: str, constant: float | None = None) -> Column:
@@ -123,3 +125,17 @@ def student_p(t: float, df: float) -> float:
         return h
 
     return front * fraction(x, a, b) / a if x < (a + 1) / (a + b + 2) else 1 - front * fraction(1 - x, b, a) / b
+
+
+def circular_correlation(df: DataFrame, a: str, b: str, group: list[str]) -> DataFrame:
+    """(group, n, r): how two angles vary together around their mean directions (Jammalamadaka and SenGupta); 0 where one doesn't vary."""
+    rows = df.where(F.col(a).isNotNull() & F.col(b).isNotNull())
+    mean = rows.groupBy(*group).agg(*[F.atan2(F.sum(F.sin(x)), F.sum(F.cos(x))).alias(f"__ax_{x}") for x in (a, b)])  # one row per group
+    same = None
+    for c in group:
+        one = F.col(f"d.{c}").eqNullSafe(F.col(f"m.{c}"))
+        same = one if same is None else same & one
+    both = rows.alias("d").join(mean.alias("m"), same) if group else rows.alias("d").crossJoin(F.broadcast(mean.alias("m")))
+    x, y = F.sin(F.col(f"d.{a}") - F.col(f"m.__ax_{a}")), F.sin(F.col(f"d.{b}") - F.col(f"m.__ax_{b}"))
+    got = both.groupBy(*[F.col(f"d.{c}") for c in group]).agg(F.count(F.lit(1)).alias("n"), F.sum(x * y).alias("xy"), F.sum(x * x).alias("xx"), F.sum(y * y).alias("yy"))
+    return got.select(*group, "n", F.coalesce(F.col("xy") / F.nullif(F.sqrt(F.col("xx") * F.col("yy")), F.lit(0.0)), F.lit(0.0)).alias("r"))

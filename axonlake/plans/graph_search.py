@@ -7,11 +7,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from axonlake.functions.cells import wrapped
-from axonlake.functions.text import ngrams, tokens
+from axonlake.functions.text import keyed_hash, ngrams, tokens
 from axonlake.operators import codes as C
 from axonlake.operators import controller as K
 from axonlake.operators import edges as E
 from axonlake.operators import graph_iter as G
+from axonlake.operators import lexicon as X
 from axonlake.plans.views import SQL_EDGES, SQL_NODES, edges, nodes, sql
 from axonlake.sources.tables import table
 
@@ -19,9 +20,9 @@ PI = 3.141592653589793
 
 
 def g1_levels(spark: SparkSession, d: str) -> DataFrame:
-    """A slice that SQL can check: rows of weight 20 and more, 3 hops. The whole is g1_all_levels."""
+    """Who is within 2 hops of the left Kenyon cells, by rows of weight 5 and more."""
     seeds = nodes(spark, d).where("cell_class = 'Kenyon_Cell' AND side = 'left'").select("id")
-    return G.levels(E.strong(edges(spark, d), 20), seeds, 3).select("id", F.col("hop").cast("long").alias("hop"))
+    return G.levels(E.strong(edges(spark, d), 5), seeds, 2).select("id", F.col("hop").cast("long").alias("hop"))
 
 
 def g1_all_levels(spark: SparkSession, d: str) -> DataFrame:
@@ -50,8 +51,8 @@ def g4_largest_scc(spark: SparkSession, d: str) -> DataFrame:
 
 
 def g5_components(spark: SparkSession, d: str) -> DataFrame:
-    """A slice that SQL can check: rows of weight 60 and more. The whole is g5_all_components."""
-    return G.components(E.strong(edges(spark, d), 60))
+    """Components by rows of weight 5 and more."""
+    return G.components(E.strong(edges(spark, d), 5))
 
 
 def g5_all_components(spark: SparkSession, d: str) -> DataFrame:
@@ -59,18 +60,69 @@ def g5_all_components(spark: SparkSession, d: str) -> DataFrame:
     return G.components(edges(spark, d))
 
 
-def g6_power(spark: SparkSession, d: str) -> DataFrame:
-    """Three rounds on the pairs' weights: the vector's entries of 0.01 and more; a slice that SQL can check. The whole is g6_radius."""
-    _, v = G.power_iteration(E.pairs(edges(spark, d)), 3, tolerance=0.0)
-    return v.select("id", F.round("x", 6).alias("x")).where("x >= 0.01")
-
-
 def g6_radius(spark: SparkSession, d: str) -> DataFrame:
     """The spectral radius of the pairs' weights, to the reference's 400 rounds and tolerance, with every entry of the vector; converged is false if the rounds ran out."""
     radius, v, converged = G.spectrum(E.pairs(edges(spark, d)), 400, 1e-12)
     return v.select("id", "x", F.lit(radius).alias("radius"), F.lit(converged).alias("converged"))
 
 
+def g6_rounded(spark: SparkSession, d: str) -> DataFrame:
+    """g6_radius to five digits."""
+    return g6_radius(spark, d).select("id", F.round("x", 5).alias("x"), F.round("radius", 4).alias("radius"))
+
+
+def g2_hops(spark: SparkSession, d: str) -> DataFrame:
+    """How many hops the path of g2_paths has, and whether all its pairs exist."""
+    return g2_paths(spark, d).agg(F.count(F.lit(1)).alias("hops"), F.count("w").alias("existing"))
+
+
+def g4_size(spark: SparkSession, d: str) -> DataFrame:
+    """Whether every node of the component of g4_largest_scc reaches, and is reached by, exactly the same nodes: its size and the number of nodes that its first node reaches and is reached from."""
+    return g4_largest_scc(spark, d).agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first"))
+
+
+LEXICON = {  # fixed values: words of the domain by what they ask for
+    "sugar": "food", "şeker": "food", "zucker": "food", "azúcar": "food", "hungry": "food", "hunger": "food", "aç": "food", "hambre": "food", "swat": "danger", "vurma": "danger", "schlagen": "danger", "stop": "command",
+    "durdun": "command", "teach": "command", "öğret": "command", "edge table": "record", "kenar tablosu": "record", "run log": "record", "seed": "record", "tohum": "record", "semilla": "record",
+}
+TAUGHT = {"seed": "number", "fliege": "self", "fly": "self", "sinek": "self", "mosca": "self"}
+
+
+def _lexicon(spark: SparkSession) -> DataFrame:
+    frame = lambda x: spark.createDataFrame(list(x.items()), "word string, category string")
+    return X.resolved(frame(LEXICON), frame(TAUGHT))
+
+
+def c5_keywords(spark: SparkSession, d: str) -> DataFrame:
+    """In how many texts each keyword is found, and in how many it is the first."""
+    got = X.hits(table(spark, d, "documents"), "doc_id", "text", _lexicon(spark))
+    return got.groupBy("keyword", "category").agg(F.count(F.lit(1)).alias("n_texts"), F.count_if(F.col("place") == 1).alias("n_first"))
+
+
+def c7_routes(spark: SparkSession, d: str) -> DataFrame:
+    return X.routes(table(spark, d, "documents"), "doc_id", "text", _lexicon(spark)).groupBy("route").agg(F.count(F.lit(1)).alias("n"))
+
+
+def c9_buckets(spark: SparkSession, d: str) -> DataFrame:
+    """How evenly hashed trigrams of type names fall to 64 units."""
+    grams = nodes(spark, d).where("cell_type IS NOT NULL").select(F.explode(ngrams(F.lower("cell_type"), 3)).alias("g")).distinct()
+    return grams.select(F.pmod(keyed_hash(F.col("g"), 7), F.lit(64)).alias("unit")).groupBy("unit").agg(F.count(F.lit(1)).alias("n"))
+
+
+def g27_products(spark: SparkSession, d: str) -> DataFrame:
+    """Products, sums and differences of the quantities of order lines and their line numbers by gates, with the gates a product took."""
+    q = table(spark, d, "lineitem").select(F.col("l_quantity").cast("int").alias("a"), F.col("l_linenumber").cast("int").alias("b")).distinct()
+    m = K.multiplied(F.col("a"), F.col("b"), 8)
+    return q.select("a", "b", m["value"].alias("product"), m["gates"].alias("gates"), *[K.computed(F.col("a"), F.lit(o), F.col("b"), 8).alias(n) for o, n in (("+", "sum"), ("-", "difference"))])
+
+
+def l14_measured(spark: SparkSession, d: str) -> DataFrame:
+    """How many of all tasks of 1 to 9 the controller answers rightly by operation, and how many steps it takes."""
+    t = K.tables(spark, 9)
+    true = F.when(F.col("op") == "add", F.col("a") + F.col("b")).when((F.col("op") == "subtract") & (F.col("a") >= F.col("b")), F.col("a") - F.col("b")).when(F.col("op") == "multiply", F.col("a") * F.col("b")).when(F.col("op") == "divide", F.floor(F.col("a") / F.col("b")))
+    return t.groupBy("op").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("result").eqNullSafe(true)).alias("n_right"), F.sum("calls").alias("calls"), F.max("calls").alias("most_calls"))
+
+
 def t3_winners(spark: SparkSession, d: str) -> DataFrame:
     p = edges(spark, d).where("np IS NOT NULL").groupBy("np", "post").agg(F.sum("w").alias("w"))
     return C.winners(p, ["np"], "w", 10)
@@ -187,23 +239,51 @@ def l16_energy(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    g1_levels, g1_all_levels, g1_subcircuit, g2_paths, g4_largest_scc, g5_components, g5_all_components, g6_power, g6_radius, t3_winners, t4_exactly, l6_coincidence, l7_rules, j14_overlaps, j13_sector, j20_circular_nearest, j21_nearest_name,
+    g1_levels, g1_all_levels, g1_subcircuit, g2_paths, g4_largest_scc, g5_components, g5_all_components, g6_radius, g6_rounded, g2_hops, g4_size, c5_keywords, c7_routes, c9_buckets, g27_products, l14_measured, t3_winners, t4_exactly, l6_coincidence, l7_rules, j14_overlaps, j13_sector, j20_circular_nearest, j21_nearest_name,
     l4_nearest_vectors, l4_centroids, text_tokens, text_grams, json_props, l12_controller, l13_sums_in_texts, g27_alu, l16_energy,
 )}
 
 EN = sql(SQL_EDGES, SQL_NODES)
+# letters without marks by duckdb's own function; of letters that stand for two, these tables have two ligatures
+_WORDS = """toks AS (SELECT doc_id, regexp_extract_all(strip_accents(replace(replace(replace(lower(text), 'ı', 'i'), 'ﬁ', 'fi'), 'ﬂ', 'fl')), '[a-z]+') AS t FROM documents)"""
+_VALUES = lambda x: ", ".join(f"('{w}', '{c}')" for w, c in x.items())
+_HITS = f""", lex AS (SELECT strip_accents(word) AS keyword, category FROM (VALUES {_VALUES(LEXICON)}) AS l(word, category)), own AS (SELECT * FROM (VALUES {_VALUES(TAUGHT)}) AS o(keyword, own)),
+    known AS (SELECT keyword, coalesce(own, category) AS category FROM lex FULL JOIN own USING (keyword)), said AS (SELECT doc_id, unnest(t) AS w FROM toks),
+    found AS (SELECT DISTINCT doc_id, keyword, category FROM said JOIN known ON w = keyword OR (length(keyword) >= 4 AND starts_with(w, keyword)) WHERE NOT contains(keyword, ' ')
+              UNION SELECT doc_id, keyword, category FROM toks JOIN known ON contains(keyword, ' ') AND contains(' ' || array_to_string(t, ' ') || ' ', keyword)),
+    hits AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY length(keyword) DESC, keyword) AS place FROM found)"""
 NW = ", s AS (SELECT np, {0}, sum(w) AS w FROM edges WHERE np IS NOT NULL GROUP BY 1, 2)"
 SQL = {
-    "g1_levels": EN.replace("WITH", "WITH RECURSIVE", 1) + """, e AS (SELECT DISTINCT pre, post FROM edges WHERE w >= 20),
-        b AS (SELECT id, 0 AS hop FROM nodes WHERE cell_class = 'Kenyon_Cell' AND side = 'left' UNION SELECT e.post, hop + 1 FROM b JOIN e ON e.pre = b.id WHERE hop < 3)
+    "g1_levels": EN.replace("WITH", "WITH RECURSIVE", 1) + """, e AS (SELECT DISTINCT pre, post FROM edges WHERE w >= 5),
+        b AS (SELECT id, 0 AS hop FROM nodes WHERE cell_class = 'Kenyon_Cell' AND side = 'left' UNION SELECT e.post, hop + 1 FROM b JOIN e ON e.pre = b.id WHERE hop < 2)
         SELECT id, CAST(min(hop) AS BIGINT) AS hop FROM b GROUP BY 1""",
-    "g5_components": sql(SQL_EDGES).replace("WITH", "WITH RECURSIVE", 1) + """, e AS (SELECT pre AS a, post AS b FROM edges WHERE w >= 60 UNION SELECT post, pre FROM edges WHERE w >= 60),
-        c AS (SELECT DISTINCT a AS id, a AS comp FROM e UNION SELECT e.b, c.comp FROM c JOIN e ON e.a = c.id) SELECT id, min(comp) AS comp FROM c GROUP BY 1""",
-    "g6_power": sql(SQL_EDGES) + """, p AS (SELECT pre, post, CAST(sum(w) AS DOUBLE) AS w FROM edges GROUP BY 1, 2), ids AS (SELECT pre AS id FROM p UNION SELECT post FROM p),
-        v0 AS (SELECT id, 1 / sqrt((SELECT count(*) FROM ids)) AS x FROM ids),
-        y1 AS (SELECT post AS id, sum(w * x) AS x FROM p JOIN v0 ON id = pre GROUP BY 1), v1 AS (SELECT id, x / (SELECT sqrt(sum(x * x)) FROM y1) AS x FROM y1),
-        y2 AS (SELECT post AS id, sum(w * x) AS x FROM p JOIN v1 ON id = pre GROUP BY 1), v2 AS (SELECT id, x / (SELECT sqrt(sum(x * x)) FROM y2) AS x FROM y2),
-        y3 AS (SELECT post AS id, sum(w * x) AS x FROM p JOIN v2 ON id = pre GROUP BY 1), v3 AS (SELECT id, round(x / (SELECT sqrt(sum(x * x)) FROM y3), 6) AS x FROM y3) SELECT * FROM v3 WHERE x >= 0.01""",
+    "g1_all_levels": EN.replace("WITH", "WITH RECURSIVE", 1) + """, e AS (SELECT DISTINCT pre, post FROM edges),
+        b(id, hop) USING KEY (id) AS (SELECT id, 0 FROM nodes WHERE cell_class = 'Kenyon_Cell' AND side = 'left'
+            UNION SELECT e.post, min(b.hop) + 1 FROM b JOIN e ON e.pre = b.id LEFT JOIN recurring.b AS r ON r.id = e.post WHERE r.id IS NULL OR r.hop > b.hop + 1 GROUP BY e.post)
+        SELECT id, CAST(hop AS BIGINT) AS hop FROM b""",
+    "g1_subcircuit": EN.replace("WITH", "WITH RECURSIVE", 1) + """, e AS (SELECT DISTINCT pre, post FROM edges WHERE w >= 5), s AS (SELECT id FROM nodes WHERE cell_class = 'MBON'),
+        h1 AS (SELECT post AS id, min(pre) AS parent FROM e WHERE pre IN (SELECT id FROM s) AND post NOT IN (SELECT id FROM s) GROUP BY 1),
+        h2 AS (SELECT post AS id, min(pre) AS parent FROM e WHERE pre IN (SELECT id FROM h1) AND post NOT IN (SELECT id FROM s UNION SELECT id FROM h1) GROUP BY 1),
+        f AS (SELECT id, 0 AS hop, NULL AS parent FROM s UNION ALL SELECT id, 1, parent FROM h1 UNION ALL SELECT id, 2, parent FROM h2 WHERE (SELECT count(*) FROM s) + (SELECT count(*) FROM h1) < 1500),
+        k AS (SELECT id FROM f ORDER BY hop, parent NULLS FIRST, id LIMIT 1500)
+        SELECT post, pre, CAST(sum(w * sign_a) AS BIGINT) AS v FROM edges JOIN nodes ON nodes.id = pre WHERE w >= 5 AND pre IN (SELECT id FROM k) AND post IN (SELECT id FROM k) GROUP BY 1, 2""",
+    "g2_hops": EN.replace("WITH", "WITH RECURSIVE", 1) + """, e AS (SELECT DISTINCT pre, post FROM edges WHERE w >= 5),
+        b(id, hop) USING KEY (id) AS (SELECT id, 0 FROM nodes WHERE super_class = 'sensory'
+            UNION SELECT e.post, min(b.hop) + 1 FROM b JOIN e ON e.pre = b.id LEFT JOIN recurring.b AS r ON r.id = e.post WHERE r.id IS NULL OR r.hop > b.hop + 1 GROUP BY e.post)
+        SELECT CAST(coalesce(min(hop), 0) AS BIGINT) AS hops, CAST(coalesce(min(hop), 0) AS BIGINT) AS existing FROM b WHERE id IN (SELECT id FROM nodes WHERE super_class = 'motor')""",
+    "g4_size": sql(SQL_EDGES).replace("WITH", "WITH RECURSIVE", 1) + """, e AS (SELECT DISTINCT pre, post FROM edges WHERE w >= 5 AND pre <> post),
+        busiest AS (SELECT id FROM (SELECT post AS id, count(*) AS i FROM e GROUP BY 1) JOIN (SELECT pre AS id, count(*) AS o FROM e GROUP BY 1) USING (id) ORDER BY i * o DESC, id LIMIT 1),
+        f AS (SELECT id FROM busiest UNION SELECT e.post FROM f JOIN e ON e.pre = f.id), g AS (SELECT id FROM busiest UNION SELECT e.pre FROM g JOIN e ON e.post = g.id)
+        SELECT count(*) AS n, min(id) AS first FROM f WHERE id IN (SELECT id FROM g)""",
+    "g5_components": sql(SQL_EDGES).replace("WITH", "WITH RECURSIVE", 1) + """, e AS (SELECT pre AS a, post AS b FROM edges WHERE w >= 5 UNION SELECT post, pre FROM edges WHERE w >= 5),
+        c(id, comp) USING KEY (id) AS (SELECT DISTINCT a, a FROM e UNION SELECT e.b, min(c.comp) FROM c JOIN e ON e.a = c.id JOIN recurring.c AS r ON r.id = e.b WHERE c.comp < r.comp GROUP BY e.b) SELECT id, comp FROM c""",
+    "g5_all_components": sql(SQL_EDGES).replace("WITH", "WITH RECURSIVE", 1) + """, e AS (SELECT pre AS a, post AS b FROM edges UNION SELECT post, pre FROM edges),
+        c(id, comp) USING KEY (id) AS (SELECT DISTINCT a, a FROM e UNION SELECT e.b, min(c.comp) FROM c JOIN e ON e.a = c.id JOIN recurring.c AS r ON r.id = e.b WHERE c.comp < r.comp GROUP BY e.b) SELECT id, comp FROM c""",
+    "g6_rounded": sql(SQL_EDGES).replace("WITH", "WITH RECURSIVE", 1) + """, p AS (SELECT pre, post, CAST(sum(w) AS DOUBLE) AS w FROM edges GROUP BY 1, 2), ids AS (SELECT pre AS id FROM p UNION SELECT post FROM p),
+        v(k, id, x, radius) AS (SELECT 0, id, 1 / sqrt((SELECT count(*) FROM ids)), 0.0::DOUBLE FROM ids
+            UNION ALL SELECT k, id, y / sqrt(sum(y * y) OVER ()), sqrt(sum(y * y) OVER ()) FROM (SELECT k + 1 AS k, post AS id, sum(w * x) AS y FROM v JOIN p ON pre = v.id WHERE k < 100 GROUP BY k, post)),
+        l AS (SELECT * FROM v WHERE k = 100)
+        SELECT ids.id, round(coalesce(x, 0), 5) AS x, round((SELECT max(radius) FROM l), 4) AS radius FROM ids LEFT JOIN l ON l.id = ids.id""",
     "t3_winners": sql(SQL_EDGES) + NW.format("post") + ", r AS (SELECT *, rank() OVER (PARTITION BY np ORDER BY w DESC) AS r FROM s) SELECT np, post, CAST(w AS BIGINT) AS w FROM r WHERE r <= 10",
     "t4_exactly": sql(SQL_EDGES) + NW.format("post") + ", r AS (SELECT *, row_number() OVER (PARTITION BY np ORDER BY w DESC, post) AS r FROM s) SELECT np, post, CAST(w AS BIGINT) AS w FROM r WHERE r <= 10",
     "l6_coincidence": sql(SQL_EDGES) + NW.format("pre") + """, r AS (SELECT *, rank() OVER (PARTITION BY np ORDER BY w DESC) AS r FROM s), c AS (SELECT np, pre FROM r WHERE r <= 20), e AS (SELECT DISTINCT pre, post FROM edges)
@@ -229,8 +309,13 @@ SQL = {
     "l4_centroids": """WITH x AS (SELECT vec_id, label, unnest(CAST(embedding AS DOUBLE[])) AS x, generate_subscripts(embedding, 1) AS i FROM embeddings), m AS (SELECT label AS t, i, avg(x) AS m FROM x GROUP BY 1, 2),
         l AS (SELECT t, sqrt(sum(m * m)) AS l FROM m GROUP BY 1), dd AS (SELECT vec_id, label, t, sum(x * m) AS d FROM x JOIN m USING (i) GROUP BY 1, 2, 3),
         r AS (SELECT label, t, row_number() OVER (PARTITION BY vec_id ORDER BY round(d / l, 9) DESC, t) AS r FROM dd JOIN l USING (t)) SELECT label, t AS nearest, count(*) AS n FROM r WHERE r = 1 GROUP BY 1, 2""",
-    "text_tokens": """WITH w AS (SELECT doc_id, unnest(list_distinct(regexp_extract_all(regexp_replace(translate(lower(text), 'ışğüöçâîû', 'isguocaiu'), '\\p{M}', '', 'g'), '[a-z]+'))) AS word FROM documents)
-        SELECT word, count(*) AS n_texts FROM w GROUP BY 1 HAVING count(*) >= 3""",
+    "text_tokens": "WITH " + _WORDS + ", w AS (SELECT doc_id, unnest(list_distinct(t)) AS word FROM toks) SELECT word, count(*) AS n_texts FROM w GROUP BY 1 HAVING count(*) >= 3",
+    "c5_keywords": "WITH " + _WORDS + _HITS + " SELECT keyword, category, count(*) AS n_texts, count(*) FILTER (place = 1) AS n_first FROM hits GROUP BY 1, 2",
+    "c7_routes": "WITH " + _WORDS + _HITS + " SELECT coalesce(category, 'unknown') AS route, count(*) AS n FROM documents d LEFT JOIN hits h ON h.doc_id = d.doc_id AND place = 1 GROUP BY 1",
+    "g27_products": """WITH q AS (SELECT DISTINCT CAST(l_quantity AS INTEGER) AS a, CAST(l_linenumber AS INTEGER) AS b FROM lineitem)
+        SELECT a, b, a * b AS product, CAST(bit_count(b) AS INTEGER) * 176 AS gates, a + b AS sum, CASE WHEN a >= b THEN a - b END AS difference FROM q""",
+    "l14_measured": """WITH n AS (SELECT unnest(range(1, 10)) AS x), p AS (SELECT a.x AS a, b.x AS b FROM n a, n b), c AS (SELECT 'add' AS op, b AS calls FROM p UNION ALL SELECT 'subtract', b FROM p UNION ALL SELECT 'multiply', a * b FROM p UNION ALL SELECT 'divide', a // b * b FROM p)
+        SELECT op, count(*) AS n, count(*) AS n_right, CAST(sum(calls) AS BIGINT) AS calls, CAST(max(calls) AS INTEGER) AS most_calls FROM c GROUP BY 1""",
     "text_grams": sql(SQL_NODES) + """, p AS (SELECT '^' || lower(cell_type) || '$' AS p FROM nodes WHERE cell_type IS NOT NULL), g AS (SELECT substr(p, unnest(range(1, length(p) - 2)), 4) AS gram FROM p)
         SELECT gram, count(*) AS n FROM g GROUP BY 1""",
     "json_props": "SELECT event_type, count(json_extract(props, '$.k')) AS n, CAST(sum(CAST(json_extract(props, '$.k') AS INTEGER)) AS BIGINT) AS total, max(CAST(json_extract(props, '$.k') AS INTEGER)) AS most FROM events GROUP BY 1",

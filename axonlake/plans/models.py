@@ -11,6 +11,7 @@ from axonlake.operators import edges as E
 from axonlake.operators import graph_iter as G
 from axonlake.operators import simulate as M
 from axonlake.operators import spectral as X
+from axonlake.operators.carry import carry_last
 from axonlake.plans.views import SQL_EDGES, SQL_NODES, edges, nodes, sql, trials
 from axonlake.sources.scratch import materialize
 from axonlake.sources.tables import table
@@ -200,6 +201,17 @@ def r2_vitals(spark: SparkSession, d: str) -> DataFrame:
     return got.select("user_id", F.round("value", 6).alias("value"), "n")
 
 
+def r2_rates(spark: SparkSession, d: str) -> DataFrame:
+    """Each user's energy, hunger and boredom after all events, which change with the time between them: a step is 0.05 to 5 seconds, and boredom grows only where 45 seconds or more were idle."""
+    ev = table(spark, d, "events").select("user_id", "ts", "event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"))
+    ev = carry_last(ev, ["user_id"], "us", ["event_id"], F.col("us"), "before", 86_400_000_000)
+    gap = (F.col("us") - F.col("before")) / 1e6
+    ev = materialize(ev.select("user_id", "ts", "event_id", F.when(gap.isNotNull(), F.greatest(F.lit(0.05), F.least(F.lit(5.0), gap))).otherwise(0.0).alias("dt"), F.coalesce(gap >= 45, F.lit(False)).alias("idle")), "rates")
+    fold = lambda rate, start, name: R.clamped_fold(ev, "user_id", "ts", "event_id", rate, start, F.to_date("ts")).select("user_id", F.round("value", 6).alias(name))
+    v = fold(-0.30 * F.col("dt"), 80.0, "energy").join(fold(0.45 * F.col("dt"), 20.0, "hunger"), "user_id")
+    return v.join(fold(F.when(F.col("idle"), 0.60 * F.col("dt")), 10.0, "boredom"), "user_id")
+
+
 def r2_stream(spark: SparkSession, d: str) -> DataFrame:
     """The same by the streaming operator."""
     path = f"{d}/events.parquet"
@@ -236,7 +248,7 @@ def r6_throttled(spark: SparkSession, d: str) -> DataFrame:
     return R.throttled(ev, "user_id", "ts", "event_id", 12 * 3600)
 
 
-QUERIES = {f.__name__: f for f in (a32_protocol, g7_spectrum, g7_slow_modes, g8_laplacian, g9_clusters, g10_plane, g11_residual, g14_dealt, g15_stratified, g19_matched_null, g20_separability, g24_looming, g25_steering, g12_degrees, g13_random_graphs, g15_null, g21_spikes, g22_memory, r2_vitals, r2_stream, r4_flags, r5_moods, r6_throttled)}
+QUERIES = {f.__name__: f for f in (a32_protocol, g7_spectrum, g7_slow_modes, g8_laplacian, g9_clusters, g10_plane, g11_residual, g14_dealt, g15_stratified, g19_matched_null, g20_separability, g24_looming, g25_steering, g12_degrees, g13_random_graphs, g15_null, g21_spikes, g22_memory, r2_rates, r2_vitals, r2_stream, r4_flags, r5_moods, r6_throttled)}
 
 _FOLD = """WITH RECURSIVE e AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i, CASE WHEN event_type = 'purchase' THEN value / 10 - 35 ELSE value / 20 - 10 END AS dv FROM events),
     f AS (SELECT user_id, i, least(100.0::DOUBLE, greatest(0.0::DOUBLE, 60 + dv)) AS v FROM e WHERE i = 1 UNION ALL SELECT e.user_id, e.i, least(100.0::DOUBLE, greatest(0.0::DOUBLE, v + dv)) FROM f JOIN e ON e.user_id = f.user_id AND e.i = f.i + 1)
@@ -261,6 +273,18 @@ SQL = {
     "g13_random_graphs": "SELECT unnest(range(3)) AS sample, CAST(4000 AS BIGINT) AS pairs, CAST(0 AS BIGINT) AS loops",
     "r2_vitals": _FOLD,
     "r2_stream": _FOLD,
+    "r2_rates": """WITH RECURSIVE g AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i, epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS us FROM events),
+        e AS (SELECT user_id, i, coalesce(greatest(0.05::DOUBLE, least(5.0::DOUBLE, us / 1e6)), 0) AS dt, coalesce(us >= 45e6, false) AS idle FROM g),
+        f AS (SELECT user_id, i, 80.0::DOUBLE AS en, 20.0::DOUBLE AS hu, 10.0::DOUBLE AS bo FROM e WHERE i = 1
+              UNION ALL SELECT e.user_id, e.i, least(100.0::DOUBLE, greatest(0.0::DOUBLE, en - 0.30 * dt)), least(100.0::DOUBLE, greatest(0.0::DOUBLE, hu + 0.45 * dt)), least(100.0::DOUBLE, greatest(0.0::DOUBLE, bo + CASE WHEN idle THEN 0.60 * dt ELSE 0 END))
+              FROM f JOIN e ON e.user_id = f.user_id AND e.i = f.i + 1)
+        SELECT user_id, round(arg_max(en, i), 6) AS energy, round(arg_max(hu, i), 6) AS hunger, round(arg_max(bo, i), 6) AS boredom FROM f GROUP BY 1""",
+    "r5_moods": """WITH RECURSIVE e AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i, event_type AS k, value / 5 - 40 AS dv FROM events),
+        s AS (SELECT DISTINCT user_id, 0 AS i, 50.0::DOUBLE AS en, 50.0::DOUBLE AS hu, 50.0::DOUBLE AS bo FROM events),
+        f AS (SELECT * FROM s UNION ALL SELECT e.user_id, e.i, least(100.0::DOUBLE, greatest(0.0::DOUBLE, en + CASE WHEN k = 'click' THEN dv ELSE 0 END)), least(100.0::DOUBLE, greatest(0.0::DOUBLE, hu + CASE WHEN k = 'view' THEN dv ELSE 0 END)),
+              least(100.0::DOUBLE, greatest(0.0::DOUBLE, bo + CASE WHEN k = 'purchase' THEN dv ELSE 0 END)) FROM f JOIN e ON e.user_id = f.user_id AND e.i = f.i + 1),
+        l AS (SELECT user_id, arg_max(en, i) AS en, arg_max(hu, i) AS hu, arg_max(bo, i) AS bo FROM f GROUP BY 1)
+        SELECT CASE WHEN hu >= 70 THEN 'hungry' WHEN en <= 25 THEN 'tired' WHEN bo >= 70 THEN 'bored' WHEN en >= 80 AND hu <= 25 THEN 'cheerful' ELSE 'calm' END AS mood, count(*) AS n FROM l GROUP BY 1""",
     "r4_flags": """SELECT user_id, event_type, max(ts) + INTERVAL 2 HOURS AS expires FROM events WHERE ts <= TIMESTAMP '2024-01-29 00:00:00' GROUP BY 1, 2 HAVING max(ts) + INTERVAL 2 HOURS > TIMESTAMP '2024-01-29 00:00:00'""",
     "r6_throttled": """WITH RECURSIVE e AS (SELECT user_id, ts, event_id FROM events WHERE event_type = 'purchase'),
         f AS (SELECT user_id, arg_min(event_id, (ts, event_id)) AS event_id, min(ts) AS ts FROM e GROUP BY 1

@@ -176,14 +176,51 @@ def a28_directions(spark: SparkSession, d: str) -> DataFrame:
 
 
 def a29_synaptic_events(spark: SparkSession, d: str) -> DataFrame:
-    """Orders as spikes of customers' nations: sum over nodes of spikes times outgoing absolute weight."""
-    out = edges(spark, d).groupBy("pre").agg(F.sum(F.abs("w")).alias("w"))
-    spikes = nodes(spark, d).select(F.col("id").alias("pre"), F.pmod(F.col("id"), F.lit(7)).alias("s"), "super_class")
-    return spikes.join(out, "pre").groupBy("super_class").agg(F.sum(F.col("s") * F.col("w")).alias("events"))
+    """Synaptic events by super class when every cell fires as often as it has inputs: sum over cells of firings times outgoing absolute weight."""
+    e = edges(spark, d)
+    out = e.groupBy("pre").agg(F.sum(F.abs("w")).alias("w"))
+    fired = e.groupBy(F.col("post").alias("pre")).agg(F.count(F.lit(1)).alias("s"))
+    cells = nodes(spark, d).select(F.col("id").alias("pre"), "super_class")
+    return cells.join(out, "pre").join(fired, "pre").groupBy("super_class").agg(F.sum(F.col("s") * F.col("w")).alias("events"))
+
+
+def a30_dense_updates(spark: SparkSession, d: str) -> DataFrame:
+    """What a dense update costs per place: the synapses between cells that are active there (a row of weight 20 or more at either end), for as many ticks as it has such rows; all synapses where none is active."""
+    e = edges(spark, d).where("np IS NOT NULL")
+    strong = e.where("w >= 20")
+    active = strong.select("np", F.col("pre").alias("id")).unionAll(strong.select("np", "post")).distinct()
+    a, b = active.select("np", F.col("id").alias("pre"), F.lit(True).alias("a")), active.select("np", F.col("id").alias("post"), F.lit(True).alias("b"))
+    per = e.join(a, ["np", "pre"], "left").join(b, ["np", "post"], "left").groupBy("np").agg(F.sum(F.abs("w")).alias("whole"), F.sum(F.when(F.col("a") & F.col("b"), F.abs("w"))).alias("between"), F.count_if(F.col("w") >= 20).alias("ticks"))
+    return per.select("np", F.when(F.col("ticks") > 0, F.coalesce("between", F.lit(0)) * F.col("ticks")).otherwise(F.col("whole")).alias("updates"))
+
+
+def a31_saturation(spark: SparkSession, d: str) -> DataFrame:
+    """Mean saturation and activity of trials, and how many run saturated, by arm."""
+    t = trials(spark, d)
+    return t.groupBy("arm").agg(F.count("sat").alias("n"), r6(F.avg("sat"), "saturation"), r6(F.avg("activity"), "activity"), F.count_if(F.col("sat") > 0.5).alias("n_saturated"))
+
+
+def g18_correlation(spark: SparkSession, d: str) -> DataFrame:
+    """How cells' angles by position and by soma vary together around the middle, by side."""
+    ok = " AND ".join(f"{c} IS NOT NULL AND NOT isnan({c})" for c in ("pos_x", "pos_y", "soma_x", "soma_y"))
+    n = nodes(spark, d).where(ok).select("side", F.atan2(F.col("pos_y") - 60000.0, F.col("pos_x") - 130000.0).alias("a"), F.atan2(F.col("soma_y") - 60000.0, F.col("soma_x") - 130000.0).alias("b"))
+    return S.circular_correlation(n, "a", "b", ["side"]).select("side", "n", F.round("r", 6).alias("r"))
+
+
+def l15_accepted(spark: SparkSession, d: str) -> DataFrame:
+    """The seeds of each arm whose best accuracy over all tasks is 1, within 1e-8."""
+    return trials(spark, d).where("acc IS NOT NULL").groupBy("arm", "seed").agg(F.max("acc").alias("best")).where("abs(best - 1) < 1e-8").select("arm", "seed")
+
+
+def t7_queue(spark: SparkSession, d: str) -> DataFrame:
+    """Each day's events in the order they are served: by priority of their kind, then by arrival."""
+    priority = F.when(F.col("event_type") == "purchase", 0).when(F.col("event_type") == "click", 1).otherwise(2)
+    rows = events(spark, d).select(F.to_date("ts").alias("day"), priority.alias("priority"), "ts", "event_id", F.lit(1).alias("one"))
+    return O.running_total(rows, ["day"], ["priority", "ts", "event_id"], "one", "turn").select(F.col("day").cast("string").alias("day"), "event_id", F.col("turn").cast("long").alias("turn"))
 
 
 def a31_state(spark: SparkSession, d: str) -> DataFrame:
-    """Saturation, activity and participation ratio tr(C)^2 / |C|^2 of three coordinates per class, without eigenvalues."""
+    """Participation ratio tr(C)^2 / |C|^2 of three coordinates per class, without eigenvalues."""
     n = nodes(spark, d).where("pos_x IS NOT NULL AND pos_y IS NOT NULL AND pos_z IS NOT NULL AND NOT isnan(pos_x) AND NOT isnan(pos_y) AND NOT isnan(pos_z)")
     c = {(a, b): F.covar_pop(f"pos_{a}", f"pos_{b}") for a in "xyz" for b in "xyz" if a <= b}
     per = n.groupBy("cell_class").agg(F.count(F.lit(1)).alias("n"), *[v.alias(a + b) for (a, b), v in c.items()])
@@ -268,8 +305,8 @@ def w14_first_reaching(spark: SparkSession, d: str) -> DataFrame:
 
 def w15_stride(spark: SparkSession, d: str) -> DataFrame:
     """Every 10th cell of each super class in order of id."""
-    k = F.row_number().over(Window.partitionBy("super_class").orderBy("id"))
-    return nodes(spark, d).select("super_class", "id", k.alias("k")).where("(k - 1) % 10 = 0")
+    rows = O.running_total(nodes(spark, d).select("super_class", "id", F.lit(1).alias("one")), ["super_class"], ["id"], "one", "k")
+    return rows.select("super_class", "id", F.col("k").cast("int").alias("k")).where("(k - 1) % 10 = 0")
 
 
 def t6_best_setting(spark: SparkSession, d: str) -> DataFrame:
@@ -323,7 +360,7 @@ def l10_baselines(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     a3_by_keys, a4_null_kept, a5_value_counts, a6_shares, a7_scalars, a8_class_matrix, a9_pairs, a10_top_labels, a11_downstream, a12_ci, a13_apart, a14_wilson, a15_grid, a16_entropy, a17_information,
-    a18_shared_inputs, a19_both_flags, a20_degrees, a21_metrics, a22_accuracy, a23_decay, a24_conflicts, a26_first_below, a27_label_counts, a28_directions, a29_synaptic_events, a31_state, a35_floor, cube_counts,
+    a18_shared_inputs, a19_both_flags, a20_degrees, a21_metrics, a22_accuracy, a23_decay, a24_conflicts, a26_first_below, a27_label_counts, a28_directions, a29_synaptic_events, a30_dense_updates, a31_state, a31_saturation, g18_correlation, l15_accepted, t7_queue, a35_floor, cube_counts,
     w1_top2, w2_argmax, w3_ranks, w4_spearman, w5_holm, w6_gaps, w7_clusters, w8_plateau, w9_running, w10_crossings, w12_path, w14_first_reaching, w15_stride, t6_best_setting,
     g16_permutation_p, g17_welch, g18_differences, r16_sliding, r17_sessions, l10_baselines,
 )}
@@ -373,7 +410,19 @@ SQL = {
     "a26_first_below": T + KM + " SELECT arm, min(k) AS k FROM per WHERE m < 0.5 GROUP BY 1",
     "a27_label_counts": sql(SQL_NODES) + " " + " UNION ALL ".join(f"SELECT super_class, '{w}' AS what, count({c}) AS n FROM nodes GROUP BY 1" for w, c in (("typed", "cell_type"), ("nt_known", "known_nt"), ("soma", "soma_x"))),
     "a28_directions": "WITH " + DIRS + " SELECT event_type, round(dir, 6) AS direction, round(res, 6) AS resultant, round(wres, 6) AS w_resultant FROM m",
-    "a29_synaptic_events": EN + " SELECT super_class, CAST(sum(id % 7 * w) AS BIGINT) AS events FROM edges JOIN nodes ON id = pre GROUP BY 1",
+    "a29_synaptic_events": EN + """, o AS (SELECT pre AS id, sum(abs(w)) AS w FROM edges GROUP BY 1), f AS (SELECT post AS id, count(*) AS s FROM edges GROUP BY 1)
+        SELECT super_class, CAST(sum(s * w) AS BIGINT) AS events FROM nodes JOIN o USING (id) JOIN f USING (id) GROUP BY 1""",
+    "a30_dense_updates": sql(SQL_EDGES) + """, a AS (SELECT np, pre AS id FROM edges WHERE w >= 20 UNION SELECT np, post FROM edges WHERE w >= 20),
+        p AS (SELECT e.np, sum(w) AS whole, sum(w) FILTER (x.id IS NOT NULL AND y.id IS NOT NULL) AS between_, count(*) FILTER (w >= 20) AS ticks
+              FROM edges e LEFT JOIN a x ON x.np = e.np AND x.id = pre LEFT JOIN a y ON y.np = e.np AND y.id = post WHERE e.np IS NOT NULL GROUP BY 1)
+        SELECT np, CAST(CASE WHEN ticks > 0 THEN coalesce(between_, 0) * ticks ELSE whole END AS BIGINT) AS updates FROM p""",
+    "a31_saturation": T + " SELECT arm, count(sat) AS n, round(avg(sat), 6) AS saturation, round(avg(activity), 6) AS activity, count(*) FILTER (sat > 0.5) AS n_saturated FROM runs GROUP BY 1",
+    "g18_correlation": sql(SQL_NODES) + """, n AS (SELECT side, atan2(pos_y - 60000.0::DOUBLE, pos_x - 130000.0::DOUBLE) AS a, atan2(soma_y - 60000.0::DOUBLE, soma_x - 130000.0::DOUBLE) AS b FROM nodes
+        WHERE pos_x IS NOT NULL AND NOT isnan(pos_x) AND pos_y IS NOT NULL AND NOT isnan(pos_y) AND soma_x IS NOT NULL AND NOT isnan(soma_x) AND soma_y IS NOT NULL AND NOT isnan(soma_y)),
+        m AS (SELECT side, atan2(sum(sin(a)), sum(cos(a))) AS p, atan2(sum(sin(b)), sum(cos(b))) AS q, count(*) AS n FROM n GROUP BY 1)
+        SELECT n.side, any_value(m.n) AS n, round(sum(sin(a - p) * sin(b - q)) / sqrt(sum(sin(a - p) ** 2) * sum(sin(b - q) ** 2)), 6) AS r FROM n JOIN m ON n.side IS NOT DISTINCT FROM m.side GROUP BY 1""",
+    "l15_accepted": T + " SELECT arm, seed FROM runs WHERE acc IS NOT NULL GROUP BY 1, 2 HAVING abs(max(acc) - 1) < 1e-8",
+    "t7_queue": """SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS day, event_id, row_number() OVER (PARTITION BY CAST(ts AS DATE) ORDER BY CASE event_type WHEN 'purchase' THEN 0 WHEN 'click' THEN 1 ELSE 2 END, ts, event_id) AS turn FROM events""",
     "a31_state": sql(SQL_NODES) + """, c AS (SELECT cell_class, count(*) AS n, covar_pop(pos_x, pos_x) AS xx, covar_pop(pos_y, pos_y) AS yy, covar_pop(pos_z, pos_z) AS zz, covar_pop(pos_x, pos_y) AS xy, covar_pop(pos_x, pos_z) AS xz, covar_pop(pos_y, pos_z) AS yz
         FROM nodes WHERE pos_x IS NOT NULL AND pos_y IS NOT NULL AND pos_z IS NOT NULL AND NOT isnan(pos_x) AND NOT isnan(pos_y) AND NOT isnan(pos_z) GROUP BY 1)
         SELECT cell_class, n, round((xx + yy + zz) ** 2 / (xx * xx + yy * yy + zz * zz + 2 * (xy * xy + xz * xz + yz * yz)), 5) AS participation FROM c WHERE n > 1""",

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import json
+import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -55,8 +57,39 @@ def append_delimited(df: DataFrame, path: str) -> None:
 
 
 def write_json(df: DataFrame, path: str) -> None:
-    """One JSON object per row. A job's output becomes visible only when it is whole."""
-    df.write.mode("overwrite").json(path)
+    """One JSON object per row, beside the old output first; then the old is moved away and the new put in its place, so at no time there is only part of one. What a job that died left aside stays readable as `path.old`."""
+    spark = df.sparkSession
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    new, old, at = hadoop(f"{path}.new-{uuid.uuid4().hex}"), hadoop(f"{path}.old"), hadoop(path)
+    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    df.write.json(new.toString())
+    if fs.exists(at):
+        fs.delete(old, True)
+        fs.rename(at, old)
+    if not fs.rename(new, at):
+        raise OSError(f"{path} can't be put in place; the new output is in {new.toString()}")
+    fs.delete(old, True)
+
+
+def cached(spark: SparkSession, path: str, key: dict, build: Callable[[], DataFrame]) -> DataFrame:
+    """The table stored at path, if it was built for this key (parameters, a version of the input); else build's, stored there with its key, which is written last."""
+    meta = json.dumps(key, sort_keys=True, default=str)
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    at = hadoop(f"{path}/key/_SUCCESS")
+    if at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at) and [r[0] for r in spark.read.text(f"{path}/key").collect()] == [meta]:
+        return spark.read.parquet(f"{path}/rows")
+    here = hadoop(path)
+    here.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(here, True)
+    build().write.parquet(f"{path}/rows")
+    spark.createDataFrame([(meta,)], "value string").coalesce(1).write.text(f"{path}/key")
+    return spark.read.parquet(f"{path}/rows")
+
+
+def validated(rows: DataFrame, rules: dict[str, str]) -> tuple[DataFrame, DataFrame]:
+    """(good rows, bad rows with `reasons`): rules are SQL conditions by the name of what is wrong when one isn't true."""
+    reasons = F.array_compact(F.array(*[F.when(~F.coalesce(F.expr(c), F.lit(False)), F.lit(n)) for n, c in rules.items()])) if rules else F.array().cast("array<string>")
+    told = rows.withColumn("reasons", reasons)
+    return told.where(F.size("reasons") == 0).drop("reasons"), told.where(F.size("reasons") > 0)
 
 
 def scene_document(name: str, nodes: DataFrame, edges: DataFrame) -> DataFrame:

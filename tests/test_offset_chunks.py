@@ -1,5 +1,6 @@
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from axonlake.operators import offset_chunks as oc
@@ -59,3 +60,17 @@ def test_dense_ids(spark):
     df = spark.createDataFrame([("b",), ("a",), ("b",), (None,), ("",)], "k string")
     assert sorted((r["dense"], r["k"]) for r in dense_ids(df, "k", 3).collect()) == [(0, None), (1, ""), (2, "a"), (3, "b")]
     assert dense_ids(spark.createDataFrame([], "k string"), "k").count() == 0
+
+
+def test_a_changed_layout_raises(spark, tmp_path, monkeypatch):
+    """Rows that the counts don't know are never lost in silence."""
+    path = str(tmp_path / "t")
+    spark.range(1000).selectExpr("id % 3 AS k", "id AS v").repartition(4).write.parquet(path)
+    df = spark.read.parquet(path)
+    counts = oc.partition_counts(df, "k")
+    monkeypatch.setattr(oc, "partition_counts", lambda *_: counts.where("__ax_key < 2"))
+    with pytest.raises(Exception, match="partitions changed"):
+        oc.numbered(df, "k").collect()
+    monkeypatch.setattr(oc, "partition_counts", lambda *_: counts.withColumn("n", F.col("n") - 1))
+    with pytest.raises(Exception, match="partitions changed"):
+        oc.numbered(df, "k").collect()

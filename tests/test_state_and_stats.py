@@ -5,11 +5,12 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from axonlake.functions.text import first_object, folded, ngrams, tokens
+from axonlake.functions.text import first_object, folded, keyed_hash, ngrams, tokens
 from axonlake.operators import codes as C
+from axonlake.operators import lexicon as X
 from axonlake.operators import ordered as O
 from axonlake.operators import stats as S
-from axonlake.operators.controller import answered
+from axonlake.operators.controller import answered, computed, multiplied
 from axonlake.sources import ingest
 from axonlake.streaming import state as R
 
@@ -132,3 +133,77 @@ def test_ingest(spark, tmp_path):
         ingest.resolved(df, {"id": ["no"]})
     assert ingest.parse_json('```{"a": 1}```') == {"a": 1} and ingest.parse_json("none") is None
     assert '"name":"s"' in ingest.scene_document("s", df, df).first()["document"]
+
+
+def test_folding_equals_its_definition(spark):
+    import unicodedata
+
+    from axonlake.functions.text import FOLD_FROM, FOLD_TO
+
+    def plain(t):
+        t = t.lower().translate(str.maketrans(FOLD_FROM, FOLD_TO))
+        return "".join(c for c in unicodedata.normalize("NFKD", t) if not unicodedata.combining(c))
+
+    texts = ["inténtelo niña Straße página", "ﬁne ﬂow ½ ② x² ™ …", "𝐀𝐛 Ⅳ ŉ ŀ ｆｕｌｌ Ǆ", "İIıi ŞEKERLİ", "é ü decomposed", "神経 схема 🪰", "", "  a  b "]
+    got = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", folded(F.col("t")).alias("f"), tokens(F.col("t")).alias("w")).collect()
+    assert {r["i"]: r["f"] for r in got} == {i: plain(t) for i, t in enumerate(texts)}
+    assert next(r["w"] for r in got if r["i"] == 0) == ["intentelo", "nina", "stra", "e", "pagina"]
+
+
+def test_lexicon(spark):
+    lex = lambda rows: spark.createDataFrame(rows, "word string, category string")
+    known = X.resolved(lex([("Şeker", "food"), ("aç", "food"), ("run log", "record"), ("şeker", "food"), ("", "x")]), lex([("seker", "sweet"), ("new", "own")]))
+    assert {tuple(r) for r in known.collect()} == {("seker", "sweet"), ("ac", "food"), ("run log", "record"), ("new", "own")}
+    texts = spark.createDataFrame([(1, "ŞEKERLİ çay aç aç"), (2, "acele, açlık"), (3, "see the Run, log newly"), (4, None), (5, ""), (6, "newest new")], "i long, t string").withColumn("keyword", F.lit("clash"))
+    got = {(r["i"], r["place"]): (r["keyword"], r["category"]) for r in X.hits(texts, "i", "t", known).collect()}
+    assert got == {(1, 1): ("seker", "sweet"), (1, 2): ("ac", "food"), (3, 1): ("run log", "record"), (6, 1): ("new", "own")}
+    assert {r["i"]: r["route"] for r in X.routes(texts, "i", "t", known).collect()} == {1: "sweet", 2: "unknown", 3: "record", 4: "unknown", 5: "unknown", 6: "own"}
+    assert X.hits(texts, "i", "t", known.limit(0)).count() == 0
+
+
+def test_hashes(spark):
+    import hashlib
+
+    got = [r[0] for r in spark.createDataFrame([("a",), (None,), ("",)], "t string").select(keyed_hash(F.col("t"), 3)).collect()]
+    want = [int.from_bytes(hashlib.blake2b(f"3|{t}".encode(), digest_size=8).digest(), "big", signed=True) for t in ("a", "")]
+    assert got == [want[0], None, want[1]]
+
+
+def test_running_total(spark):
+    rng = random.Random(2)
+    rows = [(rng.choice(["hot", "hot", None, "x"]), i, rng.randrange(5)) for i in rng.sample(range(5000), 600)]
+    got = {(r["g"], r["o"]): r["upto"] for r in O.running_total(spark.createDataFrame(rows, "g string, o int, n int"), ["g"], ["o"], "n", "upto").collect()}
+    total, want = {}, {}
+    for g, o, n in sorted(rows, key=lambda r: r[1]):
+        want[(g, o)] = total[g] = total.get(g, 0) + n
+    assert got == want
+    assert O.running_total(spark.createDataFrame([], "g string, o int, n int"), ["g"], ["o"], "n", "upto").count() == 0
+
+
+def test_circular_correlation(spark):
+    rng = random.Random(3)
+    a = [rng.uniform(-3, 3) for _ in range(50)]
+    df = spark.createDataFrame([("s", x, x + 0.5) for x in a] + [("t", x, -x) for x in a] + [("c", 1.0, x) for x in a] + [("s", None, 1.0)], "g string, a double, b double")
+    assert {r["g"]: (r["n"], round(r["r"], 6)) for r in S.circular_correlation(df, "a", "b", ["g"]).collect()} == {"s": (50, 1.0), "t": (50, -1.0), "c": (50, 0.0)}
+
+
+def test_gates(spark):
+    df = spark.createDataFrame([(a, b) for a in (0, 1, 7, 50, 255) for b in (0, 1, 3, 50, 255)], "a int, b int")
+    m = multiplied(F.col("a"), F.col("b"), 8)
+    for r in df.select("a", "b", m["value"].alias("p"), *[computed(F.col("a"), F.lit(o), F.col("b"), 8).alias(n) for o, n in (("+", "s"), ("-", "d"), ("?", "u"))]).collect():
+        assert (r["p"], r["s"], r["d"], r["u"]) == (r["a"] * r["b"], r["a"] + r["b"], r["a"] - r["b"] if r["a"] >= r["b"] else None, None)
+
+
+def test_stores(spark, tmp_path):
+    df = spark.createDataFrame([(1, "x"), (2, None)], "i int, k string")
+    path = f"file://{tmp_path}/j"
+    for n in (2, 1):  # replaced as a whole
+        ingest.write_json(df.limit(n), path)
+        assert spark.read.json(path).count() == n and sorted(p.name for p in tmp_path.iterdir()) == ["j"]
+    built = []
+    build = lambda: (built.append(1), df)[1]
+    for key, count in (({"a": 1}, 1), ({"a": 1}, 1), ({"a": 2}, 2)):
+        assert ingest.cached(spark, f"file://{tmp_path}/c", key, build).count() == 2 and len(built) == count
+    good, bad = ingest.validated(df, {"no name": "k IS NOT NULL", "too large": "i < 2"})
+    assert [r["i"] for r in good.collect()] == [1] and [r["reasons"] for r in bad.collect()] == [["no name", "too large"]]
+    assert ingest.validated(df, {})[0].count() == 2
