@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import re
 import sys
 import unicodedata
 from functools import cache
@@ -74,3 +75,29 @@ def ngrams(word: Column, n: int) -> Column:
 def first_object(text: Column) -> Column:
     """The text from the first opening to the last closing brace, without fences around it."""
     return F.nullif(F.regexp_extract(text, r"(?s)(\{.*\})", 1), F.lit(""))
+
+
+def one_exclamation(text: Column, words: list[str]) -> Column:
+    """The text with only the first of the words, wherever it stands outside square brackets; the gaps that the others leave are closed, signs that belonged to them go. Texts with one of them or none stay as they are."""
+    listed = "|".join(re.escape(w).replace("i", "[iİıI]") for w in sorted(words, key=len, reverse=True))
+    part = re.compile(rf"(\[[^\]]*\])|(\s*(?<!\w)(?:{listed})(?!\w)[,;:]*[!?]*)", re.I)
+    double, loose, ends = re.compile(r"([,;:])(?:\s*[,;:])+"), re.compile(r"\s+(?=[,;:!?.…])"), re.compile(r"^[,;:\s]+|[,;:\s]+$")
+
+    def kept_first(t: str | None) -> str | None:
+        if t is None or not words or sum(m[2] is not None for m in part.finditer(t)) < 2:
+            return t
+        seen = [False]
+
+        def one(m: re.Match) -> str:
+            if m[1] is not None or not seen[0]:
+                seen[0] = seen[0] or m[2] is not None
+                return m[0]
+            return ""
+
+        return ends.sub("", loose.sub("", double.sub(r"\1", re.sub(r"[ \t]{2,}", " ", part.sub(one, t)))))
+
+    @F.pandas_udf("string")
+    def apply(texts: pd.Series) -> pd.Series:
+        return pd.Series([kept_first(t) for t in texts], dtype=object)
+
+    return apply(text)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from axonlake.operators import edges as E
 from axonlake.operators import graph_iter as G
+from axonlake.operators import readout as L
 from axonlake.operators import simulate as M
 from axonlake.operators import spectral as X
 from axonlake.operators.carry import carry_last
@@ -212,6 +213,50 @@ def r2_rates(spark: SparkSession, d: str) -> DataFrame:
     return v.join(fold(F.when(F.col("idle"), 0.60 * F.col("dt")), 10.0, "boredom"), "user_id")
 
 
+def r7_rest(spark: SparkSession, d: str) -> DataFrame:
+    """Each user's energy and rest episodes when every event is a tick of 5 seconds."""
+    ev = table(spark, d, "events").select("user_id", (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("t"), "event_id", F.lit(5.0).alias("dt"))
+    return R.rest_episodes(ev, "user_id", "t", "event_id", "dt").select("user_id", F.round("energy", 6).alias("energy"), "episodes")
+
+
+UNITS = 512
+
+
+def _vocabulary(spark: SparkSession, d: str) -> DataFrame:
+    """(word, units, label): type names with their most frequent class."""
+    n = nodes(spark, d).where("cell_type IS NOT NULL AND cell_class IS NOT NULL").groupBy("cell_type", "cell_class").agg(F.count(F.lit(1)).alias("n"))
+    label = n.groupBy(F.col("cell_type").alias("word")).agg(F.max_by("cell_class", F.struct("n", "cell_class")).alias("label"))
+    return materialize(L.coded(n, "cell_type", UNITS, 7).join(label, "word"), "vocabulary")
+
+
+def l5_trained(spark: SparkSession, d: str) -> DataFrame:
+    """What a readout of hashed n-grams makes of the vocabulary, by class: words and how many it tells."""
+    v = _vocabulary(spark, d)
+    got = L.measured(L.fitted(v, UNITS), v).join(v.select("word", F.col("label").alias("truth")), "word")
+    return got.groupBy("truth").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("label") == F.col("truth")).alias("n_right"), F.round(F.min("confidence"), 6).alias("least"))
+
+
+def l2_lesson(spark: SparkSession, d: str) -> DataFrame:
+    """What teaching one new word under a new label does to the vocabulary, and that taking it back leaves nothing."""
+    v = _vocabulary(spark, d)
+    first = L.fitted(v, UNITS)
+    word = L.coded(spark.createDataFrame([("sugarcane",)], "w string"), "w", UNITS, 7)
+    second, steps = L.taught(first, [int(u) for u in word.first()["units"]], "taught")
+    before = materialize(L.measured(first, v), "before-lesson")
+    label = L.measured(second, word).first()["label"]
+    told = L.lesson_effects(before, L.measured(second, v), 0.5, 0.1)
+    undone = L.lesson_effects(before, L.measured(first, v), 0.5, 0.0).select(F.col("n_changed").alias("n_changed_after_undo"))
+    return told.crossJoin(undone).select("*", F.lit(label).alias("label"), F.lit(steps).alias("steps"))  # one row each
+
+
+def r14_commands(spark: SparkSession, d: str) -> DataFrame:
+    """The teach commands in all texts, by verb, word and category."""
+    pattern = r"(?m)(?:^|: )(teach|öğret|undo|list)(?:: *([^\n=]+?) *= *([^\n=]+?))? *$"
+    hit = table(spark, d, "documents").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit(pattern), F.lit(0))).alias("c"))
+    part = lambda i: F.regexp_extract("c", pattern, i)
+    return hit.select(part(1).alias("verb"), part(2).alias("word"), part(3).alias("category")).groupBy("verb", "word", "category").agg(F.count(F.lit(1)).alias("n"))
+
+
 def r2_stream(spark: SparkSession, d: str) -> DataFrame:
     """The same by the streaming operator."""
     path = f"{d}/events.parquet"
@@ -248,7 +293,7 @@ def r6_throttled(spark: SparkSession, d: str) -> DataFrame:
     return R.throttled(ev, "user_id", "ts", "event_id", 12 * 3600)
 
 
-QUERIES = {f.__name__: f for f in (a32_protocol, g7_spectrum, g7_slow_modes, g8_laplacian, g9_clusters, g10_plane, g11_residual, g14_dealt, g15_stratified, g19_matched_null, g20_separability, g24_looming, g25_steering, g12_degrees, g13_random_graphs, g15_null, g21_spikes, g22_memory, r2_rates, r2_vitals, r2_stream, r4_flags, r5_moods, r6_throttled)}
+QUERIES = {f.__name__: f for f in (a32_protocol, g7_spectrum, g7_slow_modes, g8_laplacian, g9_clusters, g10_plane, g11_residual, g14_dealt, g15_stratified, g19_matched_null, g20_separability, g24_looming, g25_steering, g12_degrees, g13_random_graphs, g15_null, g21_spikes, g22_memory, l2_lesson, l5_trained, r7_rest, r14_commands, r2_rates, r2_vitals, r2_stream, r4_flags, r5_moods, r6_throttled)}
 
 _FOLD = """WITH RECURSIVE e AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i, CASE WHEN event_type = 'purchase' THEN value / 10 - 35 ELSE value / 20 - 10 END AS dv FROM events),
     f AS (SELECT user_id, i, least(100.0::DOUBLE, greatest(0.0::DOUBLE, 60 + dv)) AS v FROM e WHERE i = 1 UNION ALL SELECT e.user_id, e.i, least(100.0::DOUBLE, greatest(0.0::DOUBLE, v + dv)) FROM f JOIN e ON e.user_id = f.user_id AND e.i = f.i + 1)
@@ -279,6 +324,17 @@ SQL = {
               UNION ALL SELECT e.user_id, e.i, least(100.0::DOUBLE, greatest(0.0::DOUBLE, en - 0.30 * dt)), least(100.0::DOUBLE, greatest(0.0::DOUBLE, hu + 0.45 * dt)), least(100.0::DOUBLE, greatest(0.0::DOUBLE, bo + CASE WHEN idle THEN 0.60 * dt ELSE 0 END))
               FROM f JOIN e ON e.user_id = f.user_id AND e.i = f.i + 1)
         SELECT user_id, round(arg_max(en, i), 6) AS energy, round(arg_max(hu, i), 6) AS hunger, round(arg_max(bo, i), 6) AS boredom FROM f GROUP BY 1""",
+    "r7_rest": """WITH RECURSIVE e AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i, epoch_us(ts) / 1e6 AS t FROM events),
+        f AS (SELECT DISTINCT user_id, 0 AS i, 60.0::DOUBLE AS en, 0 AS lef, -1e18::DOUBLE AS began, 0 AS ep FROM events
+              UNION ALL SELECT e.user_id, e.i, CASE WHEN lef > 0 THEN least(100.0::DOUBLE, greatest(0.0::DOUBLE, en - 1.5) + 3) ELSE greatest(0.0::DOUBLE, en - 1.5) END,
+                CASE WHEN lef > 0 THEN lef - 1 WHEN greatest(0.0::DOUBLE, en - 1.5) <= 30 AND t - began >= 60 THEN 10 ELSE 0 END,
+                CASE WHEN lef = 0 AND greatest(0.0::DOUBLE, en - 1.5) <= 30 AND t - began >= 60 THEN t ELSE began END,
+                ep + CASE WHEN lef = 0 AND greatest(0.0::DOUBLE, en - 1.5) <= 30 AND t - began >= 60 THEN 1 ELSE 0 END
+              FROM f JOIN e ON e.user_id = f.user_id AND e.i = f.i + 1)
+        SELECT user_id, round(arg_max(en, i), 6) AS energy, CAST(max(ep) AS BIGINT) AS episodes FROM f GROUP BY 1""",
+    "r14_commands": r"""WITH c AS (SELECT unnest(regexp_extract_all(lower(replace(text, chr(13), '')), '(?m)(?:^|: )(teach|öğret|undo|list)(?:: *([^\n=]+?) *= *([^\n=]+?))? *$')) AS c FROM documents),
+        p AS (SELECT regexp_extract(c, '(teach|öğret|undo|list)', 1) AS verb, CASE WHEN contains(c, '=') THEN trim(regexp_extract(c, '(?:teach|öğret|undo|list): *([^=]*)=', 1)) ELSE '' END AS word, CASE WHEN contains(c, '=') THEN trim(split_part(c, '=', 2)) ELSE '' END AS category FROM c)
+        SELECT verb, word, category, count(*) AS n FROM p GROUP BY ALL""",
     "r5_moods": """WITH RECURSIVE e AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i, event_type AS k, value / 5 - 40 AS dv FROM events),
         s AS (SELECT DISTINCT user_id, 0 AS i, 50.0::DOUBLE AS en, 50.0::DOUBLE AS hu, 50.0::DOUBLE AS bo FROM events),
         f AS (SELECT * FROM s UNION ALL SELECT e.user_id, e.i, least(100.0::DOUBLE, greatest(0.0::DOUBLE, en + CASE WHEN k = 'click' THEN dv ELSE 0 END)), least(100.0::DOUBLE, greatest(0.0::DOUBLE, hu + CASE WHEN k = 'view' THEN dv ELSE 0 END)),

@@ -46,7 +46,23 @@ def p7_filled(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select([c for c in got.columns if not c.startswith("__")])
 
 
-QUERIES = {"p7_found": p7_found, "p7_filled": p7_filled}
+def p7_heldout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How well known values are filled again when a fifth of them, by a hash of the cell, is hidden: per field the hidden values, the error of the filling and that of the mean (coordinates: root mean square in voxels; types: share of wrong ones, against the most frequent type)."""
+    cells = materialize(known_cells(spark, sf_dir), "known-cells")
+    hidden = {f: (F.pmod(F.xxhash64(F.lit(f), "root_id"), F.lit(5)) == 0) & F.col(f).isNotNull() for f in FIELDS}
+    truth = materialize(cells.select("root_id", *[F.when(hidden[f], F.col(f)).alias(f"__true_{f}") for f in FIELDS]).distinct(), "hidden-values")
+    shown = materialize(cells.select(*[F.when(~F.coalesce(hidden[c], F.lit(False)), F.col(c)).alias(c) if c in FIELDS else F.col(c) for c in cells.columns]), "shown-cells")
+    got = fill_category(shown, "cell_type", [f"__{a}" for a in ALIKE], "__month")
+    got = fill_numbers(got, {"soma_x": "pos_x", "pos_x": "soma_x"}, ["__side", "__supertype", "__month"]).select("root_id", *FIELDS)
+    usual = shown.agg(*[F.avg(f).alias(f"__usual_{f}") for f in FIELDS[:2]], F.mode("cell_type", True).alias("__usual_cell_type"))  # one row
+    both = truth.join(got, "root_id").crossJoin(F.broadcast(usual))
+    off = lambda f, g: F.pow(F.col(f"__true_{f}") - F.col(g), 2) if f != "cell_type" else (F.col(f"__true_{f}") != F.col(g)).cast("double")
+    root = lambda f, x: F.round(F.sqrt(F.avg(x)) if f != "cell_type" else F.avg(x), 6)
+    rows = [both.where(F.col(f"__true_{f}").isNotNull()).agg(F.count(F.lit(1)).alias("n_hidden"), root(f, off(f, f)).alias("error"), root(f, off(f, f"__usual_{f}")).alias("error_of_mean")).select(F.lit(f).alias("field"), "*") for f in FIELDS]
+    return rows[0].unionAll(rows[1]).unionAll(rows[2])
+
+
+QUERIES = {"p7_heldout": p7_heldout, "p7_found": p7_found, "p7_filled": p7_filled}
 
 _NOT_KNOWN = """
     'unknown', 'unk', 'unkn', 'not known', 'unknown type', 'type unknown', 'no type', 'no cell type', 'none', 'null', 'nil', 'na', 'n a', 'nan', 'nd', 'n d', 'nk', 'n k',

@@ -194,6 +194,21 @@ def a30_dense_updates(spark: SparkSession, d: str) -> DataFrame:
     return per.select("np", F.when(F.col("ticks") > 0, F.coalesce("between", F.lit(0)) * F.col("ticks")).otherwise(F.col("whole")).alias("updates"))
 
 
+def g31_checks(spark: SparkSession, d: str) -> DataFrame:
+    """Which checks of the tables hold: (name, n rows against it, holds)."""
+    e, n = edges(spark, d), nodes(spark, d)
+    known = n.select("id").distinct()
+    against = {
+        "weights are positive": e.where("w < 1"), "no self-loops": e.where("pre = post"), "sources are known": e.join(known.withColumnRenamed("id", "pre"), "pre", "left_anti"),
+        "targets are known": e.join(known.withColumnRenamed("id", "post"), "post", "left_anti"), "ids are single": n.groupBy("id").count().where("count > 1"),
+    }
+    rows = None
+    for name, bad in against.items():
+        one = bad.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("name"), "n", (F.col("n") == 0).alias("holds"))
+        rows = one if rows is None else rows.unionAll(one)
+    return rows
+
+
 def a31_saturation(spark: SparkSession, d: str) -> DataFrame:
     """Mean saturation and activity of trials, and how many run saturated, by arm."""
     t = trials(spark, d)
@@ -360,7 +375,7 @@ def l10_baselines(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     a3_by_keys, a4_null_kept, a5_value_counts, a6_shares, a7_scalars, a8_class_matrix, a9_pairs, a10_top_labels, a11_downstream, a12_ci, a13_apart, a14_wilson, a15_grid, a16_entropy, a17_information,
-    a18_shared_inputs, a19_both_flags, a20_degrees, a21_metrics, a22_accuracy, a23_decay, a24_conflicts, a26_first_below, a27_label_counts, a28_directions, a29_synaptic_events, a30_dense_updates, a31_state, a31_saturation, g18_correlation, l15_accepted, t7_queue, a35_floor, cube_counts,
+    a18_shared_inputs, a19_both_flags, a20_degrees, a21_metrics, a22_accuracy, a23_decay, a24_conflicts, a26_first_below, a27_label_counts, a28_directions, a29_synaptic_events, a30_dense_updates, a31_state, a31_saturation, g31_checks, g18_correlation, l15_accepted, t7_queue, a35_floor, cube_counts,
     w1_top2, w2_argmax, w3_ranks, w4_spearman, w5_holm, w6_gaps, w7_clusters, w8_plateau, w9_running, w10_crossings, w12_path, w14_first_reaching, w15_stride, t6_best_setting,
     g16_permutation_p, g17_welch, g18_differences, r16_sliding, r17_sessions, l10_baselines,
 )}
@@ -416,6 +431,9 @@ SQL = {
         p AS (SELECT e.np, sum(w) AS whole, sum(w) FILTER (x.id IS NOT NULL AND y.id IS NOT NULL) AS between_, count(*) FILTER (w >= 20) AS ticks
               FROM edges e LEFT JOIN a x ON x.np = e.np AND x.id = pre LEFT JOIN a y ON y.np = e.np AND y.id = post WHERE e.np IS NOT NULL GROUP BY 1)
         SELECT np, CAST(CASE WHEN ticks > 0 THEN coalesce(between_, 0) * ticks ELSE whole END AS BIGINT) AS updates FROM p""",
+    "g31_checks": EN + """, c AS (SELECT 'weights are positive' AS name, count(*) FILTER (w < 1) AS n FROM edges UNION ALL SELECT 'no self-loops', count(*) FILTER (pre = post) FROM edges
+        UNION ALL SELECT 'sources are known', count(*) FROM edges WHERE pre NOT IN (SELECT id FROM nodes) UNION ALL SELECT 'targets are known', count(*) FROM edges WHERE post NOT IN (SELECT id FROM nodes)
+        UNION ALL SELECT 'ids are single', count(*) FROM (SELECT id FROM nodes GROUP BY id HAVING count(*) > 1)) SELECT name, n, n = 0 AS holds FROM c""",
     "a31_saturation": T + " SELECT arm, count(sat) AS n, round(avg(sat), 6) AS saturation, round(avg(activity), 6) AS activity, count(*) FILTER (sat > 0.5) AS n_saturated FROM runs GROUP BY 1",
     "g18_correlation": sql(SQL_NODES) + """, n AS (SELECT side, atan2(pos_y - 60000.0::DOUBLE, pos_x - 130000.0::DOUBLE) AS a, atan2(soma_y - 60000.0::DOUBLE, soma_x - 130000.0::DOUBLE) AS b FROM nodes
         WHERE pos_x IS NOT NULL AND NOT isnan(pos_x) AND pos_y IS NOT NULL AND NOT isnan(pos_y) AND soma_x IS NOT NULL AND NOT isnan(soma_x) AND soma_y IS NOT NULL AND NOT isnan(soma_y)),

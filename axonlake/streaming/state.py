@@ -43,6 +43,33 @@ def clamped_fold(events: DataFrame, key: str, at: str, tie: str, delta: Column,
     return keys.select(key, F.least(F.col("m.high"), F.greatest(F.col("m.low"), F.lit(start) + F.col("m.add"))).alias("value"), "n")
 
 
+def rest_episodes(ticks: DataFrame, key: str, at_s: str, tie: str, dt: str, start: float = 60.0, fall: float = 0.30, threshold: float = 30.0, cooldown_s: float = 60.0, gain: float = 3.0, length: int = 10) -> DataFrame:
+    """(key, energy, episodes): energy falls with each tick; at the threshold, cooldown_s or more after the last episode began, an episode begins, and each of its `length` ticks after that gives `gain`. A key's ticks pass through one task in order, with four numbers of state."""
+    kind = dict(ticks.dtypes)[key]
+    rows = ticks.select(key, at_s, tie, dt).repartition(key).sortWithinPartitions(key, at_s, tie)
+
+    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, energy, left, began, n = None, start, 0, float("-inf"), 0
+        first, done = True, []
+        for batch in batches:
+            for k, t, step in zip(batch[key], batch[at_s], batch[dt]):
+                if first or k != now:
+                    if not first:
+                        done.append((now, energy, n))
+                    now, energy, left, began, n, first = k, start, 0, float("-inf"), 0, False
+                energy = min(HIGH, max(LOW, energy - fall * (0.0 if step != step else step)))
+                if left:
+                    left, energy = left - 1, min(HIGH, energy + gain)
+                elif energy <= threshold and t - began >= cooldown_s:
+                    left, began, n = length, t, n + 1
+            yield pd.DataFrame(done, columns=[key, "energy", "episodes"])
+            done = []
+        if not first:
+            yield pd.DataFrame([(now, energy, n)], columns=[key, "energy", "episodes"])
+
+    return rows.mapInPandas(walk, f"{key} {kind}, energy double, episodes long")
+
+
 def mood(energy: Column, hunger: Column, boredom: Column) -> Column:
     """The first that applies: hungry (70 and more), tired (25 and less), bored (70 and more), cheerful, calm."""
     return F.when(hunger >= 70, "hungry").when(energy <= 25, "tired").when(boredom >= 70, "bored").when((energy >= 80) & (hunger <= 25), "cheerful").otherwise("calm")
