@@ -6,10 +6,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow.fs as pafs
+import pyarrow.parquet as pq
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from axonlake.sources.scratch import materialize
+
 
 def winners(scores: DataFrame, item: list[str], score: str, k: int) -> DataFrame:
     """Rows whose score is at least the k-th largest of the item; ties all win. Null scores lose."""
@@ -41,39 +45,36 @@ def overlaps(code: DataFrame, item: str, idx: str) -> DataFrame:
 
 def nearest(queries: DataFrame, rows: DataFrame, item: str, vector: str, k: int, block: int = 4096) -> DataFrame:
     """(query, item, cosine, place): the k rows nearest to each query vector by cosine, itself left out; smaller items first on ties. The
-    queries are a stated set, sent out in blocks of fixed size; a batch of rows meets a block as one matrix product, and keeps k per query."""
-    spark = rows.sparkSession
-    marked = queries.select(F.col(item).alias("q"), F.col(vector).cast("array<double>").alias("v"))
-    n = marked.count()
-    parts = []
-    names = [r["q"] for r in marked.select("q").orderBy("q").collect()] if n <= block else None
-    blocks = [(None, None)] if names is not None else [tuple(r) for r in marked.select("q", F.ntile(-(-n // block)).over(Window.orderBy("q")).alias("b")).groupBy("b").agg(F.min("q"), F.max("q")).select("min(q)", "max(q)").collect()]
-    for low, high in blocks:
-        some = marked if low is None else marked.where(F.col("q").between(low, high))
-        got = some.orderBy("q").toPandas()  # at most `block` rows
-        ids, m = got["q"].to_numpy(), np.array(got["v"].tolist(), dtype=float)
-        m = m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
-
-        def search(batches: Iterator[pd.DataFrame], ids=ids, m=m) -> Iterator[pd.DataFrame]:
-            for batch in batches:
-                if not len(batch):
+    queries are a stated set, stored in files of about `block` of them; a batch of rows meets each file as one matrix product, and keeps k per
+    query. Tasks read the files themselves, so neither the plan nor the driver grows with the queries."""
+    marked = queries.select(F.col(item).alias("q"), F.col(vector).cast("array<double>").alias("v")).where("v IS NOT NULL")
+    blocks = max(1, -(-marked.count() // block))
+    paths = materialize(marked.repartition(blocks, F.xxhash64("q")), "queries").inputFiles()  # one path per block
+
+    def load(path: str) -> tuple[np.ndarray, np.ndarray]:
+        fs, name = pafs.FileSystem.from_uri(path)
+        got = pq.read_table(name, filesystem=fs, columns=["q", "v"]).to_pydict()
+        m = np.array(got["v"], dtype=float).reshape(len(got["q"]), -1)
+        return np.array(got["q"]), m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
+
+    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = [load(paths[0])] if len(paths) == 1 else None
+        for batch in batches:
+            if not len(batch):
+                continue
+            x = np.array(batch["v"].tolist(), dtype=float)
+            length, own = np.linalg.norm(x, axis=1), batch["item"].to_numpy()
+            for ids, m in held or map(load, paths):
+                if not len(ids):
                     continue
-                x = np.array(batch["v"].tolist(), dtype=float)
-                length = np.linalg.norm(x, axis=1)
                 s = np.round((x @ m.T) / np.maximum(length, 1e-300)[:, None], 12)
-                own = batch["item"].to_numpy()
                 s[own[:, None] == ids[None, :]] = -np.inf
                 keep = min(k, len(own))
                 order = np.lexsort((np.repeat(own[:, None], len(ids), 1), -s), axis=0)[:keep]
-                q = np.tile(ids, keep)
                 flat = order.ravel()
-                yield pd.DataFrame({"query": q, "item": own[flat], "cosine": s[flat, np.tile(np.arange(len(ids)), keep)]})
-
-        kind = dict(rows.dtypes)[item]
-        found = rows.select(F.col(item).alias("item"), F.col(vector).cast("array<double>").alias("v")).where("v IS NOT NULL").mapInPandas(search, f"query {kind}, item {kind}, cosine double")
-        parts.append(found.where("cosine >= -1.1"))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionAll(p)
+                yield pd.DataFrame({"query": np.tile(ids, keep), "item": own[flat], "cosine": s[flat, np.tile(np.arange(len(ids)), keep)]})
+
+    kind = dict(rows.dtypes)[item]
+    found = rows.select(F.col(item).alias("item"), F.col(vector).cast("array<double>").alias("v")).where("v IS NOT NULL").mapInPandas(search, f"query {kind}, item {kind}, cosine double")
     place = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("cosine"), "item"))
-    return out.withColumn("place", place).where(F.col("place") <= k)
+    return found.where("cosine >= -1.1").withColumn("place", place).where(F.col("place") <= k)
