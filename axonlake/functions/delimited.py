@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 #: A comma that is not inside double quotes.
 _COMMA = ',(?=(?:[^"]*"[^"]*")*[^"]*$)'
 _LINE_END = "\r\n|\n|\r"
-_EDGES = '^[\\s"\\x{FEFF}]+|[\\s"\\x{FEFF}]+$'
+_EDGES = ' \t\n\x0b\f\r"\ufeff'
 
 
 def lines(body: Column) -> Column:
@@ -18,7 +18,7 @@ def lines(body: Column) -> Column:
 
 def cleaned(x: Column) -> Column:
     """Without byte order mark, quotes and outer blanks."""
-    return F.regexp_replace(x, _EDGES, "")
+    return F.btrim(x, F.lit(_EDGES))
 
 
 def fields(line: Column) -> Column:
