@@ -12,3 +12,8 @@ def test_equals_sql(spark, small, name):
 @pytest.mark.parametrize("name", sorted(set(q.QUERIES) - set(q.SQL)))
 def test_runs(spark, small, name):
     assert q.QUERIES[name](spark, small).count() > 0
+
+
+def test_containers_of_the_tables_are_full(spark):
+    rows = q.QUERIES["p9_fill"](spark, "/root/testdata/sf0.01").collect()
+    assert sum(r["tokens"] for r in rows) > 0.97 * 2048 * sum(r["containers"] for r in rows)

@@ -85,6 +85,7 @@ def test_wide_leaves_are_mined_in_parts(spark, monkeypatch):
     cases = {2000 + i: f"404 Not Found. Nobody at all knows the way to room {w} in here." for i, w in enumerate("amber basalt cobalt dunlin ebony fresco".split())}
     whole = _corpus(spark, cases)
     monkeypatch.setattr(module, "LEAF_UNITS", 2)
+    monkeypatch.setattr(module, "BROADCAST_ROWS", 0)  # shuffle joins find the same
     assert _corpus(spark, cases) == whole == set(cases)
 
 
