@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from axonlake.operators import edges as E
 from axonlake.operators import graph_iter as G
 from axonlake.operators import readout as L
+from axonlake.operators import sample as U
 from axonlake.operators import simulate as M
 from axonlake.operators import spectral as X
 from axonlake.operators.carry import carry_last
@@ -249,6 +250,43 @@ def l2_lesson(spark: SparkSession, d: str) -> DataFrame:
     return told.crossJoin(undone).select("*", F.lit(label).alias("label"), F.lit(steps).alias("steps"))  # one row each
 
 
+def a36_measured(spark: SparkSession, d: str) -> DataFrame:
+    """The readout's label, confidence and margin for every type name."""
+    v = _vocabulary(spark, d)
+    return L.measured(L.fitted(v, UNITS), v).select("word", "label", F.round("confidence", 6).alias("confidence"), F.round("margin", 6).alias("margin"))
+
+
+def u6_draws(spark: SparkSession, d: str) -> DataFrame:
+    """30 draws of places, with replacement."""
+    return U.with_replacement(edges(spark, d).where("np IS NOT NULL"), "np", 30, seed=11)
+
+
+def u5_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """40 tasks of two numbers of two digits whose difference borrows."""
+    n = spark.range(10, 100).select(F.col("id").cast("int").alias("a"))
+    return U.accepted(n.crossJoin(n.withColumnRenamed("a", "b")), "a > b AND a % 10 < b % 10", ["a", "b"], 40, seed=12)  # 8,100 tasks
+
+
+def r8_environment(spark: SparkSession, d: str) -> DataFrame:
+    """The events after 45 idle seconds that chance picks, one in twenty, at most one in 90 minutes per user."""
+    ev = table(spark, d, "events").select("user_id", "ts", "event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"))
+    ev = carry_last(ev, ["user_id"], "us", ["event_id"], F.col("us"), "before", 86_400_000_000)
+    lucky = F.pmod(F.col("event_id") * F.lit(2654435761), F.lit(4294967296)) < F.lit(4294967296 // 20)
+    return R.throttled(ev.where((F.col("us") - F.col("before") >= 45_000_000) & lucky).select("user_id", "ts", "event_id"), "user_id", "ts", "event_id", 90 * 60)
+
+
+PHRASES = {  # fixed values: answers by kind of event
+    "purchase": ["that tasted good", "more, please"], "click": ["hello", "who is there", "buzz"], "view": ["I see you"],
+}
+
+
+def r13_phrases(spark: SparkSession, d: str) -> DataFrame:
+    """How often each answer is given when the answers of a kind take turns by event; kinds without answers get none."""
+    known = spark.createDataFrame([(k, v) for k, v in PHRASES.items()], "event_type string, said array<string>")
+    got = table(spark, d, "events").join(F.broadcast(known), "event_type", "left").select("event_type", F.get("said", F.pmod("event_id", F.size("said")).cast("int")).alias("phrase"))
+    return got.groupBy("event_type", "phrase").agg(F.count(F.lit(1)).alias("n"))
+
+
 def r14_commands(spark: SparkSession, d: str) -> DataFrame:
     """The teach commands in all texts, by verb, word and category."""
     pattern = r"(?m)(?:^|: )(teach|öğret|undo|list)(?:: *([^\n=]+?) *= *([^\n=]+?))? *$"
@@ -293,7 +331,7 @@ def r6_throttled(spark: SparkSession, d: str) -> DataFrame:
     return R.throttled(ev, "user_id", "ts", "event_id", 12 * 3600)
 
 
-QUERIES = {f.__name__: f for f in (a32_protocol, g7_spectrum, g7_slow_modes, g8_laplacian, g9_clusters, g10_plane, g11_residual, g14_dealt, g15_stratified, g19_matched_null, g20_separability, g24_looming, g25_steering, g12_degrees, g13_random_graphs, g15_null, g21_spikes, g22_memory, l2_lesson, l5_trained, r7_rest, r14_commands, r2_rates, r2_vitals, r2_stream, r4_flags, r5_moods, r6_throttled)}
+QUERIES = {f.__name__: f for f in (a32_protocol, g7_spectrum, g7_slow_modes, g8_laplacian, g9_clusters, g10_plane, g11_residual, g14_dealt, g15_stratified, g19_matched_null, g20_separability, g24_looming, g25_steering, g12_degrees, g13_random_graphs, g15_null, g21_spikes, g22_memory, a36_measured, u5_pairs, u6_draws, r8_environment, r13_phrases, l2_lesson, l5_trained, r7_rest, r14_commands, r2_rates, r2_vitals, r2_stream, r4_flags, r5_moods, r6_throttled)}
 
 _FOLD = """WITH RECURSIVE e AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i, CASE WHEN event_type = 'purchase' THEN value / 10 - 35 ELSE value / 20 - 10 END AS dv FROM events),
     f AS (SELECT user_id, i, least(100.0::DOUBLE, greatest(0.0::DOUBLE, 60 + dv)) AS v FROM e WHERE i = 1 UNION ALL SELECT e.user_id, e.i, least(100.0::DOUBLE, greatest(0.0::DOUBLE, v + dv)) FROM f JOIN e ON e.user_id = f.user_id AND e.i = f.i + 1)
@@ -324,6 +362,13 @@ SQL = {
               UNION ALL SELECT e.user_id, e.i, least(100.0::DOUBLE, greatest(0.0::DOUBLE, en - 0.30 * dt)), least(100.0::DOUBLE, greatest(0.0::DOUBLE, hu + 0.45 * dt)), least(100.0::DOUBLE, greatest(0.0::DOUBLE, bo + CASE WHEN idle THEN 0.60 * dt ELSE 0 END))
               FROM f JOIN e ON e.user_id = f.user_id AND e.i = f.i + 1)
         SELECT user_id, round(arg_max(en, i), 6) AS energy, round(arg_max(hu, i), 6) AS hunger, round(arg_max(bo, i), 6) AS boredom FROM f GROUP BY 1""",
+    "r8_environment": """WITH RECURSIVE g AS (SELECT user_id, ts, event_id, epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS gap FROM events),
+        e AS (SELECT user_id, ts, event_id FROM g WHERE gap >= 45000000 AND (CAST(event_id AS HUGEINT) * 2654435761) % 4294967296 < 214748364),
+        f AS (SELECT user_id, arg_min(event_id, (ts, event_id)) AS event_id, min(ts) AS ts FROM e GROUP BY 1
+              UNION ALL SELECT e.user_id, arg_min(e.event_id, (e.ts, e.event_id)), min(e.ts) FROM f JOIN e ON e.user_id = f.user_id AND e.ts >= f.ts + INTERVAL 90 MINUTES GROUP BY e.user_id)
+        SELECT user_id, ts, event_id FROM f""",
+    "r13_phrases": "WITH p AS (SELECT * FROM (VALUES " + ", ".join(f"('{k}', {v!r}::VARCHAR[])" for k, v in PHRASES.items()) + """) AS p(event_type, said))
+        SELECT e.event_type, said[event_id % len(said) + 1] AS phrase, count(*) AS n FROM events e LEFT JOIN p ON p.event_type = e.event_type GROUP BY 1, 2""",
     "r7_rest": """WITH RECURSIVE e AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i, epoch_us(ts) / 1e6 AS t FROM events),
         f AS (SELECT DISTINCT user_id, 0 AS i, 60.0::DOUBLE AS en, 0 AS lef, -1e18::DOUBLE AS began, 0 AS ep FROM events
               UNION ALL SELECT e.user_id, e.i, CASE WHEN lef > 0 THEN least(100.0::DOUBLE, greatest(0.0::DOUBLE, en - 1.5) + 3) ELSE greatest(0.0::DOUBLE, en - 1.5) END,

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from axonlake.functions.text import one_exclamation
 from axonlake.operators import readout as L
+from axonlake.operators import sample as U
 from axonlake.streaming.state import rest_episodes
 
 
@@ -56,3 +57,13 @@ def test_one_exclamation(spark):
     }
     df = spark.createDataFrame([(t,) for t in [*cases, None]], "t string").select("t", one_exclamation(F.col("t"), ["wow", "oh"]).alias("o"))
     assert {r["t"]: r["o"] for r in df.collect()} == cases | {None: None}
+
+
+def test_draws(spark):
+    df = spark.createDataFrame([(x,) for x in ["a", "b", "b", None, "c"]], "x string")
+    one, two = ([(r["draw"], r["x"]) for r in U.with_replacement(d, "x", 200, 5).orderBy("draw").collect()] for d in (df, df.repartition(3)))
+    assert one == two and len(one) == 200 and {x for _, x in one} == {"a", "b", "c", None}
+    assert min(sum(x == v for _, x in one) for v in ("a", "b", "c", None)) > 25 and U.with_replacement(df.limit(0), "x", 5, 5).count() == 0
+    grid = spark.range(100).selectExpr("id % 50 AS k")
+    got = [r["k"] for r in U.accepted(grid, "k % 2 = 0", ["k"], 10, 3).collect()]
+    assert len(set(got)) == 10 and all(k % 2 == 0 for k in got) and U.accepted(grid, "k < 3", ["k"], 10, 3).count() == 3
