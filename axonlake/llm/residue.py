@@ -60,6 +60,8 @@ LEAST_WORDS = 4
 #: Share of its texts in which a template without a cue shares a line with a cue, from which on it is a suspect, and with cued templates only, from which on it may be residue, whatever its words.
 SUSPECT = 0.1
 COMPANY = 0.25
+#: Texts that a share is taken over besides those seen, as few texts prove little: a rare sentence that stands beside a cue once is no suspect's company for that alone.
+FEW = 4
 #: Share of the words of a line from which on residue stands in place of the line.
 STANDS = 0.3
 #: Rows of a broadcast side; above, a shuffle join does the same.
@@ -458,7 +460,7 @@ def senseless(said: DataFrame, lines: DataFrame, templates: DataFrame) -> DataFr
 
 
 def suspects(templates: DataFrame, cued: DataFrame) -> DataFrame:
-    """(template, n, cue, odds, near): the templates that words or company make suspect; near is the share of texts in which it shares a line with a cue. cued: (text_key, unit) of the lines with a cue."""
+    """(template, n, cue, odds, near, sure): the templates that words or company make suspect; near is the share of texts in which it shares a line with a cue. cued: (text_key, unit) of the lines with a cue."""
 
     @F.pandas_udf("string")
     def cue_of(units: pd.Series) -> pd.Series:
@@ -482,7 +484,7 @@ def suspects(templates: DataFrame, cued: DataFrame) -> DataFrame:
     odds = words.join(logs, "word").groupBy("template").agg((F.sum("x") + F.lit(prior)).alias("odds"))
     near = close.groupBy("template", "text_key").agg(F.lit(1).alias("one")).groupBy("template").agg(F.count(F.lit(1)).alias("near"))
     got = named.join(odds, "template", "left").join(near, "template", "left")
-    return got.where((F.col("cue").isNotNull()) | (F.col("odds") > 0) | (F.col("near") >= SUSPECT * F.col("n"))).select("template", "n", "cue", F.coalesce("odds", F.lit(0.0)).alias("odds"), F.coalesce(F.col("near") / F.col("n"), F.lit(0.0)).alias("near"))
+    return got.where((F.col("cue").isNotNull()) | (F.col("odds") > 0) | (F.col("near") >= SUSPECT * F.col("n"))).select("template", "n", "cue", F.coalesce("odds", F.lit(0.0)).alias("odds"), F.coalesce(F.col("near") / (F.col("n") + FEW), F.lit(0.0)).alias("sure"))
 
 
 def residue(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str | None = None) -> DataFrame:
@@ -494,16 +496,17 @@ def residue(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: s
     odd = materialize(senseless(said, prose, templates), "senseless")
     cued = prose.where("cued").select("text_key", F.explode("units").alias("unit"))
     held = materialize(suspects(templates, cued), "suspects")
-    both = held.join(odd.withColumn("senseless", F.lit(True)), "template", "full").select("template", "n", "cue", "odds", "near", F.coalesce("senseless", F.lit(False)).alias("senseless"))
+    both = held.join(odd.withColumn("senseless", F.lit(True)), "template", "full").select("template", "n", "cue", "odds", "sure", F.coalesce("senseless", F.lit(False)).alias("senseless"))
     wanted = materialize(templates.select("unit", "template").join(both, "template"), "suspect-units")
     placed = prose.select("doc_id", "text_key", "line_no", "n_words", F.explode("units").alias("unit"))
     hits = materialize(placed.join(_small(wanted), "unit").withColumn("words", F.size(F.split("unit", " "))), "suspect-lines")
     line = Window.partitionBy("doc_id", "line_no")
-    held = F.when(F.col("senseless") | F.col("cue").isNotNull() | (F.col("near") >= COMPANY), F.col("words")).otherwise(0)
+    held = F.when(F.col("senseless") | F.col("cue").isNotNull() | (F.col("sure") >= COMPANY), F.col("words")).otherwise(0)
     own = Window.partitionBy("doc_id", "line_no", "template")
     seen = hits.withColumn("held", held).withColumn("rest", F.col("n_words") - F.sum("words").over(own)).withColumn("held_rest", F.sum("held").over(line) - F.sum("held").over(own))
     seen = seen.withColumn("n_cued", F.count("cue").over(line)).withColumn("neighbour", F.max("cue").over(line))
-    running = (F.col("rest") > 0) & (2 * F.col("held_rest") < F.col("rest"))
+    # ordinary words are more than half of the other words, and weigh against its own: a menu beside a message is no running text
+    running = (F.col("rest") > 0) & (2 * F.col("held_rest") < F.col("rest")) & (2 * (F.col("rest") - F.col("held_rest")) >= F.col("n_words") - F.col("rest"))
     with_cued = (F.col("rest") > 0) & ~running & (F.col("n_cued") > F.when(F.col("cue").isNotNull(), 1).otherwise(0))
     texts = seen.where("NOT senseless").groupBy("template", "cue", "odds", "n", "text_key").agg(F.max(running.cast("int")).alias("running"), F.max(with_cued.cast("int")).alias("company"), F.max(F.when(with_cued, F.col("neighbour"))).alias("neighbour"))
     kept = texts.groupBy("template", "cue", "odds", "n").agg(F.sum("running").alias("running"), F.sum("company").alias("company"), F.mode("neighbour", True).alias("neighbour"))
