@@ -1,7 +1,7 @@
 """Iterative graph operators: each round is one join and one aggregation, written to a table, so plans don't grow.
 
 Loops end when a round finds nothing new; only counts come to the driver. Hubs weigh on one join key each; the frontier side is distinct,
-so adaptive execution can split the edge side. Edges are (pre, post); null ends are dropped; self-loops and repeated edges change nothing.
+so adaptive execution can split the edge side. The spectrum alone works on blocks of files instead (power_blocks). Edges are (pre, post); null ends are dropped; self-loops and repeated edges change nothing.
 """
 
 from __future__ import annotations
@@ -11,6 +11,7 @@ import itertools
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from axonlake.operators.power_blocks import power_blocks
 from axonlake.sources.scratch import materialize
 
 
@@ -115,21 +116,7 @@ def largest_scc(edges: DataFrame, max_rounds: int = 1000) -> DataFrame:
 
 def spectrum(edges: DataFrame, rounds: int = 400, tolerance: float = 1e-12) -> tuple[float, DataFrame, bool]:
     """(spectral radius, vector, converged) of the weights (pre, post, w): v[post] = sum w * v[pre], scaled to length 1 each round; it ends early when the length stays. The vector has every node, with 0 where nothing arrives."""
-    e = materialize(edges.where("pre IS NOT NULL AND post IS NOT NULL").groupBy("pre", "post").agg(F.sum("w").cast("double").alias("w")), "power-edges")
-    v = materialize(e.select(F.col("pre").alias("id")).union(e.select("post")).distinct().withColumn("x", F.lit(1.0)), "power-0")
-    ids, n = v.select("id"), v.count()
-    v, radius, done = v.withColumn("x", F.lit(1.0 / max(1, n) ** 0.5)), 0.0, False
-    for k in range(rounds):
-        y = materialize(e.join(v.withColumnRenamed("id", "pre"), "pre").groupBy(F.col("post").alias("id")).agg(F.sum(F.col("w") * F.col("x")).alias("x")), f"power-{k + 1}")
-        length = y.agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("l")).first()["l"] or 0.0
-        if not length:
-            radius, done = 0.0, True
-            break
-        done = abs(length - radius) <= tolerance * length
-        v, radius = y.withColumn("x", F.col("x") / F.lit(length)), length
-        if done:
-            break
-    return radius, ids.join(v, "id", "left").select("id", F.coalesce("x", F.lit(0.0)).alias("x")), done
+    return power_blocks(edges, rounds, tolerance)
 
 
 def power_iteration(edges: DataFrame, rounds: int, tolerance: float = 1e-12) -> tuple[float, DataFrame]:

@@ -31,6 +31,12 @@ def _delete_at_exit(spark: SparkSession, path: str) -> None:
     hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    """Deletes a folder that is read no more."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
+
+
 def new_path(spark: SparkSession, name: str) -> str:
     """A path not yet used, deleted when the session's JVM ends."""
     path = f"{shared_root(spark)}/axonlake/{name}-{uuid.uuid4().hex}"

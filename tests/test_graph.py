@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from axonlake.operators import edges as E
 from axonlake.operators import graph_iter as G
+from axonlake.operators import power_blocks as P
 from axonlake.operators import simulate as M
 from axonlake.operators import spectral as X
 from axonlake.plans import graph_search as Q
@@ -78,6 +79,43 @@ def test_power(spark):
     assert G.power_iteration(e.limit(0), 3)[0] == 0.0
 
 
+def test_power_in_blocks(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    rows = [(int(a), int(b), float(w)) for a, b, w in zip(rng.integers(0, 40, 300), rng.integers(0, 37, 300), rng.random(300))]
+    w = np.zeros((40, 40))
+    for a, b, x in rows:
+        w[b, a] += x
+    used = sorted({x for r in rows for x in r[:2]})
+    v, length = np.where(np.isin(np.arange(40), used), len(used) ** -0.5, 0), 0.0
+    for _ in range(25):
+        v = w @ v
+        length = np.linalg.norm(v)
+        v = v / length
+    e = spark.createDataFrame([*rows, (1, 2, None), (None, 3, 5.0), (3, None, 5.0)], "pre long, post long, w double")
+    for nodes, pairs, broadcast in ((3, 2, 0), (7, 100, 1000), (16, 5, 1000), (1000, 1000, 1000)):  # nodes of a block and section, pairs of a batch
+        for name, value in (("BLOCK_NODES", nodes), ("BATCH_PAIRS", pairs), ("BROADCAST_NODES", broadcast)):
+            monkeypatch.setattr(P, name, value)
+        radius, got, _ = G.spectrum(e, 25, 0.0)
+        assert radius == pytest.approx(length, rel=1e-12)
+        assert {r["id"]: pytest.approx(r["x"], abs=1e-12) for r in got.collect()} == {i: v[i] for i in used}
+
+
+def test_power_rounds_are_one_stage(spark):
+    """A round shuffles nothing: it is one job of one stage."""
+    e = spark.createDataFrame([(1, 2, 4.0), (2, 1, 1.0), (2, 3, 1.0)], "pre long, post long, w double")  # its length never stays
+    sc = spark.sparkContext
+
+    def stages(rounds):
+        sc.setJobGroup(f"power-{rounds}", "")
+        assert not G.spectrum(e, rounds)[2]
+        return sum(len(sc.statusTracker().getJobInfo(j).stageIds) for j in sc.statusTracker().getJobIdsForGroup(f"power-{rounds}"))
+
+    try:
+        assert stages(7) - stages(3) == 4
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+
+
 def test_whole_spectrum(spark, monkeypatch):
     rng = np.random.default_rng(4)
     w = np.zeros((30, 30))
