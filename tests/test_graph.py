@@ -116,6 +116,24 @@ def test_power_rounds_are_one_stage(spark):
         sc.setLocalProperty("spark.jobGroup.id", None)
 
 
+def test_rounded_spectrum_in_few_stages(spark, monkeypatch):
+    rng = np.random.default_rng(2)
+    w = rng.integers(1, 9, (25, 25)) * (rng.random((25, 25)) < 0.4)
+    monkeypatch.setattr(Q, "edges", lambda *_: spark.createDataFrame([(int(i), int(j), int(w[i, j])) for i, j in zip(*np.nonzero(w))], "pre long, post long, w long"))
+    sc = spark.sparkContext
+    sc.setJobGroup("rounded", "")
+    try:
+        rows = Q.QUERIES["g6_rounded"](spark, "").collect()
+        stages = sum(len(sc.statusTracker().getJobInfo(j).stageIds) for j in sc.statusTracker().getJobIdsForGroup("rounded"))
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+    values, vectors = np.linalg.eig(w.T.astype(float))
+    top = np.argmax(abs(values))
+    assert {r["radius"] for r in rows} == {round(abs(values[top]), 4)}
+    assert [r["x"] for r in sorted(rows)] == pytest.approx(list(abs(vectors[:, top].real)), abs=2e-5)
+    assert stages < 80  # of them one for each of about 20 rounds
+
+
 def test_whole_spectrum(spark, monkeypatch):
     rng = np.random.default_rng(4)
     w = np.zeros((30, 30))
