@@ -33,7 +33,7 @@ from __future__ import annotations
 import math
 import re
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from operator import eq
 
 import ahocorasick
@@ -64,6 +64,8 @@ COMPANY = 0.25
 FEW = 4
 #: Share of the words of a line from which on residue stands in place of the line.
 STANDS = 0.3
+#: Words and sentences of which a Python worker remembers what was said of them, by function.
+KEPT = 100_000
 #: Rows of a broadcast side; above, a shuffle join does the same.
 BROADCAST_ROWS = 200_000
 
@@ -97,11 +99,11 @@ def may_hold_slot(x: str) -> bool:
 
 
 _QUOTED = re.compile(r'"[^"\n]+"|“[^“”\n]+”|„[^„“”\n]+[“”]|`[^`\n]+`|(?<!\w)‘[^‘’\n]+’|(?<![\w\'])\'(?=\S)[^\n]+?(?<=\S)\'(?=$|[\s.,;:!?)])(?!\w)')
-_QUOTE_SIGN = re.compile("[\"“„`‘']")
 _AROUND_QUOTE = re.compile(r"\s*‹q›\s*")
 _MENTION = re.compile(
     r"\b(?:slots?|placeholders?|template|unfilled|draft|platzhalter|vorlage|entwurf|plantilla|borrador|marcadores|şablon\w*|taslak\w*|yer tutucu\w*)\b", re.I
 )
+_PLAIN = ("JS", "HTTP", "TODO", "FIXME")
 _VARYING = frozenset("0123456789_‹*")
 _EDGE = ".,;:!?()[]\"'"
 _LINE_END = re.compile(r"\r\n|\r|\n")
@@ -158,7 +160,7 @@ _KEYS = re.compile(r"^(?:asd|asdf|asdfg|qwe|qwer|qwert|qwerty|jkl|jkl[oö]|lkjh|
 
 
 def blank_quotes(line: str) -> str:
-    if not _QUOTE_SIGN.search(line):
+    if not ("'" in line or '"' in line or "`" in line or "“" in line or "„" in line or "‘" in line):
         return line
     return _AROUND_QUOTE.sub(" ‹q› ", _QUOTED.sub("‹q›", line))
 
@@ -195,7 +197,8 @@ def _is_code(line: str, bare: str) -> bool:
 def text_lines(text: str) -> Iterator[tuple[str, str]]:
     """(kind, line) of the text in composed letters: code, table or log lines are told from ordinary ones by form."""
     fenced = False
-    for line in _LINE_END.split(unicodedata.normalize("NFC", text).replace("\u200b", "").replace("\ufeff", "").replace("\xa0", " ")):
+    text = unicodedata.normalize("NFC", text).replace("\u200b", "").replace("\ufeff", "").replace("\xa0", " ")
+    for line in _LINE_END.split(text) if "\r" in text else text.split("\n"):
         bare = line.strip()
         if not bare:
             continue
@@ -227,25 +230,71 @@ def _star(token: str) -> str:
     return "*" + end
 
 
+class _Known(dict):
+    """What a function says of a text, kept for the next time; at most KEPT texts are held."""
+
+    def __init__(self, of: Callable[[str], str | bool | None]) -> None:
+        super().__init__()
+        self.of = of
+
+    def __missing__(self, text: str) -> str | bool | None:
+        if len(self) >= KEPT:
+            self.clear()
+        self[text] = got = self.of(text)
+        return got
+
+
+def _mask(token: str) -> str:
+    if token.isalpha():
+        return "*" if len(token) > 1 and token.isupper() and token not in _PLAIN else token
+    if not _VARYING.isdisjoint(token):
+        return _star(token)
+    if token.isupper() and len(core := token.strip(_EDGE)) > 1 and core not in _PLAIN:
+        return "*"
+    return token
+
+
+_MASKS = _Known(_mask)
+#: The same in a line of capitals.
+_SHOUTED = _Known(lambda t: t if t.isalpha() or _VARYING.isdisjoint(t) else _star(t))
+
+
+def _without_marks(x: str) -> str:
+    return x.replace(".", "").replace(",", "").replace(";", "").replace("!", "").replace("?", "").replace("(", "").replace(")", "")
+
+
+def _clean(token: str) -> str:
+    """A masked token in lower case without marks but a last one that may end a sentence; a zero for one that could change where a line is cut."""
+    low = token.lower()
+    bare = _without_marks(low[:-1]) + low[-1:] if low[-1:] in (".", "!", "?", "…") else _without_marks(low)
+    odd = low and (bare in ("", "-", "–", "|") or (bare[-1:] == "…" != low[-1]) or "<" in low or "\0" in low or low.split() != [low])
+    return "\0" if odd else bare
+
+
+_CLEAN, _SHOUTED_CLEAN = _Known(lambda t: _clean(_mask(t))), _Known(lambda t: _clean(_SHOUTED.of(t)))
+
+
 def units(line: str, may: bool = True) -> list[str]:
     """The masked sentences of a line, without bullets: lower-case words; what varies from message to message, quoted spans and slots are `*`, a status code of failure is `4xx`."""
-    bare = _BULLET.sub("", blank_quotes(line))
+    bare = blank_quotes(line)
+    if not bare[:1].isalpha():
+        bare = _BULLET.sub("", bare)
     if may and may_hold_slot(bare):
         bare = SLOT.sub(" * ", bare)
-    shouted = bare.isupper()
+    masks, clean = (_SHOUTED, _SHOUTED_CLEAN) if bare.isupper() else (_MASKS, _CLEAN)
     tokens = bare.replace("\t", " ").split(" ")
-    for i, t in enumerate(tokens):
-        if t.isalpha():
-            if len(t) > 1 and not shouted and t.isupper() and t not in ("JS", "HTTP", "TODO", "FIXME"):
-                tokens[i] = "*"
-        elif not _VARYING.isdisjoint(t):
-            tokens[i] = _star(t)
-        elif not shouted and t.isupper() and len(core := t.strip(_EDGE)) > 1 and core not in ("JS", "HTTP", "TODO", "FIXME"):
-            tokens[i] = "*"
-    bare = _STOP.sub("\n", " ".join(tokens).lower())
-    if "  " in bare or " - " in bare or " – " in bare or " | " in bare or "<" in bare:
-        bare = _BREAK.sub("\n", bare)
-    bare = bare.replace(".", "").replace(",", "").replace(";", "").replace("!", "").replace("?", "").replace("(", "").replace(")", "")
+    bare = " ".join(map(clean.__getitem__, tokens))
+    if "\0" in bare:
+        bare = _STOP.sub("\n", " ".join(map(masks.__getitem__, tokens)).lower())
+        if "  " in bare or " - " in bare or " – " in bare or " | " in bare or "<" in bare:
+            bare = _BREAK.sub("\n", bare)
+        bare = _without_marks(bare)
+    else:
+        bare = _STOP.sub("\n", bare)
+        if "  " in bare or " - " in bare or " – " in bare or " | " in bare:
+            bare = _BREAK.sub("\n", bare)
+        if bare[-1:] in (".", "!", "?"):
+            bare = bare[:-1]
     return [u for u in (x.strip() for x in bare.split("\n")) if u and (u.upper() != u or _WORD.search(u))]
 
 
@@ -300,6 +349,9 @@ def cue(unit: str) -> str | None:
     return min(got, key=_RANK.index) if got else None
 
 
+_CUED = _Known(cue)
+_STRUCK = _Known(lambda w: bool(_KEYS.match(re.sub(r"\d", "", w))))
+
 #: Words that hold sentences together, whatever they speak of, by language.
 _FUNCTION_WORDS = tuple(
     frozenset(x.split())
@@ -322,7 +374,7 @@ def drummed(words: list[str]) -> bool:
     """Whether a unit's words are keyboard walks, or one word over and over."""
     if len(words) < LEAST_WORDS:
         return False
-    keys = sum(bool(_KEYS.match(re.sub(r"\d", "", w))) for w in words)
+    keys = sum(map(_STRUCK.__getitem__, words))
     return keys >= 0.6 * len(words) or (len(words) >= 8 and len(set(words)) <= 0.25 * len(words))
 
 
@@ -362,7 +414,7 @@ def document_lines(docs: DataFrame, doc_id: str, text: str, lang: str | None = N
                     kinds.append(kind)
                     found.append(len(slots(line, True)) if may else 0)
                     sentences.append(own)
-                    cued.append(any(cue(u) for u in own))
+                    cued.append(any(map(_CUED.__getitem__, own)))
                     lengths.append(sum(u.count(" ") + 1 for u in own))
                 if len(said) >= LEAST_WORDS and len(set(said)) == 1 and len(at) > first:
                     kinds[first] = "drum"

@@ -1,6 +1,8 @@
 import random
 import unicodedata
 
+import pytest
+
 from axonlake.llm import residue as module
 from axonlake.llm.residue import ALIKE, cluster, cue, meaningless, residue, slots, text_lines, units
 
@@ -121,3 +123,30 @@ def test_decomposed_letters():
         for form in ("NFC", "NFD"):
             ((_, line),) = text_lines(unicodedata.normalize(form, text))
             assert [cue(u) for u in units(line)] == [reason]
+
+
+def test_what_is_said_of_words_is_kept(monkeypatch):
+    calls = []
+    known = module._Known(lambda w: calls.append(w) or len(w) > 1)
+    assert [known[w] for w in ("a", "bc", "a", "bc")] == [False, True, False, True] and calls == ["a", "bc"]
+    monkeypatch.setattr(module, "KEPT", 2)
+    assert [known[w] for w in ("d", "a")] == [False, False] and len(known) <= 2
+    before = len(module._MASKS), len(module._CLEAN)
+    assert module.units("plain words Q99 here.") == module.units("plain words Q99 here.") == ["plain words * here"]
+    assert (len(module._MASKS), len(module._CLEAN)) != before
+
+
+@pytest.mark.parametrize(
+    ("line", "want"),
+    [
+        ("in the END. Then 404. Not (here)", ["in the * then 4xx", "not here"]),
+        ("todo (…) 3.5", ["todo … *"]),
+        ("a , b (-) c", ["a  b - c"]),
+        ("one - two?! three…. four", ["one", "two", "three…", "four"]),
+        ("say <b>it</b> so. ", ["say", "it", "so"]),
+        ("WAIT. ITEM X9! GO", ["wait", "item *", "go"]),
+        ("1) end.\u2003next", ["end", "next"]),
+    ],
+)
+def test_marks_and_cuts(line, want):
+    assert module.units(line) == want
