@@ -62,7 +62,7 @@ def g5_all_components(spark: SparkSession, d: str) -> DataFrame:
 
 def g6_radius(spark: SparkSession, d: str) -> DataFrame:
     """The spectral radius of the pairs' weights, to the reference's 400 rounds and tolerance, with every entry of the vector; converged is false if the rounds ran out."""
-    radius, v, converged = G.spectrum(edges(spark, d), 400, 1e-12)
+    radius, v, converged = G.spectrum(edges(spark, d, "pre", "post"), 400, 1e-12)
     return v.select("id", "x", F.lit(radius).alias("radius"), F.lit(converged).alias("converged"))
 
 

@@ -9,10 +9,11 @@ from axonlake.functions.cells import label, sign_by_names, sign_by_prefix
 from axonlake.sources.tables import table
 
 
-def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every edge row once, with both ends and a weight."""
+def edges(spark: SparkSession, sf_dir: str, *by: str) -> DataFrame:
+    """Every edge row once, with both ends and a weight. Rows are dealt out by the columns `by`, if given, before repeats are dropped, so that a later aggregation by them shuffles no more; one value's rows then meet in one task."""
     rows = table(spark, sf_dir, "connections").where("pre_pt_root_id IS NOT NULL AND post_pt_root_id IS NOT NULL AND syn_count IS NOT NULL")
     rows = rows.select("edge_id", F.col("pre_pt_root_id").alias("pre"), F.col("post_pt_root_id").alias("post"), F.col("neuropil").alias("np"), F.col("syn_count").cast("long").alias("w"))
+    rows = rows.repartition(*by) if by else rows
     return rows.dropDuplicates(["edge_id", "pre", "post", "np", "w"]).drop("edge_id")
 
 

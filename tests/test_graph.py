@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -134,6 +135,44 @@ def test_rounded_spectrum_in_few_stages(spark, monkeypatch):
     assert stages < 80  # of them one for each of about 20 rounds
 
 
+def test_rounded_shuffles_edges_once(spark, small):
+    """Before the rounds there is one shuffle, by pair; ids are gathered and looked up in files."""
+    plan = E.pairs(Q.edges(spark, small, "pre", "post"))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange ") == 1
+    sc = spark.sparkContext
+    sc.setJobGroup("rounded-small", "")
+    try:
+        assert Q.QUERIES["g6_rounded"](spark, small).count() == 213
+        stages = sum(len(sc.statusTracker().getJobInfo(j).stageIds) for j in sc.statusTracker().getJobIdsForGroup("rounded-small"))
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+    assert stages < 40  # of them one for each of about 24 rounds
+
+
+def test_pairs_by_runs_and_blocks(tmp_path, monkeypatch):
+    rng, folder = np.random.default_rng(5), f"file://{tmp_path}"
+    nodes = np.append(rng.integers(-(2**63), 2**63 - 1, 60), [-(2**63), -1, 0, 1, 2**63 - 1])
+    want = {(int(a), int(b)): float(k) for k, (a, b) in enumerate(zip(rng.choice(nodes, 400), rng.choice(nodes[5:], 400)))}
+    want[-1, -1] = -2.5  # a loop; and the first five nodes receive nothing
+    columns = [*zip(*want), list(want.values())]
+    batches = pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["pre", "post", "w"])
+    monkeypatch.setattr(P, "RUN_PAIRS", 50)
+    monkeypatch.setattr(P, "BATCH_PAIRS", 7)
+    made = [r for b in P._runs((batches.slice(a, 30) for a in range(0, len(want), 30)), folder) for r in b.to_pylist()]
+    runs, bounds = [r["path"] for r in made], [0, 0, 300, 310, 1024]  # the first block has no nodes
+    ids, counts = zip(*[P._own_ids(runs, a, z, folder) for a, z in zip(bounds, bounds[1:])])
+    own = [P._read(p, np.int64) for p in ids]
+    assert len(runs) > 3 and counts[0] == 0 and sorted(np.concatenate(own).tolist()) == sorted({i for pair in want for i in pair})
+    size, per = max(counts), 2
+    for keep in (True, False):
+        got = []
+        for b in range(4):
+            for section, path in P._cells(runs, bounds, b, ids, size, per, keep, folder):
+                rows = pa.ipc.open_file(path.removeprefix("file://")).read_all().to_pylist()
+                got += [((int(own[section * per + r["at"] // size][r["at"] % size]), int(own[b][r["local"]])), r["w"]) for r in rows]
+        assert len(got) == len(want) and dict(got) == want
+
+
 def test_whole_spectrum(spark, monkeypatch):
     rng = np.random.default_rng(4)
     w = np.zeros((30, 30))
